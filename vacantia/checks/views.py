@@ -14,6 +14,7 @@ from vacantia.functions.text import html_escape
 from vacantia.session import use_utc
 
 NOW = "2001-08-02 00:00:00"
+SEEN_BEFORE = "1996-02-01 00:00:00"
 MARKER = "posting run"
 
 # --- fixed values: places of the derived postings, by index -------------------------
@@ -25,8 +26,8 @@ PLACES = (
     "London or Berlin", "New York, NY (HQ), Remote (US)",
 )
 
-PAGE_ROWS = {"adzuna": 50}
-BLOCK_ROWS = 20  # rows of a document of the other sources
+BLOCK_ROWS = 20  # rows of a landed document
+ADZUNA_ROWS = 130  # rows of a query; pages of 50, 30 and 50, or of 50, 50 and 30
 WORKDAY_PAGES = 2
 ADZUNA_PAGES = 3
 
@@ -54,10 +55,16 @@ def _div(a: Column, n: int) -> Column:
     return F.floor(a / n).cast("bigint")
 
 
-def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One posting per document; a tenth of them repeat an id of the same source."""
+def postings(
+    spark: SparkSession, sf_dir: str, documents: DataFrame | None = None
+) -> DataFrame:
+    """One posting per document; a tenth of them repeat an id of the same source.
+
+    ``documents`` may be a stream of that table.
+    """
     d = F.col("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = table(spark, sf_dir, "documents") if documents is None else documents
+    docs = docs.select("doc_id", "text")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     n_orders = orders.agg(F.count(F.lit(1))).scalar()
     # Ten and forty rows whatever the scale: the keys are unique and filtered.
@@ -96,15 +103,23 @@ def postings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def earlier(base: DataFrame) -> DataFrame:
+    """Postings that earlier runs stored."""
+    return base.where(F.col("posted_at") < F.lit(SEEN_BEFORE).cast("timestamp"))
+
+
 def seen(base: DataFrame) -> DataFrame:
-    """The store before the run: a sixth of the ids."""
-    return base.where(F.col("seq") % 6 == 0).select("job_id").distinct()
+    """The store before the run, as ids."""
+    return earlier(base).select("job_id")
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A model reply per posting id, with every kind of defect."""
-    d = F.col("doc_id")
-    base = table(spark, sf_dir, "documents").select("doc_id").where(d % 10 != 9)
+    """A model reply per posting, with every kind of defect; a repeated id has its reply twice."""
+    doc = F.col("doc_id")
+    base = table(spark, sf_dir, "documents").select(
+        "doc_id", F.when(doc % 10 == 9, doc - 7).otherwise(doc).alias("sid")
+    )
+    d = F.col("sid")
 
     def text(c: Column) -> Column:
         return c.cast("string")
@@ -140,7 +155,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(body)
     )
     return base.select(
-        d.alias("seq"),
+        doc.alias("seq"),
         job_id(pick(V.SOURCES, d % 7), d.cast("string")).alias("job_id"),
         reply.alias("reply"),
     )
@@ -150,11 +165,20 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _blocks(base: DataFrame) -> DataFrame:
-    """Place of each posting in its source's documents: idx, blk, row_no."""
+    """Place of each posting in its source's documents: blk and row_no."""
     idx = _div(F.col("seq"), 7)
-    size = F.when(F.col("source") == "adzuna", PAGE_ROWS["adzuna"]).otherwise(BLOCK_ROWS)
+    group, within = _div(idx, ADZUNA_ROWS), idx % ADZUNA_ROWS
+    third = F.when(group % 2 == 0, 80).otherwise(100)
+    page = F.when(within < 50, 0).when(within < third, 1).otherwise(2)
+    start = F.when(page == 0, 0).when(page == 1, 50).otherwise(third)
+    paged = F.col("source") == "adzuna"
     return base.withColumns(
-        {"idx": idx, "blk": F.floor(idx / size).cast("bigint"), "row_no": idx % size}
+        {
+            "blk": F.when(paged, group * ADZUNA_PAGES + page)
+            .otherwise(_div(idx, BLOCK_ROWS))
+            .cast("bigint"),
+            "row_no": F.when(paged, within - start).otherwise(idx % BLOCK_ROWS).cast("bigint"),
+        }
     )
 
 
@@ -387,8 +411,6 @@ def payloads(base: DataFrame, *sources: str) -> DataFrame:
     out: DataFrame | None = None
     for source in sources or V.SOURCES:
         rows = _blocks(base.where(F.col("source") == source))
-        if source == "adzuna":  # every fourth page is short
-            rows = rows.where((F.col("blk") % 4 != 1) | (F.col("row_no") < 30))
         head, tail = _WRAP[source]
         item = _items(F.col("seq"))[source]
         docs = rows.groupBy("blk").agg(

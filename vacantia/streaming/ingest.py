@@ -77,17 +77,13 @@ def commit(spark: SparkSession, out: str, batch_id: int) -> None:
     """Note that the rows of a micro-batch are complete."""
     spark.createDataFrame([(batch_id,)], "batch_id long").coalesce(1).write.mode(
         "overwrite"
-    ).parquet(f"{out}/_commits/{batch_id}")
+    ).parquet(f"{out}-commits/{batch_id}")
 
 
 def was_committed(spark: SparkSession, out: str, batch_id: int) -> bool:
-    found = (
-        spark.read.schema("batch_id long")
-        .option("pathGlobFilter", "*.parquet")
-        .option("ignoreMissingFiles", "true")
-    )
+    found = spark.read.schema("batch_id long")
     try:
-        return not found.parquet(f"{out}/_commits/{batch_id}").isEmpty()
+        return not found.parquet(f"{out}-commits/{batch_id}").isEmpty()
     except Exception as error:  # no such folder: nothing was committed
         if "PATH_NOT_FOUND" in str(error):
             return False
