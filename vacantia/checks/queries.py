@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vacantia import fixed_values as V
 from vacantia.checks import views as W
@@ -471,40 +472,38 @@ def store_scored_item(spark: SparkSession, sf: str) -> DataFrame:
     return _store_rows(store.store_scored_item(_ranked(spark, sf)))
 
 
-def _new_store(spark: SparkSession, label: str) -> str:
-    path = new_work_dir(spark, label)
-    store.create_store(spark, path)
-    return path
+def _new_store(spark: SparkSession) -> store.KeyedStore:
+    return store.KeyedStore(spark, new_work_dir(spark, "store"), prefix_digits=1).create()
 
 
 @query
 def mark_seen(spark: SparkSession, sf: str) -> DataFrame:
     """Two overlapping writes, the second one twice."""
-    path = _new_store(spark, "store")
+    stored = _new_store(spark)
     p = W.postings(spark, sf)
-    store.mark_seen(spark, path, gate.workable_gate(p))
+    stored.mark_seen(gate.workable_gate(p))
     later = gate.keep_worth_scoring(p).withColumn("title", F.lower("title"))
-    store.mark_seen(spark, path, later)
-    store.mark_seen(spark, path, later)
-    return _store_rows(store.read_store(spark, path))
+    stored.mark_seen(later)
+    stored.mark_seen(later)
+    return _store_rows(stored.read())
 
 
 @query
 def save_new(spark: SparkSession, sf: str) -> DataFrame:
     p = W.postings(spark, sf)
-    path = _seeded_store(spark, p)
-    store.save_new(spark, path, _ranked(spark, sf))
-    return _store_rows(store.read_store(spark, path))
+    stored = _seeded_store(spark, p)
+    stored.save_new(_ranked(spark, sf))
+    return _store_rows(stored.read())
 
 
 @query
 def mark_emailed(spark: SparkSession, sf: str) -> DataFrame:
     """Ids that are stored and ids that are not."""
-    path = _new_store(spark, "store")
+    stored = _new_store(spark)
     p = W.postings(spark, sf)
-    store.mark_seen(spark, path, gate.workable_gate(p))
-    store.mark_emailed(spark, path, W.earlier(p))
-    return _store_rows(store.read_store(spark, path))
+    stored.mark_seen(gate.workable_gate(p))
+    stored.mark_emailed(W.earlier(p))
+    return _store_rows(stored.read())
 
 
 @query
@@ -889,10 +888,10 @@ def _knobs() -> dict:
     }
 
 
-def _seeded_store(spark: SparkSession, p: DataFrame) -> str:
-    path = _new_store(spark, "store")
-    store.mark_seen(spark, path, W.earlier(p))
-    return path
+def _seeded_store(spark: SparkSession, p: DataFrame) -> store.KeyedStore:
+    stored = _new_store(spark)
+    stored.mark_seen(W.earlier(p))
+    return stored
 
 
 @query
@@ -907,9 +906,9 @@ def full_run(spark: SparkSession, sf: str) -> DataFrame:
 def full_run_store(spark: SparkSession, sf: str) -> DataFrame:
     """What one run leaves in the store."""
     p = W.postings(spark, sf)
-    path = _seeded_store(spark, p)
-    run_cycle(spark, p, path, replies=W.replies(spark, sf), **_knobs())
-    return _store_rows(store.read_store(spark, path)).select(
+    stored = _seeded_store(spark, p)
+    run_cycle(spark, p, stored, replies=W.replies(spark, sf), **_knobs())
+    return _store_rows(stored.read()).select(
         "job_id", "status", "fit_score", "location_tier", "skip_reason"
     )
 
@@ -941,9 +940,9 @@ def _posting_stream(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
     work = new_work_dir(spark, "dedup")
-    path = _seeded_store(spark, W.postings(spark, sf))
+    stored = _seeded_store(spark, W.postings(spark, sf))
     ingest.stream_dedup(
-        spark, _posting_stream(spark, sf), path, f"{work}/new", f"{work}/checkpoint"
+        spark, _posting_stream(spark, sf), stored, f"{work}/new", f"{work}/checkpoint"
     ).awaitTermination()
     return spark.read.parquet(f"{work}/new").select("seq", "job_id")
 
@@ -951,11 +950,11 @@ def stream_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_run_counts(spark: SparkSession, sf: str) -> DataFrame:
     work = new_work_dir(spark, "stream")
-    path = _seeded_store(spark, W.postings(spark, sf))
+    stored = _seeded_store(spark, W.postings(spark, sf))
     stream_run(
         spark,
         _posting_stream(spark, sf),
-        path,
+        stored,
         f"{work}/out",
         f"{work}/checkpoint",
         replies=W.replies(spark, sf),
@@ -982,7 +981,8 @@ def stream_alarms(spark: SparkSession, sf: str) -> DataFrame:
     work = new_work_dir(spark, "alarms")
     alarms = monitor.stream_alarms(_line_stream(spark, sf))
     monitor.write_updates(alarms, f"{work}/out", f"{work}/checkpoint").awaitTermination()
-    latest = spark.read.schema(alarms.schema.add("batch_id", "bigint")).parquet(f"{work}/out")
+    schema = T.StructType([*alarms.schema.fields, T.StructField("batch_id", T.LongType())])
+    latest = spark.read.schema(schema).parquet(f"{work}/out")
     last = latest.groupBy("period_start", "period_end").agg(
         F.max_by(F.struct("unhealthy", "alarm"), "batch_id").alias("last")
     )

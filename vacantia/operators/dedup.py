@@ -20,18 +20,22 @@ def dedup_in_batch(postings: DataFrame, seq: str = "seq") -> DataFrame:
     )
 
 
-def unseen(postings: DataFrame, store: DataFrame) -> DataFrame:
-    """Postings whose job_id is not stored."""
-    return postings.join(store.select("job_id"), "job_id", "left_anti")
+def seen_lookup(postings: DataFrame, store: DataFrame) -> DataFrame:
+    """Which of the postings' ids are stored, each once.
+
+    The store is the streamed side: a batch small enough to broadcast is looked up in one scan of
+    the store's id column, without shuffling the store.
+    """
+    return store.select("job_id").join(postings.select("job_id"), "job_id", "left_semi")
 
 
-def seen_lookup(postings: DataFrame, store: DataFrame) -> DataFrame:
-    """Which of the postings' ids are stored, each once."""
-    ids = postings.select("job_id").distinct()
-    return ids.join(store.select("job_id"), "job_id", "left_semi")
+def unseen(postings: DataFrame, store: DataFrame) -> DataFrame:
+    """Postings whose id is not stored; ``postings`` is a written table, as it is read twice."""
+    return postings.join(seen_lookup(postings, store), "job_id", "left_anti")
 
 
 def new_jobs_only(postings: DataFrame, store: DataFrame, seq: str = "seq") -> DataFrame:
     """Dedup first, then anti-join: the join reuses the dedup's partitioning by job_id, and no
     hot id is left to skew it."""
-    return unseen(dedup_in_batch(postings, seq), store)
+    unique = dedup_in_batch(postings, seq)
+    return unique.join(store.select("job_id"), "job_id", "left_anti")

@@ -8,6 +8,7 @@ folder it overwrites and a lost executor or a failed run leaves the table whole.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,9 +18,6 @@ from vacantia import schemas as S
 from vacantia.functions.text import null_if_empty
 from vacantia.session import new_work_dir, written
 
-PREFIX_DIGITS = 2  # 256 partitions; 3 gives 4096
-
-
 def iso_text(at: Column) -> Column:
     """ISO text with the UTC offset; microseconds only when there are any."""
     whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
@@ -105,76 +103,76 @@ def emailed(store: DataFrame, ids: DataFrame) -> DataFrame:
 
 # --- the table on disk --------------------------------------------------------------
 
-
-def _prefixed(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("id_prefix", F.left("job_id", F.lit(PREFIX_DIGITS)))
+Merge = Callable[[DataFrame, DataFrame], DataFrame]
 
 
-def create_store(spark: SparkSession, path: str) -> None:
-    """An empty store."""
-    empty = spark.createDataFrame([], S.STORE)
-    _prefixed(empty).write.mode("ignore").partitionBy("id_prefix").parquet(path)
+@dataclass(frozen=True)
+class KeyedStore:
+    """The table at ``path``. 2 prefix digits make 256 folders, 3 make 4096."""
 
+    spark: SparkSession
+    path: str
+    prefix_digits: int = 2
 
-def read_store(spark: SparkSession, path: str) -> DataFrame:
-    """The store without its partition column."""
-    return _with_prefix(spark, path).drop("id_prefix")
+    def create(self) -> KeyedStore:
+        """Write an empty table unless there is one."""
+        empty = self.spark.createDataFrame([], S.STORE)
+        self._prefixed(empty).write.mode("ignore").partitionBy("id_prefix").parquet(self.path)
+        return self
 
+    def read(self) -> DataFrame:
+        return self._rows().drop("id_prefix")
 
-def _with_prefix(spark: SparkSession, path: str) -> DataFrame:
-    schema = T.StructType([*S.STORE.fields, T.StructField("id_prefix", T.StringType())])
-    return spark.read.schema(schema).parquet(path)
+    def ids(self) -> DataFrame:
+        """Stored ids; only that column is read."""
+        return self.read().select("job_id")
 
+    def get(self, job_id: str) -> DataFrame:
+        """Stored record of one id, from the one folder that can hold it."""
+        prefix = F.col("id_prefix") == job_id[: self.prefix_digits]
+        return store_get(self._rows().where(prefix).drop("id_prefix"), job_id)
 
-def _replace_prefixes(
-    spark: SparkSession,
-    path: str,
-    merge: Callable[[DataFrame, DataFrame], DataFrame],
-    batch: DataFrame,
-) -> None:
-    """Rewrite the prefixes that ``batch`` touches with ``merge(stored rows, batch)``."""
-    work = new_work_dir(spark, "upsert")
-    batch = written(batch, f"{work}/batch")
-    # At most 16 ** PREFIX_DIGITS values come to the driver.
-    touched = [r[0] for r in _prefixed(batch).select("id_prefix").distinct().collect()]
-    if not touched:
-        return
-    stored = (
-        _with_prefix(spark, path).where(F.col("id_prefix").isin(touched)).drop("id_prefix")
-    )
-    merged = written(_prefixed(merge(stored, batch)), f"{work}/merged")
-    # Rows of a prefix go to few files, and a prefix too big for one task is split by id.
-    (
-        merged.repartition("id_prefix", F.substring("job_id", PREFIX_DIGITS + 1, 1))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("id_prefix")
-        .parquet(path)
-    )
+    def upsert(self, items: DataFrame) -> None:
+        """Write ``items``, one row per job_id; writing twice changes nothing."""
+        self._replace_prefixes(upserted, items)
 
+    def mark_seen(self, postings: DataFrame, seq: str = "seq") -> None:
+        self.upsert(store_item(last_write(postings, seq)))
 
-def upsert(spark: SparkSession, path: str, items: DataFrame) -> None:
-    """Write ``items`` (one row per job_id) into the store; writing twice changes nothing."""
-    _replace_prefixes(spark, path, upserted, items)
+    def save_new(self, ranked: DataFrame, seq: str = "seq") -> None:
+        self.upsert(store_scored_item(last_write(ranked, seq)))
 
+    def mark_emailed(self, ids: DataFrame) -> None:
+        self._replace_prefixes(emailed, ids.select("job_id").distinct())
 
-def mark_seen(spark: SparkSession, path: str, postings: DataFrame, seq: str = "seq") -> None:
-    upsert(spark, path, store_item(last_write(postings, seq)))
+    def _rows(self) -> DataFrame:
+        schema = T.StructType([*S.STORE.fields, T.StructField("id_prefix", T.StringType())])
+        return self.spark.read.schema(schema).parquet(self.path)
 
+    def _prefixed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("id_prefix", F.left("job_id", F.lit(self.prefix_digits)))
 
-def save_new(spark: SparkSession, path: str, ranked: DataFrame, seq: str = "seq") -> None:
-    upsert(spark, path, store_scored_item(last_write(ranked, seq)))
-
-
-def mark_emailed(spark: SparkSession, path: str, ids: DataFrame) -> None:
-    _replace_prefixes(spark, path, emailed, ids.select("job_id").distinct())
+    def _replace_prefixes(self, merge: Merge, batch: DataFrame) -> None:
+        """Rewrite the prefixes that ``batch`` touches with ``merge(stored rows, batch)``."""
+        work = new_work_dir(self.spark, "upsert")
+        batch = written(batch, f"{work}/batch")
+        # At most 16 ** prefix_digits values come to the driver.
+        touched = [r[0] for r in self._prefixed(batch).select("id_prefix").distinct().collect()]
+        if not touched:
+            return
+        stored = self._rows().where(F.col("id_prefix").isin(touched)).drop("id_prefix")
+        merged = written(self._prefixed(merge(stored, batch)), f"{work}/merged")
+        # A prefix too big for one task is split by the next digit of the id.
+        next_digit = F.substring("job_id", self.prefix_digits + 1, 1)
+        (
+            merged.repartition("id_prefix", next_digit)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("id_prefix")
+            .parquet(self.path)
+        )
 
 
 def store_get(store: DataFrame, job_id: str | Column) -> DataFrame:
-    """Stored record of one id. On the table's own path the prefix prunes it to one folder."""
+    """Stored record of one id."""
     return store.where(F.col("job_id") == job_id)
-
-
-def store_get_from(spark: SparkSession, path: str, job_id: str) -> DataFrame:
-    rows = _with_prefix(spark, path).where(F.col("id_prefix") == job_id[:PREFIX_DIGITS])
-    return store_get(rows.drop("id_prefix"), job_id)

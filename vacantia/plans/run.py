@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as V
 from vacantia.functions.fit import rank_keys
 from vacantia.functions.location import DEFAULT_GAZETTEER, Gazetteer
-from vacantia.operators import dedup, gate, metrics, ranking, scoring, selection, store
+from vacantia.operators import dedup, gate, metrics, ranking, scoring, selection
+from vacantia.operators.store import KeyedStore
 from vacantia.session import new_work_dir, use_utc, written
 
 
@@ -33,7 +34,7 @@ class RunResult:
 def run_cycle(
     spark: SparkSession,
     postings: DataFrame,
-    store_path: str,
+    stored: KeyedStore,
     *,
     replies: DataFrame | None = None,
     scorer: scoring.Scorer | None = None,
@@ -59,12 +60,12 @@ def run_cycle(
         raise ValueError("give either replies or a scorer")
     use_utc(spark)
     work = work_dir or new_work_dir(spark, "run")
-    stored = store.read_store(spark, store_path)
 
     fetched = written(postings, f"{work}/postings")
     eligible = gate.keep_worth_scoring(fetched)
     narrow = eligible.select("seq", "job_id", "location", "remote", "posted_at")
-    new = written(dedup.new_jobs_only(narrow, stored), f"{work}/new")
+    unique = written(dedup.dedup_in_batch(narrow), f"{work}/unique")
+    new = written(dedup.unseen(unique, stored.ids()), f"{work}/new")
 
     chosen = gate.select_within_budget(
         gate.workable_gate(new, workable_only, gazetteer), now, max_age_days, max_score_per_run
@@ -76,10 +77,13 @@ def run_cycle(
         replies = written(
             scoring.request_replies(selected, scorer, profile), f"{work}/replies"
         )
+    else:
+        # A big table of landed replies is cut to the selected ids before it is shuffled.
+        replies = replies.join(selected.select("job_id"), "job_id", "left_semi")
     scored = scoring.score_many(selected, replies)
     ranked = written(ranking.rank_one(scored, profile, gazetteer), f"{work}/ranked")
     if save:
-        store.save_new(spark, store_path, ranked)
+        stored.save_new(ranked)
     return run_result(
         ranked, fetched, new, selected, source_status, digest_limit, min_score, per_company
     )

@@ -48,10 +48,11 @@ def new_work_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/vacantia/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet and read it back: computed once, lineage cut, columns prunable.
 
     The files are in shared storage, so a lost executor costs a re-read and not a recomputation.
     """
-    df.write.mode("overwrite").parquet(path)
+    writer = df.write.mode("overwrite")
+    (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,7 +7,8 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from vacantia.operators import dedup, store
+from vacantia.operators import dedup
+from vacantia.operators.store import KeyedStore
 from vacantia.session import new_work_dir, use_utc, written
 from vacantia.sources import registry
 from vacantia.sources.normalise import combine_sources
@@ -40,7 +41,8 @@ def stream_ingest(
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # The documents are read once per normaliser branch, so they are written first.
-        landed_now = written(batch, new_work_dir(spark, f"ingest-{batch_id}"))
+        path = new_work_dir(spark, f"ingest-{batch_id}")
+        landed_now = written(batch, path, partition_by="source")
         postings = combine_sources(landed_now, boards, sites)
         postings.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
@@ -51,7 +53,7 @@ def stream_ingest(
 def stream_dedup(
     spark: SparkSession,
     postings: DataFrame,
-    store_path: str,
+    stored: KeyedStore,
     out: str,
     checkpoint: str,
     interval: str | None = None,
@@ -66,9 +68,9 @@ def stream_dedup(
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = f"{out}/batch_id={batch_id}"
         if not was_committed(spark, out, batch_id):
-            written(dedup.new_jobs_only(batch, store.read_store(spark, store_path)), rows)
+            written(dedup.new_jobs_only(batch, stored.ids()), rows)
             commit(spark, out, batch_id)
-        store.mark_seen(spark, store_path, spark.read.schema(batch.schema).parquet(rows))
+        stored.mark_seen(spark.read.schema(batch.schema).parquet(rows))
 
     return _start(postings, handle, checkpoint, interval)
 

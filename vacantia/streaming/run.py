@@ -7,7 +7,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from vacantia.operators import scoring, store
+from vacantia.operators import scoring
+from vacantia.operators.store import KeyedStore
 from vacantia.plans.run import run_cycle
 from vacantia.session import use_utc
 from vacantia.streaming.ingest import _start, commit, was_committed
@@ -16,7 +17,7 @@ from vacantia.streaming.ingest import _start, commit, was_committed
 def stream_run(
     spark: SparkSession,
     postings: DataFrame,
-    store_path: str,
+    stored: KeyedStore,
     out: str,
     checkpoint: str,
     *,
@@ -36,10 +37,10 @@ def stream_run(
     def handle(batch: DataFrame, batch_id: int) -> None:
         ranked_path = f"{out}/ranked/batch_id={batch_id}"
         if was_committed(spark, out, batch_id):
-            store.save_new(spark, store_path, spark.read.parquet(ranked_path))
+            stored.save_new(spark.read.parquet(ranked_path))
             return
         result = run_cycle(
-            spark, batch, store_path, replies=replies, scorer=scorer, save=False, **knobs
+            spark, batch, stored, replies=replies, scorer=scorer, save=False, **knobs
         )
         result.ranked.write.mode("overwrite").parquet(ranked_path)
         result.digest.write.mode("overwrite").parquet(f"{out}/digest/batch_id={batch_id}")
@@ -47,6 +48,6 @@ def stream_run(
             f"{out}/counts/batch_id={batch_id}"
         )
         commit(spark, out, batch_id)
-        store.save_new(spark, store_path, result.ranked)
+        stored.save_new(result.ranked)
 
     return _start(postings, handle, checkpoint, interval)
