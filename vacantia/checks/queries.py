@@ -22,7 +22,7 @@ from vacantia.operators import (
     store,
 )
 from vacantia.plans.run import run_cycle
-from vacantia.session import new_work_dir
+from vacantia.session import new_work_dir, written
 from vacantia.sources import fields, normalise, payloads, quota, registry, workday
 from vacantia.streaming import ingest, monitor
 from vacantia.streaming.run import stream_run
@@ -53,6 +53,11 @@ def _docs(spark: SparkSession, sf: str, *sources: str) -> DataFrame:
     return W.payloads(W.postings(spark, sf), *sources)
 
 
+def _landed(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents, landed by source as a run would find them."""
+    return written(_docs(spark, sf), new_work_dir(spark, "docs"), partition_by="source")
+
+
 def _normalised(df: DataFrame) -> DataFrame:
     return df.select(
         "payload_id",
@@ -260,19 +265,19 @@ def parse_posted_at(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def payload_validate(spark: SparkSession, sf: str) -> DataFrame:
-    status = normalise.payload_validate(_docs(spark, sf))
+    status = normalise.payload_validate(_landed(spark, sf))
     return status.select("payload_id", "source", "status", long("n_items").alias("n_items"))
 
 
 @query
 def source_failures(spark: SparkSession, sf: str) -> DataFrame:
-    return normalise.source_failures(normalise.payload_validate(_docs(spark, sf)))
+    return normalise.source_failures(normalise.payload_validate(_landed(spark, sf)))
 
 
 @query
 def combine_sources(spark: SparkSession, sf: str) -> DataFrame:
     rows = normalise.combine_sources(
-        _docs(spark, sf), registry.boards(spark), registry.workday_boards(spark)
+        _landed(spark, sf), registry.boards(spark), registry.workday_boards(spark)
     )
     return rows.select(
         "payload_id", long("seq.pos").alias("pos"), "source", "job_id", "title"
@@ -322,7 +327,7 @@ def query_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def all_sources(spark: SparkSession, sf: str) -> DataFrame:
-    status = normalise.payload_validate(_docs(spark, sf))
+    status = normalise.payload_validate(_landed(spark, sf))
     landed = registry.landed_by_source(registry.all_sources(spark), status)
     return landed.groupBy("source").agg(
         F.count(F.lit(1)).alias("registered"),

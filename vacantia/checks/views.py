@@ -358,6 +358,7 @@ def _items(d: Column) -> dict[str, Column]:
     }
 
 
+# What surrounds the listed items in a document.
 _WRAP = {
     "greenhouse": ('{"jobs":', "}"),
     "lever": ("", ""),
@@ -374,66 +375,78 @@ GREENHOUSE_SLUGS = tuple(b[1] for b in V.BOARDS if b[0] == "greenhouse")
 WORKDAY_TENANTS = tuple(b[0] for b in V.WORKDAY_BOARDS)
 
 
-def slug_of(source: str, blk: Column) -> Column:
-    """Board of a document; one in each round is not registered."""
-    if source in ("lever", "ashby", "greenhouse"):
-        slugs = {"lever": LEVER_SLUGS, "ashby": ASHBY_SLUGS, "greenhouse": GREENHOUSE_SLUGS}[source]
+def _by_source(values: dict[str, Column]) -> Column:
+    out = F
+    for source, value in values.items():
+        out = out.when(F.col("source") == source, value)
+    return out if isinstance(out, Column) else F.lit(None)
+
+
+def slug_of(blk: Column) -> Column:
+    """Board or scope of a document; one board in each round is not registered."""
+
+    def board(slugs: tuple[str, ...]) -> Column:
         return pick((*slugs, "unlisted"), blk % (len(slugs) + 1))
-    if source == "workday":
-        return pick(WORKDAY_TENANTS, _div(blk, WORKDAY_PAGES) % 3)
-    if source == "remotive":
-        return F.lit("all")
-    if source == "adzuna":
-        return pick(("Sarasota", "Chicago"), _div(blk, ADZUNA_PAGES) % 2)
-    return pick(("Chicago, Illinois", "Tampa, Florida", "remote"), blk % 3)
+
+    return _by_source(
+        {
+            "greenhouse": board(GREENHOUSE_SLUGS),
+            "lever": board(LEVER_SLUGS),
+            "ashby": board(ASHBY_SLUGS),
+            "remotive": F.lit("all"),
+            "adzuna": pick(("Sarasota", "Chicago"), _div(blk, ADZUNA_PAGES) % 2),
+            "workday": pick(WORKDAY_TENANTS, _div(blk, WORKDAY_PAGES) % 3),
+            "usajobs": pick(("Chicago, Illinois", "Tampa, Florida", "remote"), blk % 3),
+        }
+    )
 
 
-def query_of(source: str, blk: Column) -> Column:
-    no = F.lit(None).cast("string")
-    if source == "workday":
-        return F.concat(F.lit("q"), _div(blk, WORKDAY_PAGES).cast("string"))
-    if source == "remotive":
-        return pick(V.REMOTIVE_SEARCHES, blk % 5)
-    if source == "adzuna":
-        return F.concat(F.lit("q"), _div(blk, ADZUNA_PAGES).cast("string"))
-    if source == "usajobs":
-        return F.concat(F.lit("q"), blk.cast("string"))
-    return no
+def query_of(blk: Column) -> Column:
+    def numbered(n: Column) -> Column:
+        return F.concat(F.lit("q"), n.cast("string"))
+
+    return _by_source(
+        {
+            "remotive": pick(V.REMOTIVE_SEARCHES, blk % 5),
+            "adzuna": numbered(_div(blk, ADZUNA_PAGES)),
+            "workday": numbered(_div(blk, WORKDAY_PAGES)),
+            "usajobs": numbered(blk),
+        }
+    )
 
 
-def page_of(source: str, blk: Column) -> Column:
-    pages = {"workday": WORKDAY_PAGES, "adzuna": ADZUNA_PAGES}.get(source)
-    return ((blk % pages if pages else blk) + 1).cast("int")
+def page_of(blk: Column) -> Column:
+    paged = {"workday": blk % WORKDAY_PAGES, "adzuna": blk % ADZUNA_PAGES}
+    return (F.coalesce(_by_source(paged), blk) + 1).cast("int")
 
 
 def payloads(base: DataFrame, *sources: str) -> DataFrame:
     """Landed documents: at most 50 postings each, some broken, some of another shape."""
-    out: DataFrame | None = None
-    for source in sources or V.SOURCES:
-        rows = _blocks(base.where(F.col("source") == source))
-        head, tail = _WRAP[source]
-        item = _items(F.col("seq"))[source]
-        docs = rows.groupBy("blk").agg(
-            F.sort_array(F.collect_list(F.struct("seq", F.to_json(item).alias("j")))).alias("js")
-        )
-        blk = F.col("blk")
-        listed = F.concat(
-            F.lit(head + "["), F.array_join(F.transform("js", lambda x: x["j"]), ","), F.lit("]" + tail)
-        )
-        docs = docs.select(
-            F.concat(F.lit(source + "-"), blk.cast("string")).alias("payload_id"),
-            F.lit(source).alias("source"),
-            slug_of(source, blk).alias("slug"),
-            query_of(source, blk).alias("query"),
-            page_of(source, blk).alias("page"),
-            F.lit(None).cast("string").alias("path"),
-            F.when(blk % 7 == 5, '{"error": "rate limited"}').otherwise(listed).alias("body"),
-            F.lit(NOW).cast("timestamp").alias("fetched_at"),
-        )
-        out = docs if out is None else out.unionByName(docs)
-        if source == "workday":
-            out = out.unionByName(_details(base))
-    return out
+    wanted = sources or V.SOURCES
+    rows = _blocks(base.where(F.col("source").isin(*wanted)))
+    items = {s: F.to_json(item) for s, item in _items(F.col("seq")).items() if s in wanted}
+    docs = (
+        rows.select("source", "blk", "seq", _by_source(items).alias("j"))
+        .groupBy("source", "blk")
+        .agg(F.sort_array(F.collect_list(F.struct("seq", "j"))).alias("js"))
+    )
+    blk = F.col("blk")
+    listed = F.concat(
+        _by_source({s: F.lit(_WRAP[s][0] + "[") for s in wanted}),
+        F.array_join(F.transform("js", lambda x: x["j"]), ","),
+        _by_source({s: F.lit("]" + _WRAP[s][1]) for s in wanted}),
+    )
+    out = docs.select(
+        F.concat("source", F.lit("-"), blk.cast("string")).alias("payload_id"),
+        "source",
+        slug_of(blk).alias("slug"),
+        query_of(blk).alias("query"),
+        page_of(blk).alias("page"),
+        F.lit(None).cast("string").alias("path"),
+        F.when(blk % 7 == 5, '{"error": "rate limited"}').otherwise(listed).alias("body"),
+        F.lit(NOW).cast("timestamp").alias("fetched_at"),
+    )
+    return out.unionByName(_details(base)) if "workday" in wanted else out
 
 
 def _details(base: DataFrame) -> DataFrame:
@@ -460,7 +473,7 @@ def _details(base: DataFrame) -> DataFrame:
     return rows.select(
         F.concat(F.lit("workday-d"), d.cast("string")).alias("payload_id"),
         F.lit("workday").alias("source"),
-        slug_of("workday", blk).alias("slug"),
+        slug_of(blk).alias("slug"),
         F.lit(None).cast("string").alias("query"),
         F.lit(None).cast("int").alias("page"),
         path.alias("path"),
