@@ -53,9 +53,10 @@ def _docs(spark: SparkSession, sf: str, *sources: str) -> DataFrame:
     return W.payloads(W.postings(spark, sf), *sources)
 
 
-def _landed(spark: SparkSession, sf: str) -> DataFrame:
-    """All documents, landed by source as a run would find them."""
-    return written(_docs(spark, sf), new_work_dir(spark, "docs"), partition_by="source")
+def _landed(spark: SparkSession, sf: str, *sources: str) -> DataFrame:
+    """Documents landed by source, as a run would find them."""
+    path = new_work_dir(spark, "docs")
+    return written(_docs(spark, sf, *sources), path, partition_by="source")
 
 
 def _normalised(df: DataFrame) -> DataFrame:
@@ -157,7 +158,7 @@ def workday_stubs(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def workday_hydrate(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf, "workday")
+    docs = _landed(spark, sf, "workday")
     rows = workday.workday_hydrate(
         workday.workday_stubs(docs),
         workday.workday_details(docs),
@@ -286,7 +287,7 @@ def combine_sources(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def cap_per_query(spark: SparkSession, sf: str) -> DataFrame:
-    docs = normalise.documents(_docs(spark, sf, "adzuna"), "adzuna")
+    docs = normalise.documents(_landed(spark, sf, "adzuna"), "adzuna")
     rows = quota.cap_per_query(docs, ADZUNA_CAP, V.ADZUNA_PAGE_SIZE)
     return rows.select(
         "query", long("page").alias("page"), long("pos").alias("pos"),
@@ -300,7 +301,7 @@ def cap_per_query(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def boards(spark: SparkSession, sf: str) -> DataFrame:
     names = ("greenhouse", "lever", "ashby")
-    docs = _docs(spark, sf, *names)
+    docs = _landed(spark, sf, *names)
     status = normalise.payload_status(docs, names[0])
     for name in names[1:]:
         status = status.unionByName(normalise.payload_status(docs, name))
