@@ -296,6 +296,16 @@ def test_landed_files_round_trip(land, spark, tmp_path):
     assert normalise.normalise_lever(scan).count() == 1
 
 
+def test_packed_documents_round_trip(land, spark, tmp_path):
+    docs = land("lever", [LEVER], "not json\n", slug=["a", "b"]).unionByName(
+        land("workday", {"jobPostingInfo": {}}, path=["/job/a?x=1"])
+    )
+    payloads.land_payloads(docs, str(tmp_path), packed=True)
+    scan = payloads.payload_scan(spark, str(tmp_path), NOW, packed=True)
+    key = ["payload_id", "source", "slug", "query", "page", "path", "body", "fetched_at"]
+    assert sorted(map(str, scan.select(key).collect())) == sorted(map(str, docs.select(key).collect()))
+
+
 def test_registry(spark):
     by_source = {r["source"]: r["count"] for r in registry.all_sources(spark).groupBy("source").count().collect()}
     assert by_source == {

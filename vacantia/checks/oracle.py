@@ -460,9 +460,6 @@ _RUNS = """runs AS (SELECT event_id,
 # --- rendering ----------------------------------------------------------------------
 
 _APP = "vacantia"
-_CLEAN = (
-    "{s}"
-)
 
 
 def _cleaned(column: str) -> str:
@@ -808,9 +805,12 @@ GROUP BY ALL"""
 
 def _html_to_text() -> str:
     def unescape(column: str) -> str:
-        for entity, char in (("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&nbsp;", " "),
-                             ("&lt;", "<"), ("&gt;", ">"), ("&#x27;", "'"), ("&amp;", "&")):
-            column = f"replace({column}, {_s(entity)}, {_s(char)})"
+        # The entities of the table; a cut-off one needs no semicolon.
+        for entity, char in (
+            ("quot", '"'), ("copy", "©"), ("middot", "·"), ("nbsp", " "), ("lt", "<"), ("gt", ">"),
+            ("#x27", "'"), ("amp", "&"),
+        ):
+            column = f"regexp_replace({column}, '&{entity};?', {_s(char)}, 'g')"
         return column
 
     tags = f"regexp_replace({unescape('html')}, '<[^>]+>', ' ', 'g')"

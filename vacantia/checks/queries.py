@@ -922,9 +922,14 @@ def full_run_store(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def stream_ingest(spark: SparkSession, sf: str) -> DataFrame:
     work = new_work_dir(spark, "ingest")
-    payloads.land_payloads(_docs(spark, sf), f"{work}/landed")
+    payloads.land_payloads(_docs(spark, sf), f"{work}/landed", packed=True)
     ingest.stream_ingest(
-        spark, f"{work}/landed", f"{work}/postings", f"{work}/checkpoint", F.lit(W.NOW)
+        spark,
+        f"{work}/landed",
+        f"{work}/postings",
+        f"{work}/checkpoint",
+        F.lit(W.NOW),
+        packed=True,
     ).awaitTermination()
     rows = spark.read.parquet(f"{work}/postings")
     return rows.select(

@@ -110,7 +110,7 @@ def earlier(base: DataFrame) -> DataFrame:
 
 def seen(base: DataFrame) -> DataFrame:
     """The store before the run, as ids."""
-    return earlier(base).select("job_id")
+    return earlier(base).select("job_id").distinct()
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -162,10 +162,9 @@ class KeyedStore:
             return
         stored = self._rows().where(F.col("id_prefix").isin(touched)).drop("id_prefix")
         merged = written(self._prefixed(merge(stored, batch)), f"{work}/merged")
-        # A prefix too big for one task is split by the next digit of the id.
-        next_digit = F.substring("job_id", self.prefix_digits + 1, 1)
+        # Rebalancing writes files of even size: small prefixes share a task, big ones are split.
         (
-            merged.repartition("id_prefix", next_digit)
+            merged.hint("rebalance", "id_prefix")
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy("id_prefix")

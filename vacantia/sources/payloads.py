@@ -13,20 +13,36 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _DETAIL = "workday_detail"
+_LINE = (
+    "payload_id string, slug string, query string, page int, path string, body string, "
+    "source string"
+)
 
 # What every normalised row carries of its payload.
 PAYLOAD_COLUMNS = ("payload_id", "source", "slug", "query", "page", "path", "fetched_at")
 
 
 def payload_scan(
-    spark: SparkSession, path: str, fetched_at: dt.datetime | Column, *, streaming: bool = False
+    spark: SparkSession,
+    path: str,
+    fetched_at: dt.datetime | Column,
+    *,
+    streaming: bool = False,
+    packed: bool = False,
 ) -> DataFrame:
-    """Landed files, one document each, batch or stream.
+    """Landed documents, batch or stream, below one `source=` folder per source.
 
-    The folders are `source=/slug=/query=/page=`, so each normaliser reads its own source only.
-    Detail documents lie under `source=workday_detail` with their external path as `query`.
+    Plain: one file per document in `source=/slug=/query=/page=`; detail documents lie under
+    `source=workday_detail` with their external path as `query`. Packed: JSON lines of
+    (payload_id, slug, query, page, path, body), many documents to a file, which is the form for
+    very many documents. Either way each normaliser reads its own source's folder only.
     """
     reader = spark.readStream if streaming else spark.read
+    when = fetched_at if isinstance(fetched_at, Column) else F.lit(fetched_at)
+    when = when.cast("timestamp").alias("fetched_at")
+    if packed:
+        lines = reader.schema(_LINE).json(path)
+        return lines.select(*[c for c in PAYLOAD_COLUMNS if c != "fetched_at"], "body", when)
     files = (
         reader.schema("value string, source string, slug string, query string, page int")
         .option("wholetext", "true")
@@ -34,7 +50,6 @@ def payload_scan(
     )
     detail = F.col("source") == _DETAIL
     file_path = F.col("_metadata.file_path")
-    when = fetched_at if isinstance(fetched_at, Column) else F.lit(fetched_at)
     return files.select(
         F.regexp_extract(file_path, r"/(source=[^/]*/.*)$", 1).alias("payload_id"),
         F.when(detail, "workday").otherwise(F.col("source")).alias("source"),
@@ -43,15 +58,19 @@ def payload_scan(
         F.when(~detail, F.col("page")).alias("page"),
         F.when(detail, F.col("query")).alias("path"),
         F.col("value").alias("body"),
-        when.cast("timestamp").alias("fetched_at"),
+        when,
     )
 
 
-def land_payloads(payloads: DataFrame, path: str) -> None:
-    """Write one file per document in the layout `payload_scan` reads.
+def land_payloads(payloads: DataFrame, path: str, *, packed: bool = False) -> None:
+    """Write documents in the layout `payload_scan` reads.
 
-    Source, slug, query and page name one document.
+    In the plain layout source, slug, query and page name one document.
     """
+    if packed:
+        lines = payloads.select("payload_id", "slug", "query", "page", "path", "body", "source")
+        lines.write.partitionBy("source").mode("append").json(path)
+        return
     detail = F.col("path").isNotNull()
     (
         payloads.select(

@@ -10,12 +10,12 @@ from vacantia.sources.payloads import item_rows
 _QUERY = ["source", "slug", "query"]
 
 
-def pages_until_short(documents: DataFrame, page_size: int, max_results: int) -> DataFrame:
-    """Pages a scan of each query would read: up to the first one shorter than ``page_size``.
+def scan_ends(documents: DataFrame, page_size: int, max_results: int) -> DataFrame:
+    """Where the scan of each query stops: ``short_page``, and whether it ``failed`` on the way.
 
-    A failed page that the scan reaches fails the whole query. Both facts come from a partial
-    aggregate over page sizes, so a query that owns a third of all pages is reduced before the
-    shuffle, and the pages themselves are not grouped.
+    A scan ends after the first page shorter than ``page_size``. A failed page that it reaches
+    fails the whole query. This is a partial aggregate over page sizes, so a query that owns a
+    third of all pages is reduced before the shuffle.
     """
     n = F.size("items")
     facts = documents.groupBy(*[F.col(k).alias(f"f_{k}") for k in _QUERY]).agg(
@@ -24,13 +24,7 @@ def pages_until_short(documents: DataFrame, page_size: int, max_results: int) ->
     )
     short, bad = F.col("short_page"), F.col("bad_page")
     reached = (short.isNull() | (bad <= short)) & ((bad - 1) * page_size < max_results)
-    facts = facts.withColumn("failed", F.coalesce(reached, F.lit(False)))
-    same_query = [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in _QUERY]
-    return (
-        documents.join(facts, same_query)
-        .where(~F.col("failed") & (short.isNull() | (F.col("page") <= short)))
-        .drop("short_page", "bad_page", "failed", *[f"f_{k}" for k in _QUERY])
-    )
+    return facts.withColumn("failed", F.coalesce(reached, F.lit(False))).drop("bad_page")
 
 
 def cap_rows(rows: DataFrame, max_results: int) -> DataFrame:
@@ -49,7 +43,19 @@ def cap_rows(rows: DataFrame, max_results: int) -> DataFrame:
 def cap_per_query(
     documents: DataFrame, max_results: int, page_size: int | None = None
 ) -> DataFrame:
-    """Items of each query, cut to ``max_results``; paging stops after a short page."""
-    if page_size is not None:
-        documents = pages_until_short(documents, page_size, max_results)
-    return cap_rows(item_rows(documents), max_results)
+    """Items of each query, cut to ``max_results``; paging stops after a short page.
+
+    The cut comes first. Rows up to the short page lead the page order, so the result is the same,
+    and the join sees ``max_results`` rows per query however many pages a query has.
+    """
+    rows = cap_rows(item_rows(documents), max_results)
+    if page_size is None:
+        return rows
+    same_query = [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in _QUERY]
+    ends = scan_ends(documents, page_size, max_results)
+    return (
+        rows.join(ends, same_query)
+        .where(~F.col("failed"))
+        .where(F.col("short_page").isNull() | (F.col("page") <= F.col("short_page")))
+        .drop("short_page", "failed", *[f"f_{k}" for k in _QUERY])
+    )

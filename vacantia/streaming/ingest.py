@@ -29,6 +29,8 @@ def stream_ingest(
     checkpoint: str,
     fetched_at: dt.datetime | Column,
     interval: str | None = None,
+    *,
+    packed: bool = False,
 ) -> StreamingQuery:
     """New landed files become postings under ``out``, one folder per micro-batch.
 
@@ -46,7 +48,7 @@ def stream_ingest(
         postings = combine_sources(landed_now, boards, sites)
         postings.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    stream = payload_scan(spark, landed, fetched_at, streaming=True)
+    stream = payload_scan(spark, landed, fetched_at, streaming=True, packed=packed)
     return _start(stream, handle, checkpoint, interval)
 
 
