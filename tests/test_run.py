@@ -101,9 +101,9 @@ def test_landed_documents_to_mail(spark, store, tmp_path):
     )
     payloads.land_payloads(made.unionByName(broken), landed)
     docs = payloads.payload_scan(spark, landed, NOW(W.NOW))
-    status = normalise.payload_validate(docs)
+    status = normalise.source_status(normalise.payload_validate(docs))
     postings = normalise.combine_sources(
-        docs, registry.boards(spark), registry.workday_boards(spark)
+        docs, registry.boards(spark), registry.workday_boards(spark), normalise.REGISTRY_CAPS
     )
 
     def scorer(batches):

@@ -173,9 +173,12 @@ def test_usajobs_shapes(land):
 
 
 def test_source_failures(land):
-    docs = land("lever", [LEVER], "x").unionByName(land("remotive", {"jobs": []}, {"error": 1}, "x"))
+    # One board and two searches; a search with one bad page among good ones has failed.
+    docs = land("lever", [LEVER], [LEVER]).unionByName(
+        land("remotive", {"jobs": []}, {"jobs": []}, {"error": 1}, query=["a", "b", "b"])
+    )
     row = normalise.source_failures(normalise.payload_validate(docs)).collect()[0]
-    assert (row["source_count"], row["source_failures"]) == (5, 3)
+    assert (row["source_count"], row["source_failures"]) == (3, 1)
 
 
 def test_workday(land, spark):

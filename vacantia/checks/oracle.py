@@ -586,7 +586,8 @@ FROM landed WHERE source = 'workday' AND {_DETAIL}""",
   {_at('posted_at + to_milliseconds(seq)')} AS from_millis FROM base""",
         "payload_validate": f"WITH {_LANDED}, {_STATUS} SELECT payload_id, source, status, n_items FROM docs",
         "source_failures": f"""WITH {_LANDED}, {_STATUS} SELECT count(*) AS source_count,
-  count(*) FILTER (WHERE status = 'failed') AS source_failures FROM docs""",
+  count(*) FILTER (WHERE bad) AS source_failures
+FROM (SELECT bool_or(status = 'failed') AS bad FROM docs GROUP BY source, slug, query)""",
         "combine_sources": f"""WITH {_workday_rows('true')}
 SELECT payload_id, pos, source, job_id, title FROM landed
 WHERE source <> 'workday' AND ok AND (source <> 'ashby' OR seq % 11 <> 5)

@@ -307,21 +307,41 @@ def payload_validate(payloads: DataFrame) -> DataFrame:
     )
 
 
+def source_status(status: DataFrame) -> DataFrame:
+    """Status per source of a run (a board, or one search): one failed document fails it."""
+    return (
+        status.groupBy("source", "slug", "query")
+        .agg(F.count_if(F.col("status") == "failed").alias("failed_documents"))
+        .withColumn("status", F.when(F.col("failed_documents") > 0, "failed").otherwise("ok"))
+    )
+
+
 def source_failures(status: DataFrame) -> DataFrame:
-    """One row: documents, and how many of them failed."""
-    return status.agg(
+    """One row: sources that landed something, and how many of them failed."""
+    return source_status(status).agg(
         F.count(F.lit(1)).alias("source_count"),
         F.count_if(F.col("status") == "failed").alias("source_failures"),
     )
 
 
+# Caps of the registered searches.
+REGISTRY_CAPS = {
+    "adzuna": V.ADZUNA_QUERY_MAX_RESULTS,
+    "workday": V.WORKDAY_QUERY_MAX_RESULTS,
+    "usajobs": V.USAJOBS_QUERY_MAX_RESULTS,
+}
+
+
 def combine_sources(
     payloads: DataFrame,
     boards: DataFrame | None = None,
     workday_boards: DataFrame | None = None,
     caps: Mapping[str, int] | None = None,
 ) -> DataFrame:
-    """Bag union of all sources, each in its own order; nothing is deduplicated here."""
+    """Bag union of all sources, each in its own order; nothing is deduplicated here.
+
+    ``caps`` bounds the results per query of a source; `REGISTRY_CAPS` are the registry's own.
+    """
     caps = caps or {}
     feeds = [
         normalise(payloads, source, boards, caps.get(source)) for source in BOARD_SOURCES
