@@ -17,8 +17,8 @@ from vacantia.functions.location import (
 )
 from vacantia.operators.ranking import with_global_rank
 
-# Above this many rows a top-n heap per task is no longer small.
-_HEAP_LIMIT = 100_000
+# Above this a top-n is too much for one reducer, which gets n rows from every task.
+_HEAP_LIMIT = 1_000
 
 
 def instant(now: dt.datetime | str | Column) -> Column:

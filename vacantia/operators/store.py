@@ -123,9 +123,15 @@ class KeyedStore:
     def read(self) -> DataFrame:
         return self._rows().drop("id_prefix")
 
-    def ids(self) -> DataFrame:
-        """Stored ids; only that column is read."""
-        return self.read().select("job_id")
+    def near(self, batch: DataFrame) -> DataFrame:
+        """Stored rows in the folders that can hold an id of ``batch``, a written table.
+
+        A small batch touches few folders and the others are not read. At most
+        16 ** prefix_digits prefixes come to the driver.
+        """
+        prefixes = self._prefixed(batch.select("job_id")).select("id_prefix").distinct()
+        touched = [r[0] for r in prefixes.collect()]
+        return self._rows().where(F.col("id_prefix").isin(touched)).drop("id_prefix")
 
     def get(self, job_id: str) -> DataFrame:
         """Stored record of one id, from the one folder that can hold it."""
@@ -156,12 +162,7 @@ class KeyedStore:
         """Rewrite the prefixes that ``batch`` touches with ``merge(stored rows, batch)``."""
         work = new_work_dir(self.spark, "upsert")
         batch = written(batch, f"{work}/batch")
-        # At most 16 ** prefix_digits values come to the driver.
-        touched = [r[0] for r in self._prefixed(batch).select("id_prefix").distinct().collect()]
-        if not touched:
-            return
-        stored = self._rows().where(F.col("id_prefix").isin(touched)).drop("id_prefix")
-        merged = written(self._prefixed(merge(stored, batch)), f"{work}/merged")
+        merged = written(self._prefixed(merge(self.near(batch), batch)), f"{work}/merged")
         # Rebalancing writes files of even size: small prefixes share a task, big ones are split.
         (
             merged.hint("rebalance", "id_prefix")

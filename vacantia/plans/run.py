@@ -65,7 +65,7 @@ def run_cycle(
     eligible = gate.keep_worth_scoring(fetched)
     narrow = eligible.select("seq", "job_id", "location", "remote", "posted_at")
     unique = written(dedup.dedup_in_batch(narrow), f"{work}/unique")
-    new = written(dedup.unseen(unique, stored.ids()), f"{work}/new")
+    new = written(dedup.unseen(unique, stored.near(unique)), f"{work}/new")
 
     chosen = gate.select_within_budget(
         gate.workable_gate(new, workable_only, gazetteer), now, max_age_days, max_score_per_run

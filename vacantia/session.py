@@ -13,6 +13,8 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Per-group limits are applied before the shuffle whatever their size.
+    "spark.sql.optimizer.windowGroupLimitThreshold": "1000000000",
     # Texts are long: smaller batches bound a Python worker's memory.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }

@@ -70,7 +70,8 @@ def stream_dedup(
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = f"{out}/batch_id={batch_id}"
         if not was_committed(spark, out, batch_id):
-            written(dedup.new_jobs_only(batch, stored.ids()), rows)
+            unique = written(dedup.dedup_in_batch(batch), new_work_dir(spark, f"dedup-{batch_id}"))
+            written(dedup.unseen(unique, stored.near(unique)), rows)
             commit(spark, out, batch_id)
         stored.mark_seen(spark.read.schema(batch.schema).parquet(rows))
 
