@@ -103,7 +103,11 @@ def test_landed_documents_to_mail(spark, store, tmp_path):
     docs = payloads.payload_scan(spark, landed, NOW(W.NOW))
     status = normalise.source_status(normalise.payload_validate(docs))
     postings = normalise.combine_sources(
-        docs, registry.boards(spark), registry.workday_boards(spark), normalise.REGISTRY_CAPS
+        docs,
+        registry.boards(spark),
+        registry.workday_boards(spark),
+        normalise.REGISTRY_CAPS,
+        raw=True,
     )
 
     def scorer(batches):
@@ -112,7 +116,14 @@ def test_landed_documents_to_mail(spark, store, tmp_path):
             yield batch[["job_id"]].assign(reply='{"score": ' + score.astype(str) + ', "reason": "ok"}')
 
     result = run_cycle(
-        spark, postings, store, scorer=scorer, profile=W.PROFILE, now=NOW(W.NOW), source_status=status
+        spark,
+        postings,
+        store,
+        scorer=scorer,
+        profile=W.PROFILE,
+        now=NOW(W.NOW),
+        source_status=status,
+        score_tasks=4,
     )
     c = result.counts.collect()[0]
     assert c["source_failures"] == status.where("status = 'failed'").count() > 0

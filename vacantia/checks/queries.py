@@ -165,7 +165,7 @@ def workday_hydrate(spark: SparkSession, sf: str) -> DataFrame:
         registry.workday_boards(spark),
         keep=location.is_us_eligible(F.col("location")),
     )
-    return _normalised(rows)
+    return _normalised(normalise.described(rows))
 
 
 @query

@@ -51,7 +51,18 @@ def _plain_udf(markup: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _plain_each_udf(markups: pd.Series) -> pd.Series:
-    return markups.map(lambda row: [_plain(m or "") for m in row], na_action="ignore")
+    return markups.map(lambda row: [_plain(m) for m in row], na_action="ignore")
+
+
+def _native_plain(markup: Column) -> Column:
+    """Plain text of markup without entities."""
+    tail = F.substring_index(markup, ">", -1)
+    tagged = F.left(markup, F.length(markup) - F.length(tail))
+    return collapse_ws(F.concat(F.regexp_replace(tagged, V.TAG_PATTERN, " "), tail))
+
+
+def _has_entity(markup: Column) -> Column:
+    return F.contains(markup, F.lit("&"))
 
 
 def html_to_text(markup: Column) -> Column:
@@ -59,16 +70,26 @@ def html_to_text(markup: Column) -> Column:
 
     Only rows holding an entity go to Python; the others stay in the JVM.
     """
-    tail = F.substring_index(markup, ">", -1)
-    tagged = F.left(markup, F.length(markup) - F.length(tail))
-    native = collapse_ws(F.concat(F.regexp_replace(tagged, V.TAG_PATTERN, " "), tail))
-    unescaped = _plain_udf(F.when(F.contains(markup, F.lit("&")), markup))
-    return F.coalesce(unescaped, native)
+    return F.coalesce(_plain_udf(F.when(_has_entity(markup), markup)), _native_plain(markup))
+
+
+def part(text: Column, *, html: bool) -> Column:
+    """A piece of a posting's text, as it was found."""
+    return F.struct(F.lit(html).alias("html"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def html_each_to_text(markups: Column) -> Column:
-    """`html_to_text` for every element of an array, NULL elements as ''."""
-    return _plain_each_udf(markups)
+def parts_to_text(parts: Column) -> Column:
+    """Description from its parts: HTML ones cleaned, empty ones left out, joined by blanks.
+
+    As in `html_to_text`, only rows with an entity in an HTML part go to Python.
+    """
+    markup = F.transform(parts, lambda p: F.when(p["html"], p["text"]).otherwise(""))
+    cleaned = F.coalesce(
+        _plain_each_udf(F.when(F.exists(markup, _has_entity), markup)),
+        F.transform(markup, _native_plain),
+    )
+    texts = F.zip_with(parts, cleaned, lambda p, c: F.when(p["html"], c).otherwise(p["text"]))
+    return strip_ws(F.array_join(F.filter(texts, lambda t: t != ""), " "))
 
 
 def neutralise_fence(text: Column) -> Column:

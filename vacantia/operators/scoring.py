@@ -202,11 +202,18 @@ def unscored(postings: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def request_replies(
-    postings: DataFrame, scorer: Scorer, profile: dict[str, Any] | None = None
+    postings: DataFrame,
+    scorer: Scorer,
+    profile: dict[str, Any] | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Replies from an injected scorer. The caller writes the result before using it twice, so
-    that no request is paid for again."""
+    """Replies from an injected scorer, called by ``tasks`` tasks at a time if given.
+
+    The caller writes the result before using it twice, so that no request is paid for again.
+    """
     requests = postings.select(
         "job_id", build_prompt(F.col("title"), F.col("description"), profile).alias("prompt")
     )
+    if tasks is not None:
+        requests = requests.repartition(tasks, "job_id")
     return requests.mapInPandas(scorer, S.REPLY)

@@ -1,8 +1,10 @@
 """One full run over landed documents: the stages in cost order.
 
-Each costly step is computed once and written to the shared folder: the parsed postings, the new
-ids, the selected postings (before anything is paid for), the replies and the ranking. Dedup and
-selection work on narrow columns; the wide rows are fetched for the selected ones only.
+The gate works on five narrow columns of all postings. Text is read, and HTML cleaned, for the
+selected postings only, in a second pass over the feed: with a budget they are few, and the wide
+feed is neither shuffled nor copied. What a step decides is written to the shared folder before the
+next one uses it: the narrow feed, the new ids, the selected postings (before anything is paid
+for), the replies and the ranking.
 """
 
 from __future__ import annotations
@@ -20,6 +22,7 @@ from vacantia.functions.location import DEFAULT_GAZETTEER, Gazetteer
 from vacantia.operators import dedup, gate, metrics, ranking, scoring, selection
 from vacantia.operators.store import KeyedStore
 from vacantia.session import new_work_dir, use_utc, written
+from vacantia.sources.normalise import described
 
 
 @dataclass(frozen=True)
@@ -48,34 +51,40 @@ def run_cycle(
     workable_only: bool = True,
     now: dt.datetime | Column,
     gazetteer: Gazetteer = DEFAULT_GAZETTEER,
+    score_tasks: int | None = None,
     work_dir: str | None = None,
     save: bool = True,
 ) -> RunResult:
     """Run once. Scored postings, skipped ones too, end up in the store (``save``).
 
-    ``postings`` carries ``seq`` and ``job_id``; replies are a landed table or come from
-    ``scorer``. ``source_status`` has a ``status`` per source.
+    ``postings`` carries ``seq``, unique and the same in every pass, and ``job_id``; its text is in
+    ``description`` or still in ``body_parts`` (`combine_sources(..., raw=True)`). Replies are a
+    landed table or come from ``scorer``, which ``score_tasks`` tasks call at a time.
+    ``source_status`` has a ``status`` per source.
     """
     if (replies is None) == (scorer is None):
         raise ValueError("give either replies or a scorer")
     use_utc(spark)
     work = work_dir or new_work_dir(spark, "run")
 
-    fetched = written(postings, f"{work}/postings")
+    narrow = postings.select("seq", "job_id", "location", "remote", "posted_at")
+    fetched = written(narrow, f"{work}/fetched")
     eligible = gate.keep_worth_scoring(fetched)
-    narrow = eligible.select("seq", "job_id", "location", "remote", "posted_at")
-    unique = written(dedup.dedup_in_batch(narrow), f"{work}/unique")
+    unique = written(dedup.dedup_in_batch(eligible), f"{work}/unique")
     new = written(dedup.unseen(unique, stored.near(unique)), f"{work}/new")
 
     chosen = gate.select_within_budget(
         gate.workable_gate(new, workable_only, gazetteer), now, max_age_days, max_score_per_run
     )
-    picked = chosen.select("job_id", "seq")
-    selected = written(fetched.join(picked, ["job_id", "seq"], "left_semi"), f"{work}/selected")
+    picked = written(chosen.select("job_id", "seq"), f"{work}/picked")
+    wide = postings.join(picked, ["job_id", "seq"], "left_semi")
+    selected = written(
+        described(wide) if "body_parts" in wide.columns else wide, f"{work}/selected"
+    )
 
     if scorer is not None:
         replies = written(
-            scoring.request_replies(selected, scorer, profile), f"{work}/replies"
+            scoring.request_replies(selected, scorer, profile, score_tasks), f"{work}/replies"
         )
     else:
         # A big table of landed replies is cut to the selected ids before it is shuffled.

@@ -26,21 +26,6 @@ PAYLOAD = T.StructType(
     ]
 )
 
-POSTING_COLUMNS = (
-    "source",
-    "source_id",
-    "company",
-    "title",
-    "url",
-    "location",
-    "remote",
-    "salary",
-    "salary_is_estimated",
-    "description",
-    "posted_at",
-    "fetched_at",
-)
-
 FACTS = T.StructType(
     [
         T.StructField("score", _I),

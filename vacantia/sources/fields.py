@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as V
-from vacantia.functions.text import html_each_to_text, null_if_empty, strip_ws
+from vacantia.functions.text import null_if_empty, part
 
 
 def _has_remote(text: Column) -> Column:
@@ -38,16 +38,14 @@ def lever_locations(categories: Column) -> Column:
     return F.when(F.size(every) > 0, F.array_join(every, ", ")).otherwise(categories["location"])
 
 
-def lever_description(intro: Column, lists: Column, closing: Column) -> Column:
-    """Intro, then each section's title and text, then the closing; empty parts are left out."""
-    sections = F.coalesce(lists, F.from_json(F.lit("[]"), "array<struct<text:string,content:string>>"))
-    bodies = html_each_to_text(F.transform(sections, lambda s: F.coalesce(s["content"], F.lit(""))))
-    titles = F.transform(sections, lambda s: F.coalesce(s["text"], F.lit("")))
-    middle = F.flatten(F.zip_with(titles, bodies, lambda t, b: F.array(t, b)))
-    parts = F.concat(
-        F.array(F.coalesce(intro, F.lit(""))), middle, F.array(F.coalesce(closing, F.lit("")))
+def lever_description_parts(intro: Column, lists: Column, closing: Column) -> Column:
+    """Intro, then each section's title and its HTML, then the closing."""
+    sections = F.transform(
+        lists, lambda s: F.array(part(s["text"], html=False), part(s["content"], html=True))
     )
-    return strip_ws(F.array_join(F.filter(parts, lambda p: p != ""), " "))
+    intro_part, closing_part = part(intro, html=False), part(closing, html=False)
+    whole = F.concat(F.array(intro_part), F.flatten(sections), F.array(closing_part))
+    return F.coalesce(whole, F.array(intro_part, closing_part))
 
 
 def ashby_remote(workplace_type: Column) -> Column:
@@ -107,15 +105,15 @@ def adzuna_apply_url(url: Column) -> Column:
     )
     pairs = F.split(F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1), "&")
 
-    def part(pair: Column, value: bool) -> Column:
+    def side(pair: Column, value: bool) -> Column:
         raw = F.regexp_extract(pair, r"(?s)^([^=]*)=(.+)$", 2 if value else 1)
         return F.coalesce(F.try_url_decode(raw), raw)
 
-    utm = F.filter(pairs, lambda p: p.rlike("(?s)^[^=]*=.") & part(p, False).startswith("utm_"))
+    utm = F.filter(pairs, lambda p: p.rlike("(?s)^[^=]*=.") & side(p, False).startswith("utm_"))
     query = F.array_join(
         F.transform(
             utm,
-            lambda p: F.concat(_form_quote(part(p, False)), F.lit("="), _form_quote(part(p, True))),
+            lambda p: F.concat(_form_quote(side(p, False)), F.lit("="), _form_quote(side(p, True))),
         ),
         "&",
     )

@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from vacantia import fixed_values as V
 from vacantia import schemas as S
 from vacantia.functions.identity import job_id, parse_posted_at, parse_posted_millis
-from vacantia.functions.text import html_to_text, null_if_empty
+from vacantia.functions.text import null_if_empty, part, parts_to_text
 from vacantia.sources import fields
 from vacantia.sources.payloads import item_rows, with_items, with_status
 from vacantia.sources.quota import cap_per_query
-from vacantia.sources.workday import normalise_workday, stub_documents
+from vacantia.sources.workday import extract_workday, stub_documents
 
 
 def _filled(*values: Column) -> Column:
@@ -52,7 +52,7 @@ def _greenhouse(i: Column, company: Column) -> Mapping[str, Column]:
         "remote": fields.greenhouse_remote(i["location"]["name"], i["metadata"]),
         "salary": _no_text(),
         "salary_is_estimated": F.lit(False),
-        "description": html_to_text(_or_empty(i["content"])),
+        "body_parts": F.array(part(i["content"], html=True)),
         "posted_at": parse_posted_at(i["first_published"]),
     }
 
@@ -67,7 +67,7 @@ def _lever(i: Column, company: Column) -> Mapping[str, Column]:
         "remote": F.coalesce(i["workplaceType"] == "remote", F.lit(False)),
         "salary": _no_text(),
         "salary_is_estimated": F.lit(False),
-        "description": fields.lever_description(
+        "body_parts": fields.lever_description_parts(
             i["descriptionPlain"], i["lists"], i["additionalPlain"]
         ),
         "posted_at": parse_posted_millis(i["createdAt"]),
@@ -84,7 +84,7 @@ def _ashby(i: Column, company: Column) -> Mapping[str, Column]:
         "remote": fields.ashby_remote(i["workplaceType"]),
         "salary": fields.ashby_salary(i["compensation"]),
         "salary_is_estimated": F.lit(False),
-        "description": html_to_text(_or_empty(i["descriptionPlain"])),
+        "body_parts": F.array(part(i["descriptionPlain"], html=True)),
         "posted_at": parse_posted_at(i["publishedAt"]),
     }
 
@@ -99,7 +99,7 @@ def _remotive(i: Column, company: Column) -> Mapping[str, Column]:
         "remote": F.lit(True),
         "salary": null_if_empty(i["salary"]),
         "salary_is_estimated": F.lit(False),
-        "description": html_to_text(_or_empty(i["description"])),
+        "body_parts": F.array(part(i["description"], html=True)),
         "posted_at": parse_posted_at(i["publication_date"]),
     }
 
@@ -112,13 +112,14 @@ def _adzuna(i: Column, company: Column) -> Mapping[str, Column]:
         "title": i["title"],
         "url": fields.adzuna_apply_url(i["redirect_url"]),
         "location": location,
-        # The remote hint is read off the cleaned description, in a second step.
-        "remote": F.lit(False),
+        "remote": fields.adzuna_remote(
+            i["title"], location, parts_to_text(F.array(part(i["description"], html=True)))
+        ),
         "salary": fields.adzuna_salary(i["salary_min"], i["salary_max"]),
         "salary_is_estimated": fields.adzuna_estimated(
             i["salary_min"], i["salary_max"], i["salary_is_predicted"]
         ),
-        "description": html_to_text(_or_empty(i["description"])),
+        "body_parts": F.array(part(i["description"], html=True)),
         "posted_at": parse_posted_at(i["created"]),
     }
 
@@ -135,7 +136,7 @@ def _usajobs(i: Column, company: Column) -> Mapping[str, Column]:
         "remote": F.coalesce(details["RemoteIndicator"], F.lit(False)),
         "salary": fields.usajobs_salary(md["PositionRemuneration"]),
         "salary_is_estimated": F.lit(False),
-        "description": html_to_text(_or_empty(details["JobSummary"])),
+        "body_parts": F.array(part(details["JobSummary"], html=True)),
         "posted_at": parse_posted_at(md["PublicationStartDate"]),
     }
 
@@ -229,17 +230,16 @@ def sequence_key(source: Column) -> Column:
     )
 
 
-def _posting_columns(values: Mapping[str, Column]) -> list[Column]:
-    return [values[c].alias(c) for c in S.POSTING_COLUMNS if c in values]
-
-
-def normalise(
+def extract(
     payloads: DataFrame,
     source: str,
     boards: DataFrame | None = None,
     max_results: int | None = None,
 ) -> DataFrame:
-    """Postings of one source, with ``seq``, ``payload_id``, ``slug`` and ``query``."""
+    """Postings of one source with their text still in ``body_parts``.
+
+    Also ``seq``, ``payload_id``, ``slug``, ``query`` and ``job_id``.
+    """
     kind = BOARD_SOURCES[source]
     read = documents(payloads, source)
     if max_results is not None:
@@ -253,20 +253,33 @@ def normalise(
         rows = company_enrich(rows, boards)
     else:
         rows = rows.withColumn("company", F.lit(None).cast("string"))
-    out = rows.select(
+    values = kind.project(F.col("item"), F.col("company"))
+    return rows.select(
         sequence_key(F.col("source")).alias("seq"),
         "payload_id",
         "slug",
         "query",
+        job_id(F.col("source"), values["source_id"]).alias("job_id"),
         "source",
-        *_posting_columns(kind.project(F.col("item"), F.col("company"))),
+        *[value.alias(name) for name, value in values.items()],
         "fetched_at",
     )
-    if source == "adzuna":
-        out = out.withColumn(
-            "remote", fields.adzuna_remote(F.col("title"), F.col("location"), F.col("description"))
-        )
-    return out
+
+
+def described(extracted: DataFrame) -> DataFrame:
+    """Replace ``body_parts`` by ``description``: the one step that may need Python."""
+    text = parts_to_text(F.col("body_parts"))
+    return extracted.withColumn("description", text).drop("body_parts")
+
+
+def normalise(
+    payloads: DataFrame,
+    source: str,
+    boards: DataFrame | None = None,
+    max_results: int | None = None,
+) -> DataFrame:
+    """Postings of one source."""
+    return described(extract(payloads, source, boards, max_results))
 
 
 def normalise_greenhouse(payloads: DataFrame) -> DataFrame:
@@ -324,6 +337,15 @@ def source_failures(status: DataFrame) -> DataFrame:
     )
 
 
+def normalise_workday(
+    payloads: DataFrame,
+    boards: DataFrame,
+    max_results: int | None = None,
+    keep: Column | None = None,
+) -> DataFrame:
+    return described(extract_workday(payloads, boards, max_results, keep))
+
+
 # Caps of the registered searches.
 REGISTRY_CAPS = {
     "adzuna": V.ADZUNA_QUERY_MAX_RESULTS,
@@ -337,16 +359,17 @@ def combine_sources(
     boards: DataFrame | None = None,
     workday_boards: DataFrame | None = None,
     caps: Mapping[str, int] | None = None,
+    *,
+    raw: bool = False,
 ) -> DataFrame:
     """Bag union of all sources, each in its own order; nothing is deduplicated here.
 
     ``caps`` bounds the results per query of a source; `REGISTRY_CAPS` are the registry's own.
+    With ``raw`` the text stays in ``body_parts``, for a caller that describes few of the rows.
     """
     caps = caps or {}
-    feeds = [
-        normalise(payloads, source, boards, caps.get(source)) for source in BOARD_SOURCES
-    ]
+    feeds = [extract(payloads, source, boards, caps.get(source)) for source in BOARD_SOURCES]
     if workday_boards is not None:
-        feeds.append(normalise_workday(payloads, workday_boards, caps.get("workday")))
+        feeds.append(extract_workday(payloads, workday_boards, caps.get("workday")))
     postings = reduce(DataFrame.unionByName, feeds)
-    return postings.withColumn("job_id", job_id(F.col("source"), F.col("source_id")))
+    return postings if raw else described(postings)

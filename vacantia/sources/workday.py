@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from vacantia import fixed_values as V
 from vacantia import schemas as S
-from vacantia.functions.identity import parse_posted_at
-from vacantia.functions.text import html_to_text, null_if_empty
+from vacantia.functions.identity import job_id, parse_posted_at
+from vacantia.functions.text import null_if_empty, part
 from vacantia.sources import fields
 from vacantia.sources.payloads import PAYLOAD_COLUMNS, item_rows, only, with_items, wrapped
 from vacantia.sources.quota import cap_per_query
@@ -77,7 +77,7 @@ def workday_hydrate(
     company: Column | None = None,
     keep: Column | None = None,
 ) -> DataFrame:
-    """Postings for the stubs that ``keep`` wants and whose detail could be read.
+    """Postings, text in ``body_parts``, for the stubs that ``keep`` wants and whose detail could be read.
 
     A stub without a readable detail is dropped and the rest survive. A detail without a title
     fails its whole query: those queries are found on narrow rows and anti-joined away.
@@ -102,6 +102,7 @@ def workday_hydrate(
     )
     rows = whole.join(details, same_job).join(sites, F.col("slug") == F.col("b_tenant"), "left")
     info = F.col("info")
+    source_id = fields.workday_source_id(F.col("slug"), info)
     place = F.coalesce(info["location"], F.lit(""))
     name = F.coalesce(F.col("b_company"), F.col("slug"))
     return rows.select(
@@ -113,8 +114,9 @@ def workday_hydrate(
         "payload_id",
         "slug",
         "query",
+        job_id(F.col("source"), source_id).alias("job_id"),
         "source",
-        fields.workday_source_id(F.col("slug"), info).alias("source_id"),
+        source_id.alias("source_id"),
         (name if company is None else F.coalesce(company, F.col("slug"))).alias("company"),
         info["title"].alias("title"),
         fields.workday_url(F.col("host"), F.col("site"), info).alias("url"),
@@ -122,13 +124,13 @@ def workday_hydrate(
         F.contains(F.lower(place), F.lit("remote")).alias("remote"),
         F.lit(None).cast("string").alias("salary"),
         F.lit(False).alias("salary_is_estimated"),
-        html_to_text(F.coalesce(info["jobDescription"], F.lit(""))).alias("description"),
+        F.array(part(info["jobDescription"], html=True)).alias("body_parts"),
         parse_posted_at(info["startDate"]).alias("posted_at"),
         "fetched_at",
     )
 
 
-def normalise_workday(
+def extract_workday(
     payloads: DataFrame,
     boards: DataFrame,
     max_results: int | None = None,
