@@ -260,6 +260,14 @@ def test_plans(spark, feed, tmp_path):
         parsed = plan(normalise.normalise(docs, source, registry.boards(spark)))
         assert parsed.count("from_json") == 1, source
         assert "PartitionFilters: [isnotnull(source" in parsed
+        assert "Exchange hashpartitioning" not in parsed, source
+    # Text is cleaned after the selected rows are picked, and the gate cleans none but one source's.
+    feed_ = normalise.combine_sources(docs, registry.boards(spark), raw=True)
+    picked = written(feed_.select("job_id", "seq").limit(9), str(tmp_path / "picked"))
+    wide = plan(normalise.described(feed_.join(picked, ["job_id", "seq"], "left_semi")))
+    for branch in wide.split("FileScan")[:-1]:
+        assert "ArrowEvalPython" not in branch or branch.index("ArrowEvalPython") < branch.index("LeftSemi")
+    assert plan(feed_.select("seq", "job_id", "location", "remote")).count("ArrowEvalPython") == 1
     top = plan(gate.select_within_budget(feed[0], NOW(W.NOW), 14, 200))
     assert "TakeOrderedAndProject" in top and "PushedFilters: [Or(IsNull(posted_at)" in top
 

@@ -2,32 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from itertools import product
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as V
 
-_BOARD_SCHEMA = "source string, slug string, company string"
-_QUERY_SCHEMA = (
-    "source string, slug string, query string, place string, radius int, remote_only boolean, "
-    "max_results int"
-)
+_TEXT, _INT, _FLAG = pa.string(), pa.int32(), pa.bool_()
+_BOARD = {"source": _TEXT, "slug": _TEXT, "company": _TEXT}
+_TENANT = {"tenant": _TEXT, "site": _TEXT, "host": _TEXT, "company": _TEXT}
+_QUERY = {
+    "source": _TEXT, "slug": _TEXT, "query": _TEXT, "place": _TEXT, "radius": _INT,
+    "remote_only": _FLAG, "max_results": _INT,
+}
+
+
+def _local(
+    spark: SparkSession, rows: Sequence[tuple], columns: dict[str, pa.DataType]
+) -> DataFrame:
+    """A local table. Spark knows its size, so joins with it broadcast it without a hint."""
+    values = zip(*rows, strict=True) if rows else [[]] * len(columns)
+    arrays = [pa.array(list(v), t) for v, t in zip(values, columns.values(), strict=True)]
+    return spark.createDataFrame(pa.table(dict(zip(columns, arrays, strict=True))))
 
 
 def boards(
     spark: SparkSession, rows: Iterable[tuple[str, str, str]] = V.BOARDS
 ) -> DataFrame:
     """Company boards: (source, slug, company)."""
-    return spark.createDataFrame(list(rows), _BOARD_SCHEMA)
+    return _local(spark, list(rows), _BOARD)
 
 
 def workday_boards(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(
-        list(V.WORKDAY_BOARDS), "tenant string, site string, host string, company string"
-    )
+    return _local(spark, V.WORKDAY_BOARDS, _TENANT)
 
 
 def _queries() -> list[tuple]:
@@ -51,15 +61,13 @@ def _queries() -> list[tuple]:
 
 def query_grid(spark: SparkSession) -> DataFrame:
     """Searches of the queried sources: every term in every scope (``slug``)."""
-    return spark.createDataFrame(_queries(), _QUERY_SCHEMA)
+    return _local(spark, _queries(), _QUERY)
 
 
 def all_sources(spark: SparkSession) -> DataFrame:
     """Everything a full run reads, numbered by ``source_no`` from 0: boards, then searches."""
     rows = [(*board[:2], None, None, None, None, None) for board in V.BOARDS] + _queries()
-    return spark.createDataFrame(
-        [(n, *row) for n, row in enumerate(rows)], f"source_no int, {_QUERY_SCHEMA}"
-    )
+    return _local(spark, [(n, *row) for n, row in enumerate(rows)], {"source_no": _INT} | _QUERY)
 
 
 def landed_by_source(registry: DataFrame, status: DataFrame) -> DataFrame:
