@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,13 +39,14 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@cache
+def _own_dir() -> str:
+    return tempfile.mkdtemp(prefix="vacantia-")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder; a local one is made only where none is named."""
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        configured = tempfile.mkdtemp(prefix="vacantia-")
-        spark.conf.set("spark.checkpoint.dir", configured)
-    return configured.rstrip("/")
+    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
 
 
 def new_work_dir(spark: SparkSession, label: str) -> str:
