@@ -93,6 +93,30 @@ def test_nothing_new_asks_for_no_score(spark, feed, store):
         run_cycle(spark, feed[0], store, now=NOW(W.NOW))
 
 
+def test_repeated_run_pays_only_for_unusable_replies(spark, feed, store, tmp_path):
+    def scorer(batches):
+        for batch in batches:
+            broken = batch["job_id"].str[0].isin(list("01234567"))
+            reply = broken.map({True: "oops", False: '{"score": 70}'})
+            yield batch[["job_id"]].assign(reply=reply)
+
+    def second(batches):
+        for batch in batches:
+            assert batch["job_id"].str[0].isin(list("01234567")).all()
+            yield batch[["job_id"]].assign(reply='{"score": 60}')
+
+    log = str(tmp_path / "log")
+    attempt = lambda s: run_cycle(
+        spark, feed[0], store, scorer=s, now=NOW(W.NOW), reply_log=log, save=False, score_tasks=2
+    )
+    first = {r["job_id"] for r in attempt(scorer).ranked.collect()}
+    scores = {r["job_id"]: r["score"] for r in attempt(second).ranked.collect()}
+    assert first and first < set(scores)
+    assert {j for j, s in scores.items() if s == 70} == first
+    # Everything is in the log now, so nobody is asked.
+    assert attempt(second).ranked.count() == len(scores)
+
+
 def test_landed_documents_to_mail(spark, store, tmp_path):
     landed = str(tmp_path / "landed")
     made = W.payloads(W.postings(spark, SMALL))

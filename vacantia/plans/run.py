@@ -10,13 +10,16 @@ for), the replies and the ranking.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia import fixed_values as V
+from vacantia import schemas as S
 from vacantia.functions.fit import rank_keys
 from vacantia.functions.location import DEFAULT_GAZETTEER, Gazetteer
 from vacantia.operators import dedup, gate, metrics, ranking, scoring, selection
@@ -52,6 +55,7 @@ def run_cycle(
     now: dt.datetime | Column,
     gazetteer: Gazetteer = DEFAULT_GAZETTEER,
     score_tasks: int | None = None,
+    reply_log: str | None = None,
     work_dir: str | None = None,
     save: bool = True,
 ) -> RunResult:
@@ -59,7 +63,8 @@ def run_cycle(
 
     ``postings`` carries ``seq``, unique and the same in every pass, and ``job_id``; its text is in
     ``description`` or still in ``body_parts`` (`combine_sources(..., raw=True)`). Replies are a
-    landed table or come from ``scorer``, which ``score_tasks`` tasks call at a time.
+    landed table or come from ``scorer``, which ``score_tasks`` tasks call at a time; with a
+    ``reply_log`` folder a run that is repeated after a failure does not pay for them again.
     ``source_status`` has a ``status`` per source.
     """
     if (replies is None) == (scorer is None):
@@ -83,9 +88,8 @@ def run_cycle(
     )
 
     if scorer is not None:
-        replies = written(
-            scoring.request_replies(selected, scorer, profile, score_tasks), f"{work}/replies"
-        )
+        ask = partial(scoring.request_replies, scorer=scorer, profile=profile, tasks=score_tasks)
+        replies = _paid_once(spark, selected, ask, work, reply_log)
     else:
         # A big table of landed replies is cut to the selected ids before it is shuffled.
         replies = replies.join(selected.select("job_id"), "job_id", "left_semi")
@@ -98,6 +102,31 @@ def run_cycle(
     )
 
 
+def _paid_once(
+    spark: SparkSession,
+    selected: DataFrame,
+    ask: Callable[[DataFrame], DataFrame],
+    work: str,
+    reply_log: str | None,
+) -> DataFrame:
+    """Replies for the selected postings, written before they are used.
+
+    With a log, usable replies of earlier attempts are taken from it and only the others are
+    asked for; unusable ones are asked for again.
+    """
+    if reply_log is None:
+        return written(ask(selected), f"{work}/replies")
+    spark.createDataFrame([], S.REPLY).write.mode("ignore").parquet(reply_log)
+    logged = spark.read.schema(S.REPLY).parquet(reply_log)
+    mine = logged.join(selected.select("job_id"), "job_id", "left_semi")
+    usable = scoring.parse_response(mine).where("parsed").select("job_id", "reply")
+    known = written(usable, f"{work}/known_replies")
+    missing = selected.join(known.select("job_id"), "job_id", "left_anti")
+    fresh = written(ask(missing), f"{work}/replies")
+    fresh.write.mode("append").parquet(reply_log)
+    return known.unionByName(fresh)
+
+
 def run_result(
     ranked: DataFrame,
     fetched: DataFrame,

@@ -30,7 +30,8 @@ def stream_run(
 
     Results lie under ``out``: `ranked/batch_id=`, `digest/batch_id=` and `counts/batch_id=`. A
     run saves its ranking before the store closes over it; a replay of a finished batch only
-    repeats the idempotent upsert, so no posting is scored or counted twice.
+    repeats the idempotent upsert, and one of an unfinished batch finds its replies in the log, so
+    no posting is scored or counted twice.
     """
     use_utc(spark)
 
@@ -40,7 +41,14 @@ def stream_run(
             stored.save_new(spark.read.parquet(ranked_path))
             return
         result = run_cycle(
-            spark, batch, stored, replies=replies, scorer=scorer, save=False, **knobs
+            spark,
+            batch,
+            stored,
+            replies=replies,
+            scorer=scorer,
+            reply_log=f"{out}-replies",
+            save=False,
+            **knobs,
         )
         result.ranked.write.mode("overwrite").parquet(ranked_path)
         result.digest.write.mode("overwrite").parquet(f"{out}/digest/batch_id={batch_id}")
