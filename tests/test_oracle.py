@@ -6,14 +6,15 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.conftest import SMALL
+from vacantia.checks import oracle, queries
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
 ).split()
 
-QUERIES = entry.queries()
-ORACLE = entry.oracle_sql()
+QUERIES = queries.queries()
+ORACLE = oracle.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -37,6 +38,8 @@ def comparable(rows, columns):
 
 def test_every_query_has_an_oracle():
     assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries())
+    assert set(ORACLE) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
