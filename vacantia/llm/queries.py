@@ -7,8 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from vacantia.llm.language_id import op5_language_id
-
-_QUERIES = (op5_language_id,)
+from vacantia.llm.near_dedup import op1_prob_minhash
+from vacantia.llm.packing import op4_best_fit_packing
+from vacantia.llm.pii import op8_pii
+from vacantia.llm.quality import op9_quality_rules
+
+_QUERIES = (
+    op1_prob_minhash,
+    op4_best_fit_packing,
+    op5_language_id,
+    op8_pii,
+    op9_quality_rules,
+)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
