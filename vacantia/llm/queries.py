@@ -11,6 +11,7 @@ from vacantia.llm.language_id import op5_language_id
 from vacantia.llm.near_dedup import op1_prob_minhash
 from vacantia.llm.nearest import op2_cross_polytope
 from vacantia.llm.packing import op4_best_fit_packing
+from vacantia.llm.pieces import op7_sentencepiece
 from vacantia.llm.pii import op8_pii
 from vacantia.llm.quality import op9_quality_rules
 from vacantia.llm.token_files import op3_token_files
@@ -23,6 +24,7 @@ _QUERIES = (
     op4_best_fit_packing,
     op5_language_id,
     op6_warc,
+    op7_sentencepiece,
     op8_pii,
     op9_quality_rules,
     op10_hidden_markov,
