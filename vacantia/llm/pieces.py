@@ -132,9 +132,11 @@ def _fold(edges: Column, length: Column) -> Column:
     """The cuts that are left when no edge joins two neighbours; ``edges`` in order of preference."""
 
     def merge(cuts: Column, _: Column) -> Column:
+        # A place that is no cut any more has position 0.
         at = F.filter(
             edges,
-            lambda e: F.array_position(cuts, e["end"]) - F.array_position(cuts, e["start"]) == 2,
+            lambda e: (F.array_position(cuts, e["start"]) > 0)
+            & (F.array_position(cuts, e["end"]) - F.array_position(cuts, e["start"]) == 2),
         )
         first = F.get(at, F.lit(0))
         joined = F.array_remove(
