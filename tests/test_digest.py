@@ -14,7 +14,7 @@ SCHEMA = (
 def row(seq, **over):
     base = {
         "job_id": f"j{seq}", "score": 92 - seq, "title": "Data Engineer", "company": "Acme",
-        "url": "https://jobs.example.com/1", "reason": "Great fit.", "salary": None,
+        "url": "https://jobs.example.com/1", "reason": "Knows Spark.", "salary": None,
         "salary_is_estimated": False, "location": "Remote (US)", "location_tier": 1,
         "status": "ranked", "posted_at": None,
     } | over
@@ -50,7 +50,7 @@ def test_text(mail):
     got = mail(row(0, salary="$1"), note="note", app="app")
     assert got["text"] == (
         "1 new job matches — ranked best-fit first.\n\n1. [92] Data Engineer — Acme\n   Remote (US)\n"
-        "   Great fit.\n   Salary: Salary: $1\n   https://jobs.example.com/1\n\n"
+        "   Knows Spark.\n   Salary: Salary: $1\n   https://jobs.example.com/1\n\n"
         "You review and decide — app never applies for you.\n\nnote"
     )
     assert got["subject"] == "1 new job match — app"

@@ -83,8 +83,12 @@ def lines(spark, *rows):
 def test_daily_window(spark):
     df = lines(spark, (0, "posting run a"), (1, "posting run b"), (86400, "posting run c"), (86401, "x"), (86402, "posting run z"))
     end = T0 + dt.timedelta(seconds=86401)
-    assert [r["message"][-1] for r in metrics.daily_window(df, end).collect()] == ["c", "b"]
-    assert metrics.daily_window(df, end, limit=1).count() == 1
+    assert {r["message"][-1] for r in metrics.daily_window(df, end).collect()} == {"c", "b"}
+    assert [r["message"][-1] for r in metrics.daily_window(df, end, limit=1).collect()] == ["c"]
+    many = spark.range(5000).select(
+        F.lit(end).alias("ts"), F.concat(F.lit(metrics.DEFAULT_MARKER), F.col("id")).alias("message")
+    )
+    assert metrics.daily_window(many, end).count() == 5000
 
 
 def test_alarms(spark):
@@ -93,8 +97,12 @@ def test_alarms(spark):
     first = T0.replace(tzinfo=None)
     assert got[first] == (2, True) and got[first + dt.timedelta(seconds=300)] == (0, False)
     assert len(got) == 3
-    runs_ = metrics.alarm_no_runs(df).orderBy("period_start").collect()
-    assert [(r["runs"], r["alarm"]) for r in runs_] == [(3, False), (0, True), (0, True), (1, False)]
+    span = T0, T0 + dt.timedelta(seconds=28800 * 6)
+    runs_ = metrics.alarm_no_runs(df, *span).orderBy("period_start").collect()
+    assert [r["runs"] for r in runs_] == [3, 0, 0, 1, 0, 0]
+    assert [r["alarm"] for r in runs_] == [False, True, True, False, True, True]
     errors = metrics.alarm_errors(df, F.lit(2)).orderBy("period_start").collect()
     assert [r["errors"] for r in errors] == [4, 2, 2]
-    assert metrics.alarm_no_runs(df.where("false")).isEmpty()
+    never = metrics.alarm_no_runs(df.where("false"), *span).collect()
+    assert len(never) == 6 and all(r["alarm"] for r in never)
+    assert metrics.alarm_no_runs(df, T0, T0).isEmpty()

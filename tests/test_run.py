@@ -20,7 +20,7 @@ NOW = F.lit  # applied lazily, once there is a session
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return KeyedStore(spark, str(tmp_path / "store"), prefix_digits=1).create()
+    return KeyedStore(spark, str(tmp_path / "store")).create()
 
 
 @pytest.fixture(scope="module")
@@ -55,7 +55,7 @@ def test_counts_and_second_run(spark, feed, store):
 
 
 def test_budget_drains_over_runs(spark, feed, store):
-    everything = run(spark, feed, KeyedStore(spark, store.path + "2", 1).create())[1]["scored"]
+    everything = run(spark, feed, KeyedStore(spark, store.path + "2").create())[1]["scored"]
     total = 0
     for _ in range(12):
         _, c = run(spark, feed, store, max_score_per_run=20)
@@ -215,12 +215,16 @@ def test_stream_replay_after_lost_progress(spark, feed, store, tmp_path):
 
 def test_stream_run_equals_batch_runs(spark, feed, store, tmp_path):
     src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
-    other = KeyedStore(spark, str(tmp_path / "other"), 1).create()
+    other = KeyedStore(spark, str(tmp_path / "other")).create()
     knobs = {"profile": W.PROFILE, "now": NOW(W.NOW), "max_score_per_run": 15}
+    left = feed[0].where("false")
     for n, half in enumerate(("seq < 100", "seq >= 50")):
         stream = split_stream(spark, feed, src, [half])
         stream_run(spark, stream, store, out, check, replies=feed[1], **knobs).awaitTermination()
-        want = run_cycle(spark, feed[0].where(half), other, replies=feed[1], **knobs)
+        # What the first run left over comes with the second one's postings.
+        batch = feed[0].where(half).unionByName(left).distinct()
+        want = run_cycle(spark, batch, other, replies=feed[1], **knobs)
+        left = want.pending
         got = spark.read.parquet(f"{out}/counts/batch_id={n}").collect()[0].asDict()
         assert got == want.counts.collect()[0].asDict()
     assert sorted(map(str, store.read().collect())) == sorted(map(str, other.read().collect()))
@@ -234,6 +238,25 @@ def test_stream_run_equals_batch_runs(spark, feed, store, tmp_path):
     assert store.read().count() == other.read().count()
 
 
+def test_stream_run_drains_what_the_budget_defers(spark, feed, store, tmp_path):
+    """Five small batches with nothing new: each scores some more of what the first one left."""
+    src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
+    knobs = {"profile": W.PROFILE, "now": NOW(W.NOW), "max_score_per_run": 12}
+    scored, left = [], []
+    for n in range(5):
+        part = "seq < 60" if n == 0 else "seq = 0"
+        stream = split_stream(spark, feed, src, [part])
+        stream_run(spark, stream, store, out, check, replies=feed[1], **knobs).awaitTermination()
+        scored.append(spark.read.parquet(f"{out}/counts/batch_id={n}").first()["scored"])
+        left.append({r.job_id for r in spark.read.parquet(f"{out}/pending/batch_id={n}").collect()})
+    assert 0 < scored[0] <= 12 and scored[1] > 0
+    assert all(b <= a for a, b in zip(left, left[1:], strict=False)) and len(left[1]) < len(left[0])
+    assert store.read().count() == sum(scored)
+    usable = {r.job_id for r in scoring.score_many(feed[0].where("seq < 60"), feed[1]).collect()}
+    stored = {r.job_id for r in store.read().collect()}
+    assert left[0] & usable <= stored | left[-1]
+
+
 def lines_stream(spark, src, rows):
     df = spark.createDataFrame([(t, m) for t, m in rows], "ts string, message string")
     df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)

@@ -7,7 +7,7 @@ from vacantia.functions import fit
 from vacantia.operators import scoring
 
 BODY = {
-    "score": 73, "reason": "Good match.", "skip_flags": [], "workplace": "hybrid",
+    "score": 73, "reason": "Knows Spark.", "skip_flags": [], "workplace": "hybrid",
     "office_days_per_month": 2, "years_required": 6, "work_authorization": "us_ok",
 }
 
@@ -77,7 +77,7 @@ def test_transport_payloads(column):
 
 
 PROFILE = {
-    "headline": "DE", "years_engineering": 3, "strengths": ["Mentors engineers"],
+    "headline": "DE", "years_engineering": 3, "strengths": ["Writes clearly"],
     "skills": {"have": ["Airflow"], "building": ["Databricks"]}, "skip_flags": {"years_required_above": 9},
     "domains": {"core": ["payments"], "secondary": ["sports"]},
 }
@@ -89,7 +89,7 @@ def test_prompt(column):
         column(lambda t, d: scoring.build_prompt(t, d, p), [("Title", hostile)], "t string, d string")[0]
         for p in (PROFILE, None)
     )
-    for word in ("Build it", "Airflow", "Databricks", "Mentors engineers", "work_authorization",
+    for word in ("Build it", "Airflow", "Databricks", "Writes clearly", "work_authorization",
                  "us_citizen_or_clearance", "foreign_required", "research", "screened out",
                  "customer", "building the tool", "UNTRUSTED", "9", "payments", "sports"):
         assert word in prompt
@@ -106,7 +106,8 @@ def postings(spark, n):
 
 def test_score_many_drops_failures_only(spark):
     replies = spark.createDataFrame(
-        [("j0", reply(score=90)), ("j1", "oops"), ("j2", reply(score=70)), ("j2", reply(score=70)), ("j9", reply())],
+        [("j0", reply(score=90)), ("j0", "No JSON here."), ("j1", "oops"), ("j2", reply(score=70)),
+         ("j2", reply(score=70)), ("j2", "~"), ("j9", reply())],
         "job_id string, reply string",
     )
     jobs = postings(spark, 4)

@@ -24,7 +24,7 @@ def posting(seq, job_id, **over):
 
 @pytest.fixture
 def store(spark, tmp_path):
-    return KeyedStore(spark, str(tmp_path / "store"), prefix_digits=1).create()
+    return KeyedStore(spark, str(tmp_path / "store")).create()
 
 
 def frame(spark, *rows):
@@ -85,17 +85,37 @@ def test_mark_emailed_keeps_the_rest_and_creates_unknown_ids(spark, store):
     assert got["ff"]["status"] == "emailed" and got["ff"]["source"] is None
 
 
-def test_get_reads_one_folder(spark, store):
+def test_get_filters_in_the_scan(spark, store):
     store.mark_seen(frame(spark, posting(1, "a1"), posting(2, "b2")))
     assert store.get("b2").collect()[0]["source_id"] == "2"
     assert store.get("zz").isEmpty()
-    plan = store.get("b2")._jdf.queryExecution().toString()
-    assert "PartitionFilters: [isnotnull(id_prefix" in plan
+    assert "EqualTo(job_id,b2)" in store.get("b2")._jdf.queryExecution().toString()
 
 
-def test_upsert_leaves_other_prefixes_alone(spark, store):
+def test_a_write_adds_its_own_rows_only(spark, store):
+    store.mark_seen(frame(spark, *[posting(n, f"a{n}") for n in range(500)]))
+    before = set(store._rows().inputFiles())
+    store.mark_seen(frame(spark, *[posting(n, f"a{n}", title="new") for n in range(490, 520)]))
+    added = set(store._rows().inputFiles()) - before
+    assert before <= set(store._rows().inputFiles())
+    assert spark.read.parquet(*added).count() == 30
+    assert store.read().count() == 520 and store.ids().distinct().count() == 520
+    assert store.read().where("title = 'new'").count() == 30
+    assert {r["job_id"] for r in store.near(frame(spark, posting(1, "a3"), posting(2, "x"))).collect()} == {"a3"}
+
+
+def test_a_run_again_replaces_what_it_wrote(spark, store):
+    for title in ("once", "again"):
+        store.mark_seen(frame(spark, posting(1, "a1", title=title)), run=f"{1:020d}")
+    assert [r["title"] for r in store._rows().where("job_id = 'a1'").collect()] == ["again"]
+
+
+def test_compaction_keeps_the_latest_rows(spark, store, tmp_path):
     store.mark_seen(frame(spark, posting(1, "a1"), posting(2, "b2")))
-    files = lambda p: {f for f in store.read().where(F.col("job_id").startswith(p)).inputFiles() if f"id_prefix={p}" in f}
-    before = files("a")
-    store.mark_seen(frame(spark, posting(3, "b3")))
-    assert files("a") == before
+    store.mark_seen(frame(spark, posting(3, "b2", title="later")))
+    before = contents(store)
+    small = store.compacted(str(tmp_path / "compacted"))
+    assert contents(small) == before == contents(store)
+    assert small.ids().count() == 2
+    small.mark_seen(frame(spark, posting(4, "a1", title="after")))
+    assert contents(small)["a1"]["title"] == "after"

@@ -77,10 +77,10 @@ def test_safe_url(column):
 def test_job_id(column):
     got = column(
         identity.job_id,
-        [("greenhouse", "5311686008"), ("green", "house/x"), ("greenhouse", "/x")],
+        [("greenhouse", "8101"), ("green", "house/x"), ("greenhouse", "/x")],
         "s string, i string",
     )
-    assert got[0] == hashlib.sha256(b"greenhouse\x005311686008").hexdigest()
+    assert got[0] == hashlib.sha256(b"greenhouse\x008101").hexdigest()
     assert len(set(got)) == 3
 
 
@@ -89,19 +89,19 @@ def test_posted_at(column):
     got = column(
         shown,
         [
-            "2026-07-10T16:15:41-04:00", "2026-07-07T20:47:09.753+00:00", "2026-07-15T08:33:45Z",
-            "2026-07-16T10:10:51", "2025-10-01T00:00:00.0000", "2026-07-07", "not a date", "2026",
+            "2026-03-02T21:30:00-05:00", "2026-03-04T05:06:07.891+00:00", "2026-03-05T01:02:03Z",
+            "2026-03-06T07:08:09", "2026-02-03T00:00:00.0000", "2026-03-07", "no day", "1999",
             "", None,
         ],
     )
     assert got == [
-        "2026-07-10 20:15:41.000000", "2026-07-07 20:47:09.753000", "2026-07-15 08:33:45.000000",
-        "2026-07-16 10:10:51.000000", "2025-10-01 00:00:00.000000", "2026-07-07 00:00:00.000000",
+        "2026-03-03 02:30:00.000000", "2026-03-04 05:06:07.891000", "2026-03-05 01:02:03.000000",
+        "2026-03-06 07:08:09.000000", "2026-02-03 00:00:00.000000", "2026-03-07 00:00:00.000000",
         None, None, None, None,
     ]
 
 
 def test_posted_millis(column):
     shown = lambda v: F.date_format(identity.parse_posted_millis(v), "yyyy-MM-dd HH:mm:ss.SSS")
-    got = column(shown, [1782821535482, 10**17, None], "v bigint")
-    assert got == ["2026-06-30 12:12:15.482", None, None]
+    got = column(shown, [86400123, 10**17, None], "v bigint")
+    assert got == ["1970-01-02 00:00:00.123", None, None]

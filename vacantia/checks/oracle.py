@@ -95,9 +95,10 @@ _POSTINGS = f"""postings AS (
     d.text AS description,
     CASE WHEN d.doc_id % 11 <> 0 THEN o.o_orderdate END AS posted_at
   FROM documents d
-  JOIN supplier s ON s.s_suppkey = d.doc_id % 10
-  JOIN part p ON p.p_partkey = (d.doc_id // 7) % 40
-  JOIN orders o ON o.o_orderkey = d.doc_id % (SELECT count(*) FROM orders)),
+  JOIN supplier s ON s.s_suppkey = CASE WHEN d.doc_id % 3 = 1 THEN 0
+    ELSE d.doc_id % (SELECT count(*) FROM supplier) END
+  JOIN part p ON p.p_partkey = (d.doc_id // 7) % (SELECT count(*) FROM part)
+  JOIN orders o ON o.o_orderkey = (d.doc_id * {W.ORDER_STEP}) % (SELECT count(*) FROM orders)),
  base AS (SELECT *, sha256(source || chr(0) || source_id) AS job_id, {_ELIGIBLE} AS eligible,
     {_TIER} AS tier0 FROM postings)"""
 
@@ -238,7 +239,7 @@ _EXPECT = {
     },
     "lever": {
         "company": _board("lever"),
-        "location": "CASE WHEN seq % 4 = 0 THEN coalesce(location, '') || ', Denver, CO' ELSE location END",
+        "location": "CASE WHEN seq % 4 = 0 THEN coalesce(location, '') || ', Boise, ID' ELSE location END",
         "remote": "seq % 4 = 0",
         "salary": _NO,
         "estimated": "false",
@@ -414,8 +415,7 @@ _LAST_DAY = f"""{_LINES},
  recent AS (SELECT *, CASE WHEN event_type = 'click' THEN '' ELSE '{W.MARKER} health=' || health
       || ' (x) | scored=' || scored || CASE WHEN event_id % 9 = 0 THEN '' ELSE ' emailed='
       || (scored // 10) END || ' msg=-' END AS message
-   FROM lines WHERE heartbeat AND ts >= (SELECT max(ts) FROM lines) - INTERVAL 86400 SECOND
-   ORDER BY ts DESC, message LIMIT {V.DAILY_LINE_LIMIT})"""
+   FROM lines WHERE heartbeat AND ts >= (SELECT max(ts) FROM lines) - INTERVAL 86400 SECOND)"""
 
 _SUMS = f"""count(*) AS runs, CAST(coalesce(sum(scored), 0) AS BIGINT) AS scored,
   CAST(coalesce(sum(emailed), 0) AS BIGINT) AS emailed,
@@ -706,6 +706,9 @@ ORDER BY {_ORDER} LIMIT 25""",
   CAST(office_days AS DOUBLE) AS office_days_per_month, CAST(years AS DOUBLE) AS years_required,
   authorization_need AS work_authorization FROM facts WHERE parsed""",
         "score_many": f"{_ALL_RANKED} SELECT seq, job_id, score FROM ranked",
+        "unscored": f"""{base}, {_FACTS}
+SELECT base.seq, base.job_id FROM base JOIN facts ON facts.seq = base.seq
+WHERE eligible AND NOT parsed QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY base.seq) = 1""",
         # run metrics
         "run_counts": _run_counts(False),
         "assess_run": f"WITH {_RUNS} SELECT event_id, attempted, health, headline FROM assessed",
@@ -741,8 +744,9 @@ FROM quiet""",
         ),
         "alarm_no_runs": f"""WITH {_LINES},
  busy AS (SELECT {_bucket(28800)} AS p FROM lines WHERE heartbeat AND scored > 150),
- span AS (SELECT unnest(generate_series((SELECT min(p) FROM busy), (SELECT max(p) FROM busy),
-   INTERVAL 28800 SECOND)) AS p)
+ ends AS (SELECT min(ts) AS a, max(ts) + INTERVAL 3 DAY AS b FROM lines),
+ span AS (SELECT p FROM (SELECT unnest(generate_series({_bucket(28800, 'a')}, b,
+   INTERVAL 28800 SECOND)) AS p, a, b FROM ends) WHERE p >= a AND p < b)
 SELECT {_at('span.p')} AS period_start, {_at('span.p + INTERVAL 28800 SECOND')} AS period_end,
   count(busy.p) AS runs, count(busy.p) < 1 AS alarm
 FROM span LEFT JOIN busy ON busy.p = span.p GROUP BY span.p""",

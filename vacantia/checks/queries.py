@@ -479,7 +479,7 @@ def store_scored_item(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _new_store(spark: SparkSession) -> store.KeyedStore:
-    return store.KeyedStore(spark, new_work_dir(spark, "store"), prefix_digits=1).create()
+    return store.KeyedStore(spark, new_work_dir(spark, "store")).create()
 
 
 @query
@@ -516,8 +516,11 @@ def mark_emailed(spark: SparkSession, sf: str) -> DataFrame:
 def store_get(spark: SparkSession, sf: str) -> DataFrame:
     """The stored row of the newest order's posting id, looked up in the whole store."""
     p = W.postings(spark, sf)
-    wanted = p.agg(F.max_by("job_id", F.struct("posted_at", "seq"))).scalar()
-    return _store_rows(store.store_get(store.store_item(dedup.dedup_in_batch(p)), wanted))
+    wanted = p.agg(F.max_by("job_id", F.struct("posted_at", "seq"))).first()[0]
+    stored = _new_store(spark)
+    stored.upsert(store.store_item(p.where("false")))
+    stored.upsert(store.store_item(dedup.dedup_in_batch(p)))
+    return _store_rows(stored.get(wanted))
 
 
 # --- tiers and ranking --------------------------------------------------------------
@@ -704,7 +707,16 @@ def to_scored(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def score_many(spark: SparkSession, sf: str) -> DataFrame:
-    return _scored(spark, sf).select("seq", "job_id", long("score").alias("score"))
+    kept = dedup.dedup_in_batch(gate.keep_worth_scoring(W.postings(spark, sf)))
+    scored = scoring.score_many(kept, W.mixed_replies(spark, sf))
+    return scored.select("seq", "job_id", long("score").alias("score"))
+
+
+@query
+def unscored(spark: SparkSession, sf: str) -> DataFrame:
+    """Together with ``score_many`` every posting, and none twice."""
+    kept = dedup.dedup_in_batch(gate.keep_worth_scoring(W.postings(spark, sf)))
+    return scoring.unscored(kept, W.mixed_replies(spark, sf)).select("seq", "job_id")
 
 
 # --- run metrics --------------------------------------------------------------------
@@ -821,8 +833,11 @@ def alarm_errors(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def alarm_no_runs(spark: SparkSession, sf: str) -> DataFrame:
-    busy = metrics.parse_heartbeat(W.heartbeats(spark, sf)).where("scored > 150")
-    return _alarm(metrics.alarm_no_runs(busy), "runs")
+    """From the first line to three days after the last one, so that the end is an outage."""
+    lines = W.heartbeats(spark, sf)
+    busy = metrics.parse_heartbeat(lines).where("scored > 150")
+    first, last = lines.agg(F.min("ts"), F.max("ts") + F.expr("INTERVAL 3 DAYS")).first()
+    return _alarm(metrics.alarm_no_runs(busy, first, last), "runs")
 
 
 # --- digest rendering ---------------------------------------------------------------

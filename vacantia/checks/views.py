@@ -19,13 +19,14 @@ MARKER = "posting run"
 
 # --- fixed values: places of the derived postings, by index -------------------------
 PLACES = (
-    "San Francisco, CA", "London, UK", "Chicago, Cook County", "Remote (US)", "Venice, FL",
-    "Toronto, ON", "Rio de Janeiro", "Romeoville, Will County", "CA-Ontario-Toronto",
-    "US-CA-Menlo Park", "Paris, TX", "Tampa, FL", "Lemont, IL", "Bogotá", "Worldwide", "Europe",
-    "Multiple Locations", None, "", "Remote (Canada)", "St. Petersburg, FL", "Denver, CO",
-    "London or Berlin", "New York, NY (HQ), Remote (US)",
+    "Portland, OR", "Leeds, UK", "Naperville, DuPage County", "Remote (US)", "Bradenton, FL",
+    "Calgary, BC", "Lima in Peru", "Jerome, Will County", "CA-Quebec-Laval",
+    "US-WA-Spokane", "Rome, GA", "Clearwater, FL", "Elgin, IL", "Zurich", "Anywhere", "EMEA",
+    "Several Places", None, "", "Remote (Mexico)", "St Petersburg, FL", "Boise, ID",
+    "Oslo or Madrid", "Reno, NV (HQ), Remote (US)",
 )
 
+ORDER_STEP = 7919  # spreads the documents over all orders
 BLOCK_ROWS = 20  # rows of a landed document
 ADZUNA_ROWS = 130  # rows of a query; pages of 50, 30 and 50, or of 50, 50 and 30
 WORKDAY_PAGES = 2
@@ -67,17 +68,15 @@ def postings(
     docs = docs.select("doc_id", "text")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     n_orders = orders.agg(F.count(F.lit(1))).scalar()
-    # Ten and forty rows whatever the scale: the keys are unique and filtered.
-    companies = F.broadcast(
-        table(spark, sf_dir, "supplier").where("s_suppkey < 10").select("s_suppkey", "s_name")
-    )
-    roles = F.broadcast(
-        table(spark, sf_dir, "part").where("p_partkey < 40").select("p_partkey", "p_name")
-    )
+    companies = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    roles = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    n_companies, n_roles = (t.agg(F.count(F.lit(1))).scalar() for t in (companies, roles))
+    # One company has a third of all postings, and the others share the rest.
+    company = F.when(d % 3 == 1, 0).otherwise(d % n_companies)
     joined = (
-        docs.join(companies, F.col("s_suppkey") == d % 10)
-        .join(roles, F.col("p_partkey") == _div(d, 7) % 40)
-        .join(orders, F.col("o_orderkey") == d % n_orders)
+        docs.join(companies, F.col("s_suppkey") == company)
+        .join(roles, F.col("p_partkey") == _div(d, 7) % n_roles)
+        .join(orders, F.col("o_orderkey") == (d * ORDER_STEP) % n_orders)
     )
     source = pick(V.SOURCES, d % 7)
     source_id = F.when(d % 10 == 9, d - 7).otherwise(d).cast("string")
@@ -161,6 +160,13 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mixed_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replies, and for every fifth posting an unusable one of an earlier try."""
+    usual = replies(spark, sf_dir).select("job_id", "reply")
+    tried = usual.where(F.crc32(F.col("job_id").cast("binary")) % 5 == 0)
+    return usual.unionByName(tried.withColumn("reply", F.lit("A first try, cut off: {")))
+
+
 # --- landed documents ---------------------------------------------------------------
 
 
@@ -238,7 +244,7 @@ def _items(d: Column) -> dict[str, Column]:
                 c("location").alias("location"),
                 cases(
                     d % 4,
-                    F.array(place, F.lit("Denver, CO")),
+                    F.array(place, F.lit("Boise, ID")),
                     F.array().cast("array<string>"),
                 ).alias("allLocations"),
             ).alias("categories"),

@@ -15,10 +15,6 @@ from vacantia.functions.location import (
     is_us_eligible,
     location_tier,
 )
-from vacantia.operators.ranking import with_global_rank
-
-# Above this a top-n is too much for one reducer, which gets n rows from every task.
-_HEAP_LIMIT = 1_000
 
 
 def instant(now: dt.datetime | str | Column) -> Column:
@@ -57,18 +53,16 @@ def select_within_budget(
     max_score_per_run: int | None = None,
     seq: str = "seq",
 ) -> DataFrame:
-    """The freshest postings a run may score. Without a bound on the number nothing is sorted."""
+    """The freshest postings a run may score. Without a bound on the number nothing is sorted.
+
+    ``max_score_per_run`` is a number of paid requests: every task keeps that many rows, and one task
+    merges them.
+    """
     kept = freshness_cut(postings, now, max_age_days)
     if max_score_per_run is None:
         return kept
     order = [freshness(F.col("posted_at")).desc(), F.col(seq).asc()]
-    if max_score_per_run <= _HEAP_LIMIT:
-        return kept.orderBy(*order).limit(max_score_per_run)
-    return (
-        with_global_rank(kept, order, "budget_rank")
-        .where(F.col("budget_rank") <= max_score_per_run)
-        .drop("budget_rank")
-    )
+    return kept.orderBy(*order).limit(max_score_per_run)
 
 
 def deferred(new: DataFrame, selected: DataFrame) -> DataFrame:

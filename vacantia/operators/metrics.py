@@ -122,15 +122,17 @@ def daily_window(
     lines: DataFrame,
     now: dt.datetime | Column,
     marker: str = DEFAULT_MARKER,
-    limit: int = V.DAILY_LINE_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Heartbeat lines of the 24 hours up to ``now``, newest first, at most ``limit``."""
+    """Heartbeat lines of the 24 hours up to ``now``; with a ``limit`` the newest ones only."""
     end = (now if isinstance(now, Column) else F.lit(now)).cast("timestamp")
     recent = lines.where(
         (F.col("ts") >= end - F.make_interval(secs=F.lit(V.DAILY_WINDOW_SECONDS)))
         & (F.col("ts") <= end)
         & F.contains("message", F.lit(marker))
     )
+    if limit is None:
+        return recent
     return recent.orderBy(F.col("ts").desc(), F.col("message").asc()).limit(limit)
 
 
@@ -236,20 +238,37 @@ def alarm_errors(
     return _per_period(events, seconds, F.sum(errors), "errors")
 
 
-def alarm_no_runs(runs: DataFrame, seconds: int = V.NO_RUN_WINDOW_SECONDS) -> DataFrame:
-    """Runs per period between the first and the last run; a period without any is an alarm."""
-    step = F.make_interval(secs=F.lit(seconds))
+def alarm_no_runs(
+    runs: DataFrame,
+    start: dt.datetime | Column,
+    end: dt.datetime | Column,
+    seconds: int = V.NO_RUN_WINDOW_SECONDS,
+) -> DataFrame:
+    """Runs of every period that begins from ``start`` to before ``end``; one without any is an alarm.
+
+    The span is given, not taken from the runs: an outage that lasts until now, and a schedule that
+    never ran, are alarms too.
+    """
+    first, last = (
+        (at if isinstance(at, Column) else F.lit(at)).cast("timestamp") for at in (start, end)
+    )
+    at = F.col("period_start")
+    begin = F.timestamp_seconds(F.ceil(F.unix_micros(first) / (seconds * 1_000_000)) * seconds)
     counted = runs.groupBy(F.window("ts", f"{seconds} seconds").alias("w")).agg(
         F.count(F.lit(1)).alias("n")
     )
-    counted = counted.select(F.col("w.start").alias("at"), "n")
-    # The span comes from the counts: one row per period, not the lines again.
-    periods = counted.agg(F.min("at").alias("a"), F.max("at").alias("b")).select(
-        F.explode(F.sequence("a", "b", step)).alias("period_start")
+    step = F.make_interval(secs=F.lit(seconds))
+    inside = F.filter(F.sequence(begin, last, step), lambda p: p < last)
+    periods = (
+        runs.sparkSession.range(1)
+        .where(begin < last)
+        .select(F.explode(inside).alias("period_start"))
     )
-    return periods.join(counted, F.col("period_start") == F.col("at"), "left").select(
+    return periods.join(
+        counted.select(F.col("w.start").alias("at"), "n"), at == F.col("at"), "left"
+    ).select(
         "period_start",
-        (F.col("period_start") + step).alias("period_end"),
+        (at + step).alias("period_end"),
         F.coalesce("n", F.lit(0)).alias("runs"),
         (F.coalesce("n", F.lit(0)) < 1).alias("alarm"),
     )

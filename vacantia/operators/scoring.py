@@ -179,24 +179,28 @@ def to_scored(parsed: DataFrame) -> DataFrame:
     )
 
 
-def one_reply_each(replies: DataFrame) -> DataFrame:
-    """One reply per job_id: a retried request may have landed its reply twice."""
+def one_reply_each(parsed: DataFrame) -> DataFrame:
+    """Of the usable replies of a job_id the first in text order; a retry may have landed several."""
     pick = Window.partitionBy("job_id").orderBy("reply")
     return (
-        replies.withColumn("copy", F.row_number().over(pick))
+        parsed.where("parsed")
+        .withColumn("copy", F.row_number().over(pick))
         .where(F.col("copy") == 1)
         .drop("copy")
     )
 
 
 def score_many(postings: DataFrame, replies: DataFrame) -> DataFrame:
-    """Scored postings from landed replies (job_id, reply); failures are left out."""
-    facts = to_scored(parse_response(one_reply_each(replies)).where("parsed"))
+    """Scored postings from landed replies (job_id, reply); those without a usable one are left out.
+
+    Replies are parsed before one is chosen, so that a bad one never stands in for a good one.
+    """
+    facts = to_scored(one_reply_each(parse_response(replies)))
     return postings.join(facts.select("job_id", *S.FACT_COLUMNS), "job_id")
 
 
 def unscored(postings: DataFrame, replies: DataFrame) -> DataFrame:
-    """Rejects: postings without a usable reply."""
+    """Rejects, the complement of ``score_many``: postings without a usable reply."""
     good = parse_response(replies).where("parsed").select("job_id")
     return postings.join(good, "job_id", "left_anti")
 

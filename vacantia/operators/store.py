@@ -1,13 +1,15 @@
-"""The keyed store: a Parquet table of one row per job_id, partitioned by an id prefix.
+"""The keyed store: a Parquet table whose rows are appended by run.
 
-Ids are hashes, so the prefixes are even whatever the sources look like. An upsert rewrites only
-the prefixes a batch touches; the merged rows are written elsewhere first, so no plan reads a
-folder it overwrites and a lost executor or a failed run leaves the table whole.
+A run writes its own rows and nothing else; of the rows of an id the latest run's counts. The gate in
+front of scoring needs the id column only. ``compacted`` writes the latest rows to a new table, and the
+caller goes on with that one. There is no update in place, so nothing reads a folder that is being
+written over, and a run that is repeated under its own name replaces what it wrote.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -16,7 +18,7 @@ from pyspark.sql import types as T
 
 from vacantia import schemas as S
 from vacantia.functions.text import null_if_empty
-from vacantia.session import new_work_dir, written
+
 
 def iso_text(at: Column) -> Column:
     """ISO text with the UTC offset; microseconds only when there are any."""
@@ -73,11 +75,6 @@ def store_scored_item(ranked: DataFrame) -> DataFrame:
     return _as_store_rows(ranked, columns)
 
 
-def upserted(store: DataFrame, items: DataFrame) -> DataFrame:
-    """Stored rows not in the batch, plus the batch. ``items`` has one row per job_id."""
-    return store.join(items.select("job_id"), "job_id", "left_anti").unionByName(items)
-
-
 def last_write(items: DataFrame, seq: str = "seq") -> DataFrame:
     """One row per job_id of a batch, the last one written."""
     latest = Window.partitionBy("job_id").orderBy(F.col(seq).desc())
@@ -89,88 +86,75 @@ def last_write(items: DataFrame, seq: str = "seq") -> DataFrame:
 
 
 def emailed(store: DataFrame, ids: DataFrame) -> DataFrame:
-    """Stored rows with status 'emailed' for ``ids``. An id not stored becomes a bare row."""
-    sent = ids.select(F.col("job_id").alias("sent_id")).distinct()
-    # A full join keeps the stored rows and the unknown ids in one shuffle.
-    both = store.join(sent, F.col("job_id") == F.col("sent_id"), "full")
-    hit = F.col("sent_id").isNotNull()
-    columns = {f.name: F.col(f.name) for f in S.STORE.fields} | {
-        "job_id": F.coalesce("job_id", "sent_id"),
-        "status": F.when(hit, "emailed").otherwise(F.col("status")),
-    }
-    return _as_store_rows(both, columns)
+    """Rows with status 'emailed' for ``ids``; one that is not stored becomes a bare row."""
+    sent = ids.select("job_id").distinct()
+    columns = {f.name: F.col(f.name) for f in S.STORE.fields} | {"status": F.lit("emailed")}
+    return _as_store_rows(sent.join(store, "job_id", "left"), columns)
 
 
 # --- the table on disk --------------------------------------------------------------
 
-Merge = Callable[[DataFrame, DataFrame], DataFrame]
+def latest_rows(rows: DataFrame) -> DataFrame:
+    """One row per job_id, of the latest run. The cut comes before the shuffle, in every map task."""
+    newest = Window.partitionBy("job_id").orderBy(F.col("run").desc())
+    return rows.withColumn("copy", F.row_number().over(newest)).where("copy = 1").drop("copy", "run")
 
 
 @dataclass(frozen=True)
 class KeyedStore:
-    """The table at ``path``. 2 prefix digits make 256 folders, 3 make 4096."""
+    """The table at ``path``, with a folder `run=` per write."""
 
     spark: SparkSession
     path: str
-    prefix_digits: int = 2
 
     def create(self) -> KeyedStore:
         """Write an empty table unless there is one."""
         empty = self.spark.createDataFrame([], S.STORE)
-        self._prefixed(empty).write.mode("ignore").partitionBy("id_prefix").parquet(self.path)
+        empty.write.mode("ignore").parquet(f"{self.path}/run={0:020d}")
         return self
 
     def read(self) -> DataFrame:
-        return self._rows().drop("id_prefix")
+        return latest_rows(self._rows())
 
-    def near(self, batch: DataFrame) -> DataFrame:
-        """Stored rows in the folders that can hold an id of ``batch``, a written table.
+    def ids(self) -> DataFrame:
+        """Every stored id, once per run that wrote it: enough to tell what is new."""
+        return self._rows().select("job_id")
 
-        A small batch touches few folders and the others are not read. At most
-        16 ** prefix_digits prefixes come to the driver.
-        """
-        prefixes = self._prefixed(batch.select("job_id")).select("id_prefix").distinct()
-        touched = [r[0] for r in prefixes.collect()]
-        return self._rows().where(F.col("id_prefix").isin(touched)).drop("id_prefix")
+    def near(self, batch: DataFrame) -> DataFrame:
+        """Stored rows of the ids of ``batch``. The store is the streamed side of the lookup."""
+        return latest_rows(self._rows().join(batch.select("job_id"), "job_id", "left_semi"))
 
     def get(self, job_id: str) -> DataFrame:
-        """Stored record of one id, from the one folder that can hold it."""
-        prefix = F.col("id_prefix") == job_id[: self.prefix_digits]
-        return store_get(self._rows().where(prefix).drop("id_prefix"), job_id)
+        """Stored record of one id; the filter reaches the scan."""
+        return latest_rows(store_get(self._rows(), job_id))
 
-    def upsert(self, items: DataFrame) -> None:
-        """Write ``items``, one row per job_id; writing twice changes nothing."""
-        self._replace_prefixes(upserted, items)
+    def upsert(self, items: DataFrame, run: str | None = None) -> None:
+        """Append ``items``, one row per job_id, as one run; the same run again replaces it."""
+        items.write.mode("overwrite").parquet(f"{self.path}/run={run or new_run()}")
 
-    def mark_seen(self, postings: DataFrame, seq: str = "seq") -> None:
-        self.upsert(store_item(last_write(postings, seq)))
+    def mark_seen(self, postings: DataFrame, seq: str = "seq", run: str | None = None) -> None:
+        self.upsert(store_item(last_write(postings, seq)), run)
 
-    def save_new(self, ranked: DataFrame, seq: str = "seq") -> None:
-        self.upsert(store_scored_item(last_write(ranked, seq)))
+    def save_new(self, ranked: DataFrame, seq: str = "seq", run: str | None = None) -> None:
+        self.upsert(store_scored_item(last_write(ranked, seq)), run)
 
-    def mark_emailed(self, ids: DataFrame) -> None:
-        self._replace_prefixes(emailed, ids.select("job_id").distinct())
+    def mark_emailed(self, ids: DataFrame, run: str | None = None) -> None:
+        self.upsert(emailed(self.near(ids), ids), run)
+
+    def compacted(self, path: str) -> KeyedStore:
+        """The latest rows as a new table at ``path``, sorted by id within its files."""
+        sorted_rows = self.read().sortWithinPartitions("job_id")
+        sorted_rows.write.mode("error").parquet(f"{path}/run={0:020d}")
+        return KeyedStore(self.spark, path)
 
     def _rows(self) -> DataFrame:
-        schema = T.StructType([*S.STORE.fields, T.StructField("id_prefix", T.StringType())])
+        schema = T.StructType([*S.STORE.fields, T.StructField("run", T.StringType())])
         return self.spark.read.schema(schema).parquet(self.path)
 
-    def _prefixed(self, rows: DataFrame) -> DataFrame:
-        return rows.withColumn("id_prefix", F.left("job_id", F.lit(self.prefix_digits)))
-
-    def _replace_prefixes(self, merge: Merge, batch: DataFrame) -> None:
-        """Rewrite the prefixes that ``batch`` touches with ``merge(stored rows, batch)``."""
-        work = new_work_dir(self.spark, "upsert")
-        batch = written(batch, f"{work}/batch")
-        merged = written(self._prefixed(merge(self.near(batch), batch)), f"{work}/merged")
-        # Rebalancing writes files of even size: small prefixes share a task, big ones are split.
-        (
-            merged.hint("rebalance", "id_prefix")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("id_prefix")
-            .parquet(self.path)
-        )
+
+def new_run() -> str:
+    """A name that sorts after those of earlier runs."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
 
 
 def store_get(store: DataFrame, job_id: str | Column) -> DataFrame:

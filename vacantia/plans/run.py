@@ -30,11 +30,13 @@ from vacantia.sources.normalise import described
 
 @dataclass(frozen=True)
 class RunResult:
-    """Three tables: the digest, the whole ranking, and one row of counts."""
+    """Tables: the digest, the whole ranking, one row of counts, and what is left for later."""
 
     digest: DataFrame
     ranked: DataFrame
     counts: DataFrame
+    #: Postings that could have been scored but were over the budget, or got no usable reply.
+    pending: DataFrame
 
 
 def run_cycle(
@@ -76,7 +78,7 @@ def run_cycle(
     fetched = written(narrow, f"{work}/fetched")
     eligible = gate.keep_worth_scoring(fetched)
     unique = written(dedup.dedup_in_batch(eligible), f"{work}/unique")
-    new = written(dedup.unseen(unique, stored.near(unique)), f"{work}/new")
+    new = written(dedup.unseen(unique, stored.ids()), f"{work}/new")
 
     chosen = gate.select_within_budget(
         gate.workable_gate(new, workable_only, gazetteer), now, max_age_days, max_score_per_run
@@ -97,8 +99,19 @@ def run_cycle(
     ranked = written(ranking.rank_one(scored, profile, gazetteer), f"{work}/ranked")
     if save:
         stored.save_new(ranked)
+    fit = gate.freshness_cut(gate.workable_gate(new, workable_only, gazetteer), now, max_age_days)
+    left = fit.select("job_id", "seq").join(ranked.select("job_id"), "job_id", "left_anti")
+    pending = postings.join(written(left, f"{work}/left"), ["job_id", "seq"], "left_semi")
     return run_result(
-        ranked, fetched, new, selected, source_status, digest_limit, min_score, per_company
+        ranked,
+        fetched,
+        new,
+        selected,
+        source_status,
+        digest_limit,
+        min_score,
+        per_company,
+        pending,
     )
 
 
@@ -136,6 +149,7 @@ def run_result(
     digest_limit: int,
     min_score: int | None,
     per_company: int | None,
+    pending: DataFrame,
 ) -> RunResult:
     """Digest, ordered ranking and counts over a run's written tables."""
     digest = selection.for_digest(
@@ -159,7 +173,7 @@ def run_result(
             "source_failures": failed,
         }
     ).withColumn("deferred", F.col("new") - F.col("selected"))
-    return RunResult(digest, ranked.orderBy(*rank_keys()), counts.drop("selected"))
+    return RunResult(digest, ranked.orderBy(*rank_keys()), counts.drop("selected"), pending)
 
 
 def run_report(

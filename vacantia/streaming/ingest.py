@@ -71,7 +71,7 @@ def stream_dedup(
         rows = f"{out}/batch_id={batch_id}"
         if not was_committed(spark, out, batch_id):
             unique = written(dedup.dedup_in_batch(batch), new_work_dir(spark, f"dedup-{batch_id}"))
-            written(dedup.unseen(unique, stored.near(unique)), rows)
+            written(dedup.unseen(unique, stored.ids()), rows)
             commit(spark, out, batch_id)
         stored.mark_seen(spark.read.schema(batch.schema).parquet(rows))
 

@@ -31,7 +31,8 @@ def stream_run(
     Results lie under ``out``: `ranked/batch_id=`, `digest/batch_id=` and `counts/batch_id=`. A
     run saves its ranking before the store closes over it; a replay of a finished batch only
     repeats the idempotent upsert, and one of an unfinished batch finds its replies in the log, so
-    no posting is scored or counted twice.
+    no posting is scored or counted twice. What a run leaves over, by its budget or without a usable
+    reply, lies under `pending/batch_id=` and joins the postings of the next one.
     """
     use_utc(spark)
 
@@ -40,6 +41,11 @@ def stream_run(
         if was_committed(spark, out, batch_id):
             stored.save_new(spark.read.parquet(ranked_path))
             return
+        before = f"{out}/pending/batch_id={batch_id - 1}"
+        if was_committed(spark, out, batch_id - 1):
+            held = spark.read.schema(batch.schema).parquet(before)
+            held = held.join(batch.select("job_id", "seq"), ["job_id", "seq"], "left_anti")
+            batch = batch.unionByName(held)
         result = run_cycle(
             spark,
             batch,
@@ -55,6 +61,7 @@ def stream_run(
         result.counts.coalesce(1).write.mode("overwrite").parquet(
             f"{out}/counts/batch_id={batch_id}"
         )
+        result.pending.write.mode("overwrite").parquet(f"{out}/pending/batch_id={batch_id}")
         commit(spark, out, batch_id)
         stored.save_new(result.ranked)
 
