@@ -65,24 +65,38 @@ def shingles(text: bytes, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(rolled, return_counts=True)
 
 
-def signature(elements: np.ndarray, weights: np.ndarray, registers: int) -> np.ndarray:
-    """The element that arrives first in each register; later arrivals end the search early."""
-    first = np.full(registers, np.inf)
-    winner = np.zeros(registers, np.uint64)
-    rate = weights / weights.sum()
-    state, clock, alive = elements, np.zeros(len(elements)), elements
+def signatures(
+    documents: list[tuple[np.ndarray, np.ndarray]], registers: int
+) -> np.ndarray:
+    """The element that arrives first in each register, one row per document.
+
+    All documents' elements take their next arrival together; those whose arrival is later than every
+    first one of their document are given up, and few rounds have more than a few left.
+    """
+    first = np.full((len(documents), registers), np.inf)
+    winner = np.zeros(len(documents) * registers, np.uint64)
+    sizes = [len(e) for e, _ in documents]
+    doc = np.repeat(np.arange(len(documents)), sizes)
+    alive = np.concatenate([e for e, _ in documents])
+    rate = np.concatenate([w / w.sum() for _, w in documents])
+    state, clock, latest = alive, np.zeros(len(alive)), np.full(len(documents), np.inf)
     while len(alive):
         state = _mixed(state + _MULTIPLIER)
         uniform = ((state >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
         clock = clock - np.log(uniform) / rate
-        soon = clock < first.max()
+        soon = clock < latest[doc]
         if not soon.all():
-            state, clock, alive, rate = state[soon], clock[soon], alive[soon], rate[soon]
-        at = (_mixed(state ^ _SALT) % np.uint64(registers)).astype(np.int64)
-        np.minimum.at(first, at, clock)
-        won = clock == first[at]
+            state, clock, alive = state[soon], clock[soon], alive[soon]
+            rate, doc = rate[soon], doc[soon]
+            if not len(alive):
+                break
+        at = (_mixed(state ^ _SALT) % np.uint64(registers)).astype(np.int64) + doc * registers
+        np.minimum.at(first.reshape(-1), at, clock)
+        won = clock == first.reshape(-1)[at]
         winner[at[won]] = alive[won]
-    return winner
+        open_docs = doc[np.concatenate(([True], doc[1:] != doc[:-1]))]
+        latest[open_docs] = first[open_docs].max(axis=1)
+    return winner.reshape(len(documents), registers)
 
 
 def probability_jaccard(
@@ -115,16 +129,15 @@ def _key(normal: Column) -> Column:
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     band_no = np.arange(BANDS, dtype=np.uint64)
     for part in slices(batches, "normal"):
-        rows = []
-        for text in part.column("normal").to_pylist():
-            elements, weights = shingles(text.encode("utf-8", "replace"))
-            winners = signature(elements, weights, BANDS * ROWS).reshape(BANDS, ROWS)
-            bucket = _mixed(band_no + _SALT)
-            for k in range(ROWS):
-                bucket = _mixed(bucket * _MULTIPLIER + winners[:, k])
-            rows.append(bucket.view(np.int64))
-        values = pa.array(np.concatenate(rows) if rows else np.empty(0, np.int64))
-        ends = pa.array(np.arange(len(rows) + 1) * BANDS, pa.int32())
+        found = [
+            shingles(t.encode("utf-8", "replace")) for t in part.column("normal").to_pylist()
+        ]
+        winners = signatures(found, BANDS * ROWS).reshape(len(found), BANDS, ROWS)
+        bucket = np.broadcast_to(_mixed(band_no + _SALT), (len(found), BANDS))
+        for k in range(ROWS):
+            bucket = _mixed(bucket * _MULTIPLIER + winners[:, :, k])
+        values = pa.array(bucket.reshape(-1).view(np.int64))
+        ends = pa.array(np.arange(len(found) + 1) * BANDS, pa.int32())
         yield pa.RecordBatch.from_arrays(
             [part.column("key"), pa.ListArray.from_arrays(ends, values)], ["key", "buckets"]
         )
