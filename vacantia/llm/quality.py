@@ -41,11 +41,11 @@ COMMON_WORDS = {
 }
 #: Character classes besides "anything else", as JVM patterns of what to remove.
 CHAR_CLASSES = (
-    r"\p{Ll}", r"\p{Lu}", r"[.,;:'\-]", r"[\x20\x09-\x0D]", r"[!?]", r"[#*$%&|<>]",
+    r"\p{Ll}+", r"\p{Lu}+", r"[.,;:'\-]+", r"[\x20\x09-\x0D]+", r"[!?]+", r"[#*$%&|<>]+",
 )
 #: Digits are left out: a telephone number in a short text is no sign of a bad one. What consists of
 #: numbers is told by the white space and punctuation that are left.
-LEFT_OUT = r"\p{N}"
+LEFT_OUT = r"\p{N}+"
 SYMBOLS = "#*$%&|<>"
 
 WINDOW = 5
@@ -99,40 +99,51 @@ def _measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
                 for p in (*CHAR_CLASSES, LEFT_OUT)
             ]
         ).alias("classes"),
-        F.filter(
-            F.transform("words", lambda w: F.lower(F.translate(w, _PUNCTUATION, ""))),
-            lambda w: w.isin(common),
+        F.concat(
+            F.lit(" "),
+            F.array_join(
+                F.filter(
+                    F.transform("words", lambda w: F.lower(F.translate(w, _PUNCTUATION, ""))),
+                    lambda w: w.isin(common),
+                ),
+                "  ",
+            ),
+            F.lit(" "),
         ).alias("common"),
         F.transform("words", lambda w: F.xxhash64(w)).alias("word_hashes"),
     )
     # An array that a lambda reads at an index must be a column by then, not an expression: it is
     # read several times there, so that the optimizer leaves it so.
-    long_enough = F.col("n_words") >= WINDOW
     windows = counted.withColumn(
         "windows",
         F.when(
-            long_enough,
+            F.col("n_words") >= WINDOW,
+            F.transform(
+                F.sequence(F.lit(0), F.greatest(F.col("n_words") - WINDOW, F.lit(0))),
+                lambda i: F.xxhash64(
+                    *[F.get(F.col("word_hashes"), i + k) for k in range(WINDOW)]
+                ),
+            ),
+        ),
+    )
+    # Most texts repeat no window, which a hash set tells without a sort.
+    by_hash = windows.withColumn(
+        "by_hash",
+        F.when(
+            F.size(F.array_distinct("windows")) < F.size("windows"),
             F.sort_array(
-                F.transform(
-                    F.sequence(F.lit(0), F.greatest(F.col("n_words") - WINDOW, F.lit(0))),
-                    lambda i: F.struct(
-                        F.xxhash64(
-                            *[F.get(F.col("word_hashes"), i + k) for k in range(WINDOW)]
-                        ).alias("h"),
-                        i.alias("i"),
-                    ),
-                )
+                F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))
             ),
         ),
     )
-    twice = windows.withColumn(
+    twice = by_hash.withColumn(
         "places",
         F.sort_array(
             F.transform(
                 F.filter(
-                    "windows",
-                    lambda w, n: (w["h"] == F.get(F.col("windows"), n - 1)["h"])
-                    | (w["h"] == F.get(F.col("windows"), n + 1)["h"]),
+                    "by_hash",
+                    lambda w, n: (w["h"] == F.get(F.col("by_hash"), n - 1)["h"])
+                    | (w["h"] == F.get(F.col("by_hash"), n + 1)["h"]),
                 ),
                 lambda w: w["i"],
             )
@@ -174,7 +185,9 @@ def _bins(group: tuple[str, ...]) -> Column:
     """How often each common word occurs, and then all other words."""
 
     def times(word: str) -> Column:
-        return F.size(F.filter("common", lambda w: w == word))
+        """The words stand between spaces of their own, so that none hides its neighbour."""
+        without = F.length(F.replace("common", F.lit(f" {word} "), F.lit("")))
+        return ((F.length("common") - without) / (len(word) + 2)).cast("int")
 
     each = [times(c) for c in group]
     return F.array(*each, F.col("n_words") - sum(each[1:], each[0]))
