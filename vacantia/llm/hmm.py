@@ -45,11 +45,7 @@ _LONGEST = 12
 CLASSES = _LONGEST * 3
 SYMBOLS = OWN + 1 + CLASSES
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-
-
-def lowered(text: Column) -> Column:
-    return F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER)
+_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
 def word_class(word: str) -> int:
@@ -59,8 +55,8 @@ def word_class(word: str) -> int:
 
 
 def _words(text: str) -> list[str]:
-    """Split at ASCII white space only."""
-    return [w.decode() for w in text.encode("utf-8", "replace").split()]
+    """A-Z in lower case, split at ASCII white space only; bytes do both without touching the rest."""
+    return [w.decode() for w in text.encode("utf-8", "replace").translate(_LOWER).split()]
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +109,7 @@ def learn_counts(spark: SparkSession, docs: DataFrame, learn: Column) -> tuple[D
     """word, n over all training documents, as a table; and the bounded part of it."""
     counts = written(
         docs.where(learn)
-        .select(lowered(F.col("text")).alias("text"))
+        .select(F.coalesce("text", F.lit("")).alias("text"))
         .mapInArrow(_counted, "word string, class int, n long")
         .groupBy("word", "class")
         .agg(F.sum("n").alias("n")),
@@ -187,7 +183,7 @@ def encode(docs: DataFrame, held_out: Column, lexicon: Lexicon) -> DataFrame:
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
         held_out.alias("held_out"),
-        lowered(F.col("text")).alias("text"),
+        F.coalesce("text", F.lit("")).alias("text"),
     ).mapInArrow(encoded, f"row long, doc_id {id_type}, held_out boolean, {_ENCODED}")
 
 
