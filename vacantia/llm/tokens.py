@@ -19,8 +19,8 @@ from tokenizers import Tokenizer
 #: Vocabulary file; it is read where the tasks run.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-#: Parts remembered by a Python worker: this many at most, in each of two generations.
-REMEMBERED = 250_000
+#: A Python worker remembers about this many parts, in each of two generations.
+REMEMBERED = 500_000
 
 
 @cache
@@ -62,7 +62,7 @@ class Encoder:
         for parts in split:
             if parts:
                 wanted.update(parts[1:])
-        known = self._look_up(wanted)
+        known = self._remembered(wanted)
         head = self._plain(firsts)
         whole = self._plain([t for t, parts in zip(texts, split, strict=True) if parts is None])
         get = known.__getitem__
@@ -78,19 +78,15 @@ class Encoder:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _look_up(self, wanted: set[str]) -> dict[str, bytes]:
+    def _remembered(self, wanted: set[str]) -> dict[str, bytes]:
         """Ids of each part with the space before it; a trailing empty part is a lone space."""
-        known, new = {}, []
-        recent, older = self._recent, self._older
-        for part in wanted:
-            ids = recent.get(part)
-            if ids is None:
-                ids = older.get(part)
-                if ids is None:
-                    new.append(part)
-                    continue
-                recent[part] = ids
-            known[part] = ids
+        if len(self._recent) > REMEMBERED:
+            self._recent, self._older = {}, self._recent
+        known, older = self._recent, self._older
+        missing = wanted - known.keys()
+        back = missing & older.keys()
+        known.update(zip(back, map(older.__getitem__, back), strict=True))
+        new = missing - back
         simple = [p for p in new if p and "\n" not in p and not p.isspace()]
         other = [p for p in new if not p or "\n" in p or p.isspace()]
         cut = np.frombuffer(self._line_feed, "<u4")[0]
@@ -103,14 +99,12 @@ class Encoder:
             places = np.flatnonzero(ids == cut)
             if len(places) != len(group):  # a part whose own ids hold a line feed's
                 for part, found in zip(group, self._plain([f" {p}" for p in group]), strict=True):
-                    known[part] = recent[part] = found
+                    known[part] = found
                 continue
             ends = np.append(places[1:], len(ids)).tolist()
             data = ids.tobytes()
             for part, a, b in zip(group, places.tolist(), ends, strict=True):
-                known[part] = recent[part] = data[4 * a + 4 : 4 * b]
+                known[part] = data[4 * a + 4 : 4 * b]
         for part, found in zip(other, self._plain([f" {p}" for p in other]), strict=True):
-            known[part] = recent[part] = found
-        if len(recent) > REMEMBERED:
-            self._recent, self._older = {}, recent
+            known[part] = found
         return known
