@@ -46,7 +46,8 @@ CHAR_CLASSES = (
 #: Digits are left out: a telephone number in a short text is no sign of a bad one. What consists of
 #: numbers is told by the white space and punctuation that are left.
 LEFT_OUT = r"\p{N}+"
-SYMBOLS = "#*$%&|<>"
+SYMBOL_CLASS = r"[#*$%&|<>]+"
+NOT_SPACE = r"[^\x20\x09-\x0D]"
 
 WINDOW = 5
 MIN_WORDS = 10
@@ -60,7 +61,8 @@ REFERENCE_DISTANCE = 0.13, 0.30
 MAX_CLASS_DISTANCE = 0.17
 MAX_WORD_DISTANCE = 0.45
 
-_PUNCTUATION = ".,;:!?'\"()-" + SYMBOLS
+#: What common words are freed of at either end.
+_PUNCTUATION = ".,;:!?'\"()-#*$%&|<>"
 
 
 def _measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -77,9 +79,7 @@ def _measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         carried,
         text.alias("text"),
         words(F.col("text")).alias("words"),
-        F.filter(F.split(text, "\n"), lambda s: F.translate(s, " \t\x0b\x0c\r", "") != "").alias(
-            "lines"
-        ),
+        F.filter(F.split(text, "\n"), lambda s: s.rlike(NOT_SPACE)).alias("lines"),
     )
     common = sorted({w for group in COMMON_WORDS.values() for w in group})
     counted = split.select(
@@ -87,10 +87,7 @@ def _measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "lang",
         "row",
         F.size("words").alias("n_words"),
-        F.length(F.translate("text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias(
-            "n_symbols"
-        ),
+        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.length("text").alias("n_text"),
         F.array(
@@ -103,7 +100,7 @@ def _measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             F.lit(" "),
             F.array_join(
                 F.filter(
-                    F.transform("words", lambda w: F.lower(F.translate(w, _PUNCTUATION, ""))),
+                    F.transform("words", lambda w: F.lower(F.btrim(w, F.lit(_PUNCTUATION)))),
                     lambda w: w.isin(common),
                 ),
                 "  ",
@@ -163,7 +160,7 @@ def _measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         "row",
         F.col("n_words").cast("long").alias("n_words"),
         "word_chars",
-        "n_symbols",
+        F.get("classes", F.lit(CHAR_CLASSES.index(SYMBOL_CLASS))).cast("long").alias("n_symbols"),
         "n_dup_lines",
         F.coalesce(covered, F.lit(0).cast("long")).alias("n_repeat_words"),
         "n_text",
