@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from vacantia.checks import views as W
-from vacantia.operators import dedup, digest_mail, gate, metrics
+from vacantia.operators import dedup, digest_mail, gate, metrics, scoring
 from vacantia.operators.store import KeyedStore
 from vacantia.plans.run import run_cycle, run_report
 from vacantia.session import written
@@ -186,6 +186,28 @@ def test_stream_ingest_equals_batch(spark, tmp_path):
     assert sorted(map(str, got.select(key).collect())) == sorted(map(str, batch.select(key).collect()))
 
 
+@pytest.mark.parametrize("first", ["path is null", "path is not null"])
+def test_stream_ingest_joins_what_lands_apart(spark, tmp_path, first):
+    """Searches before their details, and details before their searches."""
+    landed, out, check = (str(tmp_path / n) for n in ("landed", "out", "check"))
+    docs = W.payloads(W.postings(spark, SMALL)).where("source = 'workday'")
+    for part in (first, f"not ({first})"):
+        payloads.land_payloads(docs.where(part), landed)
+        ingest.stream_ingest(spark, landed, out, check, NOW(W.NOW)).awaitTermination()
+    batch = normalise.combine_sources(
+        payloads.payload_scan(spark, landed, NOW(W.NOW)),
+        registry.boards(spark),
+        registry.workday_boards(spark),
+    )
+    key = ["source", "job_id", "title", "location", "description"]
+    got = sorted(map(str, spark.read.parquet(out).select(key).collect()))
+    assert got == sorted(map(str, batch.select(key).collect())) and got
+    # Nothing comes twice when the same details land again.
+    payloads.land_payloads(docs.where("path is not null"), landed)
+    ingest.stream_ingest(spark, landed, out, check, NOW(W.NOW)).awaitTermination()
+    assert sorted(map(str, spark.read.parquet(out).select(key).collect())) == got
+
+
 def split_stream(spark, feed, path, halves):
     """The feed's postings as files that arrive one by one."""
     rows = feed[0].where(halves[0])

@@ -223,6 +223,13 @@ def test_workday(land, spark):
     assert normalise.normalise_workday(all_docs, boards).count() == 0
 
 
+def test_a_bad_page_behind_a_full_cap_is_not_reached(land):
+    hits = [{"title": f"T{n}", "externalPath": f"/job/{n}"} for n in range(20)]
+    for cap, left in ((10, 10), (20, 20), (21, 0)):
+        docs = land("workday", {"jobPostings": hits}, "unreadable", slug=["s"] * 2, query=["q"] * 2, page=[1, 2])
+        assert workday.workday_stubs(docs, max_results=cap).count() == left
+
+
 def test_workday_site(column):
     robots = "User-agent: *\nsitemap: https://h.example/SITE/siteMap.xml\nSitemap: https://h/two/x\n"
     assert column(fields.workday_site, [robots, "Sitemap: none", ""]) == ["SITE", None, None]

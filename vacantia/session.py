@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from functools import cache
@@ -45,8 +46,13 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one is made only where none is named."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or _own_dir()).rstrip("/")
+    """The cluster's shared checkpoint folder; one of the machine's own only for a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", None) or ""):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = _own_dir()
+    return named.rstrip("/")
 
 
 def new_work_dir(spark: SparkSession, label: str) -> str:

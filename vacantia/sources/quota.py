@@ -13,18 +13,37 @@ _QUERY = ["source", "slug", "query"]
 def scan_ends(documents: DataFrame, page_size: int, max_results: int) -> DataFrame:
     """Where the scan of each query stops: ``short_page``, and whether it ``failed`` on the way.
 
-    A scan ends after the first page shorter than ``page_size``. A failed page that it reaches
-    fails the whole query. This is a partial aggregate over page sizes, so a query that owns a
-    third of all pages is reduced before the shuffle.
+    A scan ends after the first page shorter than ``page_size``, or once the pages before have filled
+    the cap. A failed page that it reaches fails the whole query. These are partial aggregates over
+    page sizes, so a query that owns a third of all pages is reduced before the shuffle; only queries
+    with a failed page are counted a second time.
     """
     n = F.size("items")
-    facts = documents.groupBy(*[F.col(k).alias(f"f_{k}") for k in _QUERY]).agg(
+    keys = [F.col(k).alias(f"f_{k}") for k in _QUERY]
+    named = [f"f_{k}" for k in _QUERY]
+    facts = documents.groupBy(*keys).agg(
         F.min(F.when(n < page_size, F.col("page"))).alias("short_page"),
         F.min(F.when(F.col("items").isNull(), F.col("page"))).alias("bad_page"),
     )
+    broken = facts.where("bad_page is not null").select(
+        *[F.col(k).alias(f"b_{k}") for k in named], F.col("bad_page").alias("first_bad")
+    )
+    sizes = documents.select(*keys, "page", n.alias("n"))
+    before = (
+        sizes.join(broken, [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in named])
+        .where(F.col("page") < F.col("first_bad"))
+        .groupBy(*[F.col(f"b_{k}") for k in named])
+        .agg(F.sum("n").alias("rows_before"))
+    )
     short, bad = F.col("short_page"), F.col("bad_page")
-    reached = (short.isNull() | (bad <= short)) & ((bad - 1) * page_size < max_results)
-    return facts.withColumn("failed", F.coalesce(reached, F.lit(False))).drop("bad_page")
+    reached = (short.isNull() | (bad <= short)) & (
+        F.coalesce("rows_before", F.lit(0)) < max_results
+    )
+    return (
+        facts.join(before, [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in named], "left")
+        .withColumn("failed", F.coalesce(bad.isNotNull() & reached, F.lit(False)))
+        .select(*named, "short_page", "failed")
+    )
 
 
 def cap_rows(rows: DataFrame, max_results: int) -> DataFrame:

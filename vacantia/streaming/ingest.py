@@ -5,6 +5,8 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vacantia.operators import dedup
@@ -35,8 +37,9 @@ def stream_ingest(
     """New landed files become postings under ``out``, one folder per micro-batch.
 
     A replayed batch overwrites its own folder. The batch form of the normalisers is used, since
-    the two-stage source joins search and detail documents. A detail must land no later than
-    the search that names it.
+    the two-stage source joins search and detail documents. Those may land in any order: they are
+    kept under ``out``-workday, a search meets the details landed until then, and a detail that is
+    the first of its path meets the searches landed before it.
     """
     use_utc(spark)
     boards, sites = registry.boards(spark), registry.workday_boards(spark)
@@ -45,7 +48,22 @@ def stream_ingest(
         # The documents are read once per normaliser branch, so they are written first.
         path = new_work_dir(spark, f"ingest-{batch_id}")
         landed_now = written(batch, path, partition_by="source")
-        postings = combine_sources(landed_now, boards, sites)
+        kept = f"{out}-workday"
+        two_stage = landed_now.where("source = 'workday'")
+        two_stage.write.mode("overwrite").parquet(f"{kept}/batch_id={batch_id}")
+        # The folder exists, as this batch is in it.
+        schema = T.StructType([*landed_now.schema.fields, T.StructField("batch_id", T.LongType())])
+        earlier = spark.read.schema(schema).parquet(kept).where(F.col("batch_id") < batch_id)
+        earlier = earlier.drop("batch_id")
+        old_details = earlier.where("path is not null")
+        first_details = two_stage.where("path is not null").join(
+            old_details.select("slug", "path"), ["slug", "path"], "left_anti"
+        )
+        postings = combine_sources(landed_now.unionByName(old_details), boards, sites)
+        late = combine_sources(
+            earlier.where("path is null").unionByName(first_details), boards, sites
+        )
+        postings = postings.unionByName(late)
         postings.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
     stream = payload_scan(spark, landed, fetched_at, streaming=True, packed=packed)
