@@ -102,7 +102,6 @@ DIGEST_LIMIT = 10
 MIN_SCORE = 65
 PER_COMPANY = 2
 MAX_AGE_DAYS = 14
-MAX_SCORE_PER_RUN = 200
 SCORE_RANGE = (0, 100)
 
 # --- fixed values: digest and report formats --------------------------------------
@@ -121,17 +120,12 @@ SCORED_PATTERN = r"scored=(\d+)"
 EMAILED_PATTERN = r"emailed=(\d+)"
 
 DAILY_WINDOW_SECONDS = 86400
-DAILY_LINE_LIMIT = 2000
 ALARM_PERIOD_SECONDS = 300
 NO_RUN_WINDOW_SECONDS = 28800
 
 # --- fixed values: per-source constants -------------------------------------------
 ADZUNA_PAGE_SIZE = 50
-ADZUNA_MAX_RESULTS = 50
 ADZUNA_PREDICTED = "1"
-WORKDAY_PAGE_SIZE = 20
-WORKDAY_MAX_RESULTS = 20
-USAJOBS_MAX_RESULTS = 25
 USAJOBS_PAY_INTERVALS = {"PA": "/yr", "PH": "/hr", "PD": "/day"}
 GREENHOUSE_REMOTE_METADATA = ("Location Type", "Remote")
 WORKDAY_SITEMAP_PATTERN = r"^Sitemap:\s*https?://[^/]+/([^/]+)/"
@@ -259,7 +253,6 @@ REMOTIVE_SEARCHES = (
 # (place, radius in miles)
 ADZUNA_PLACES = (("Sarasota", 60), ("Chicago", 40))
 ADZUNA_PHRASES = ("data engineer", "AI engineer", "machine learning engineer", "data platform")
-ADZUNA_QUERY_MAX_DAYS_OLD = 30
 ADZUNA_QUERY_MAX_RESULTS = 25
 
 # (tenant, site, host, company)
