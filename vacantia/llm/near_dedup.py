@@ -39,6 +39,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 40
 ROWS = 10
+#: Nodes on either side of a task that compares those of different components.
+BLOCK = 256
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
@@ -201,24 +203,89 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         seen = now
 
 
-def _pairs_apart(buckets: DataFrame, roots: DataFrame) -> DataFrame:
-    """a, b in a common bucket whose components differ; buckets inside one component give none."""
+def _links_apart(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b of similar nodes in a common bucket whose components differ.
+
+    In a bucket of several components each node outside its largest one meets every node of another
+    component. Both sides are dealt into blocks of about BLOCK nodes, a task holds one block of each,
+    and only links leave it: the pairs themselves are never rows.
+    """
     known = buckets.join(roots, "key", "left").select(
         "bucket", "key", F.coalesce("root", "key").alias("root")
     )
-    groups = known.select("bucket", "root").distinct()
-    mixed = groups.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    left = groups.join(mixed, "bucket")
-    right = left.select("bucket", F.col("root").alias("other"))
-    apart = left.join(right, "bucket").where(F.col("root") < F.col("other"))
-    return (
-        apart.join(known.withColumnRenamed("key", "x"), ["bucket", "root"])
-        .join(
-            known.select("bucket", F.col("root").alias("other"), F.col("key").alias("y")),
-            ["bucket", "other"],
+    sizes = known.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = (
+        sizes.groupBy("bucket")
+        .agg(
+            F.count("*").alias("roots"),
+            F.sum("n").alias("n"),
+            F.max(F.struct("n", "root")).alias("major"),
         )
-        .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-        .distinct()
+        .where("roots > 1")
+        .select(
+            "bucket",
+            F.col("major.root").alias("major"),
+            F.ceil(F.col("n") / BLOCK).cast("int").alias("row_blocks"),
+            F.ceil((F.col("n") - F.col("major.n")) / BLOCK).cast("int").alias("minor_blocks"),
+        )
+    )
+    placed = known.join(mixed, "bucket").withColumn("minor", F.col("root") != F.col("major"))
+    hashed = F.xxhash64("key")
+
+    def side(rows: DataFrame, number: int, row_block: Column, minor_block: Column) -> DataFrame:
+        with_rows = rows.withColumn("row_block", row_block)
+        return with_rows.withColumn("minor_block", minor_block).select(
+            "bucket", "row_block", "minor_block", F.lit(number).alias("side"), "key", "root", "minor"
+        )
+
+    def own(blocks: str) -> Column:
+        return F.pmod(hashed, F.col(blocks)).cast("int")
+
+    def each(blocks: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(blocks) - 1))
+
+    left = side(placed, 0, own("row_blocks"), each("minor_blocks"))
+    right = side(placed.where("minor"), 1, each("row_blocks"), own("minor_blocks"))
+    group = ["bucket", "row_block", "minor_block"]
+    dealt = left.unionByName(right).join(texts, "key").repartition(*group)
+    return dealt.sortWithinPartitions(*group, "side").mapInArrow(_compare, "a binary, b binary")
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links within each group of rows; the groups follow each other, rows of side 0 first."""
+    held: tuple[list[tuple], list[tuple]] = [], []
+    now = None
+    for batch in batches:
+        names = ("bucket", "row_block", "minor_block", "side", "key", "root", "minor", "normal")
+        for *group, side, key, root, minor, text in zip(
+            *(batch.column(c).to_pylist() for c in names), strict=True
+        ):
+            if group != now:
+                yield _links(*held)
+                held, now = ([], []), group
+            held[side].append((key, root, minor, *shingles(text.encode("utf-8", "replace"))))
+    yield _links(*held)
+
+
+def _links(rows: list[tuple], minors: list[tuple]) -> pa.RecordBatch:
+    found: list[tuple[bytes, bytes]] = []
+    if rows and minors:
+        elements = np.concatenate([r[3] for r in rows])
+        shares = np.concatenate([r[4] / r[4].sum() for r in rows])
+        of = np.repeat(np.arange(len(rows)), [len(r[3]) for r in rows])
+        for key, root, _, own, counts in minors:
+            place = np.minimum(np.searchsorted(own, elements), len(own) - 1)
+            same = own[place] == elements
+            least = np.minimum(shares[same], (counts / counts.sum())[place[same]])
+            # Shares in common bound the similarity from above.
+            for n in np.flatnonzero(np.bincount(of[same], least) >= THRESHOLD - 1e-9):
+                other, other_root, other_minor, *sketch = rows[n]
+                if other_root == root or (other_minor and other >= key):
+                    continue
+                if probability_jaccard(tuple(sketch), (own, counts)) >= THRESHOLD - 1e-12:
+                    found.append((other, key))
+    return pa.RecordBatch.from_arrays(
+        [pa.array([f[n] for f in found], pa.binary()) for n in range(2)], ["a", "b"]
     )
 
 
@@ -257,10 +324,10 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     ).distinct()
     links = written(_verified(to_leader, texts), new_work_dir(spark, "near"))
     roots = components(spark, links)
-    apart = _pairs_apart(shared.select("bucket", "key"), roots).join(
-        to_leader, ["a", "b"], "left_anti"
+    more = written(
+        _links_apart(shared.select("bucket", "key"), roots, texts).distinct(),
+        new_work_dir(spark, "near"),
     )
-    more = written(_verified(apart, texts), new_work_dir(spark, "near"))
     if not more.isEmpty():
         roots = components(
             spark, more.unionByName(roots.select(F.col("root").alias("a"), F.col("key").alias("b")))
