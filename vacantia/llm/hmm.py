@@ -116,7 +116,10 @@ def learn_counts(spark: SparkSession, docs: DataFrame, learn: Column) -> tuple[D
         new_work_dir(spark, "counts"),
     )
     totals = counts.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).collect()
-    top = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(FREQUENT).collect()
+    # Written first: the tasks' shares meet in a task, and the driver gets FREQUENT rows.
+    most = counts.where(F.col("word") != END).orderBy(F.desc("n"), "word").limit(FREQUENT)
+    top = written(most.select("word", "n"), new_work_dir(spark, "frequent")).collect()
+    top.sort(key=lambda r: (-r["n"], r["word"]))
     by_class = {r["class"]: (r["n"], r["kinds"]) for r in totals}
     lexicon = Lexicon(
         [(r["word"], r["n"]) for r in top],
