@@ -73,6 +73,26 @@ def test_added_spans_and_context():
     assert told > alone
 
 
+def test_ibans_end_where_their_country_says():
+    german, british = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
+    norwegian = "NO9386011117947"
+    for text, want in [
+        (f"IBAN {german} BIC COBADEFF", [german]),
+        ("DE89370400440532013000 OK", ["DE89370400440532013000"]),
+        (f"From {german} I paid", [german]),
+        (f"{british} 2024", [british]),
+        (f"{norwegian} {norwegian} {german} {british}", [norwegian, norwegian, german, british]),
+        (f"REF AB12 {german}", [german]),
+        (f"{german}X OK", []),
+        ("DZ580002100001113000000570 OK 1", ["DZ580002100001113000000570"]),
+    ]:
+        spans = P.find_spans(text)
+        assert [text[s.start : s.end] for s in spans if s.kind == "iban"] == want, text
+    text = f"IBAN {german} BIC COBADEFF"
+    assert P.redact(text, P.find_spans(text)) == "IBAN [IBAN] BIC COBADEFF"
+    P.find_spans("AB12 " * 60_000)
+
+
 def test_redact():
     text = "Write to a@b.cd or +1 555 010 9999."
     assert P.redact(text, P.find_spans(text)) == "Write to [EMAIL] or [PHONE]."

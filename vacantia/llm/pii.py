@@ -1,8 +1,8 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust the score.
 
 Base kinds are e-mail addresses, IPv4 addresses, payment cards (Luhn) and international phone
-numbers. The method adds account numbers (IBAN, confirmed by mod 97) and national phone or id numbers,
-which count only near a word that says what they are. Every span has a score: what its pattern and
+numbers. The method adds account numbers (IBAN, cut to their country's length and confirmed by mod 97)
+and national phone or id numbers, which count only near a word that says what they are. Every span has a score: what its pattern and
 checksum are worth, plus what the words around it say. Base spans stay whatever their score; added
 ones need MIN_SCORE.
 
@@ -43,6 +43,19 @@ CONTEXT_WORDS = {
     "number": ("phone", "tel", "mobile", "fax", "telefon", "téléphone", "teléfono", "ssn"),
 }
 CONTEXT_BONUS = 0.35
+#: Places of an IBAN by country (ISO 13616); of other countries any length is tried.
+IBAN_LENGTHS = {
+    country: places
+    for places, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI",
+        20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -115,15 +128,33 @@ def _score(text: str, start: int, end: int, kind: str) -> float:
     return min(1.0, BASE_SCORE[kind] + bonus)
 
 
+def _ibans(text: str) -> Iterator[tuple[int, int]]:
+    """Account numbers, less the upper-case words and numbers that follow them.
+
+    A candidate ends where one of its groups does, at the length of its country or, for a country not
+    listed, at the longest one that passes. Within a candidate that fails the next one is looked for.
+    """
+    m = _IBAN.search(text)
+    while m:
+        want = IBAN_LENGTHS.get(m[0][:2])
+        ends, at, places = [], m.start(), 0
+        for group in m[0].split(" "):
+            at, places = at + len(group), places + len(group)
+            if places == want or (want is None and 15 <= places <= 34):
+                ends.append(at)
+            at += 1
+        passed = (e for e in reversed(ends) if mod_97(text[m.start() : e].replace(" ", "")))
+        end = next(passed, None)
+        if end:
+            yield m.start(), end
+        m = _IBAN.search(text, end or m.start() + 1)
+
+
 def find_spans(text: str | None) -> list[Span]:
     """All spans of a text: base ones, and added ones that reach MIN_SCORE and overlap no other."""
     text = text or ""
     base = base_spans(text)
-    added = []
-    for m in _IBAN.finditer(text):
-        account = m[0].replace(" ", "")
-        if 15 <= len(account) <= 34 and mod_97(account):
-            added.append((*m.span(), "iban"))
+    added = [(s, e, "iban") for s, e in _ibans(text)]
     if _WORDS_NEAR["number"].search(text.lower()):
         added += [(*m.span(), "number") for m in _NUMBER.finditer(text)]
     spans = [Span(s, e, k, _score(text, s, e, k)) for s, e, k in base]
