@@ -51,6 +51,31 @@ def test_sweeps_pack_like_single_pieces(lengths):
     assert sorted(taken) == list(range(brute_count(lengths, 40)))
 
 
+def packed_count(counts, most):
+    """Sequences opened; fails if one is filled beyond ``most`` or a piece has no place."""
+    filled = {}
+    moves = K.sweeps(counts, most).tolist()
+    for n, (length, rank, first, each, offset) in enumerate(moves):
+        goes_on = n + 1 < len(moves) and moves[n + 1][0] == length
+        for nth in range((moves[n + 1][1] if goes_on else counts[length]) - rank):
+            sequence = first + nth // each
+            assert filled.get(sequence, 0) == offset + nth % each * length
+            filled[sequence] = offset + (nth % each + 1) * length
+    assert max(filled.values()) <= most
+    assert sum(filled.values()) == sum(length * n for length, n in counts.items())
+    return len(filled)
+
+
+def test_a_gap_takes_as_many_pieces_as_it_holds():
+    assert packed_count({25: 3, 7: 3, 5: 4}, 40) == 3
+    assert packed_count({1248: 6000, 400: 6000, 240: 8000}, 2048) == 6000
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        lengths = rng.choice(rng.integers(1, 41, 4), rng.integers(1, 200)).tolist()
+        counts = {n: lengths.count(n) for n in set(lengths)}
+        assert packed_count(counts, 40) == brute_count(lengths, 40), counts
+
+
 def test_cut():
     assert K.cut(1) == [(0, 1)] and K.cut(2048) == [(0, 2048)]
     assert K.cut(2049) == [(0, 1), (1, 2048)]

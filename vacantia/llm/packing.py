@@ -3,13 +3,14 @@
 Bulk-synchronous best fit. Pieces are range-sorted by length on the executors and ranked within their
 length; a superstep places all pieces of one length, from the longest down. In a superstep every
 piece looks for its successor among the sorted gaps, the smallest that holds it; pieces that want the
-same gap are told apart by rank, gaps shrink, and the sweep goes on until the length is placed. What
-finds no gap opens new sequences.
+same gap are told apart by rank, gaps shrink, and the sweep goes on until the length is placed. A gap
+that a piece was put into stays the smallest one while it holds another piece of that length, so each
+is filled with as many as it holds before the next. What finds no gap opens new sequences.
 
 Pieces of equal length, and sequences with equal gaps, are interchangeable. So a sweep moves runs of
 ranks over runs of sequences and not single rows: its state is one count per length and one list of
 runs per gap, bounded by the sequence length whatever the corpus. A superstep splits at most one run
-and opens at most two, so there are at most a few runs per length. The executors then look up, by
+in three or opens at most two, so there are at most a few runs per length. The executors then look up, by
 length and rank, which sequence and offset each piece got. The result is the one of best-fit
 decreasing over single pieces.
 
@@ -98,20 +99,24 @@ class Gaps:
         self.opened += count
         return self.opened - count
 
-    def successor(self, length: int, wanted: int) -> tuple[int, int, int] | None:
-        """Up to ``wanted`` sequences of the smallest gap that holds ``length``: gap, first, count."""
+    def successor(self, length: int, wanted: int) -> tuple[int, int, int, int] | None:
+        """Sequences of the smallest gap that holds ``length``: gap, pieces in each, first, count.
+
+        They are filled as far as ``wanted`` pieces go, and take ``wanted`` of them at most.
+        """
         at = bisect_left(self._sorted, length)
         if at == len(self._sorted):
             return None
         gap = self._sorted[at]
         runs = self._runs[gap]
         first, count = runs.pop()
-        taken = min(count, wanted)
+        each = min(gap // length, wanted)
+        taken = min(count, wanted // each)
         if taken < count:
             runs.append((first + taken, count - taken))
         elif not runs:
             del self._runs[gap], self._sorted[at]
-        return gap, first, taken
+        return gap, each, first, taken
 
 
 def sweeps(lengths: dict[int, int], most: int = SEQUENCE) -> np.ndarray:
@@ -122,16 +127,13 @@ def sweeps(lengths: dict[int, int], most: int = SEQUENCE) -> np.ndarray:
         while left:
             found = gaps.successor(length, left)
             if found:
-                gap, first, count = found
-                moves.append((length, rank, first, 1, most - gap))
-                gaps.add(gap - length, first, count)
-                rank, left = rank + count, left - count
-                continue
-            each = min(most // length, left)
-            count = left // each
-            first = gaps.open(count)
-            moves.append((length, rank, first, each, 0))
-            gaps.add(most - each * length, first, count)
+                gap, each, first, count = found
+            else:
+                gap, each = most, min(most // length, left)
+                count = left // each
+                first = gaps.open(count)
+            moves.append((length, rank, first, each, most - gap))
+            gaps.add(gap - each * length, first, count)
             rank, left = rank + count * each, left - count * each
     return np.array(moves, np.int64).reshape(-1, 5)
 
