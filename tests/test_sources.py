@@ -292,6 +292,34 @@ def test_cap_per_query(land, pages, cap, expected):
     assert [int(r["source_id"]) for r in got] == list(range(expected))
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_each_fetch_has_its_own_cap_status_and_time(land, spark, tmp_path, packed):
+    later = NOW + dt.timedelta(days=1)
+    asked = {"query": ["q"], "page": [1]}
+    for n, (name, when) in enumerate([("01", NOW), ("1", later)]):
+        docs = land("adzuna", page(25 * n, 25), payload_id=[name], fetched_at=[when], **asked)
+        stubs = [{"title": "T", "externalPath": f"/{n}-{k}"} for k in range(3)]
+        docs = docs.unionByName(
+            land("workday", {"jobPostings": stubs}, payload_id=[f"w{n}"], fetched_at=[when], **asked)
+        )
+        search = {"SearchResult": {"SearchResultItems": [USAJOBS]}} if n else {"error": 1}
+        docs = docs.unionByName(
+            land("usajobs", search, payload_id=[f"u{n}"], fetched_at=[when], **asked)
+        )
+        payloads.land_payloads(
+            docs.withColumn("fetch_id", F.lit(name)), str(tmp_path), packed=packed
+        )
+    scan = payloads.payload_scan(spark, str(tmp_path), None, packed=packed, fetches=not packed)
+    got = normalise.normalise_adzuna(scan, max_results=25).collect()
+    assert sorted(int(r["source_id"]) for r in got) == list(range(50))
+    naive = [when.replace(tzinfo=None) for when in (NOW, later)]
+    assert {(int(r["source_id"]) // 25, r["fetched_at"]) for r in got} == set(enumerate(naive))
+    stubs = workday.workday_stubs(scan, 2).collect()
+    assert sorted(r["external_path"] for r in stubs) == ["/0-0", "/0-1", "/1-0", "/1-1"]
+    status = normalise.source_status(normalise.payload_validate(scan)).where("source = 'usajobs'")
+    assert [(r["fetch_id"], r["status"]) for r in status.collect()] == [("1", "ok")]
+
+
 def test_landed_files_round_trip(land, spark, tmp_path):
     docs = land("lever", [LEVER], slug=["fin/ix a"]).unionByName(
         land("workday", {"jobPostingInfo": {}}, path=["/job/a?x=1"])

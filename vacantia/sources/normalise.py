@@ -321,10 +321,20 @@ def payload_validate(payloads: DataFrame) -> DataFrame:
 
 
 def source_status(status: DataFrame) -> DataFrame:
-    """Status per source of a run (a board, or one search): one failed document fails it."""
+    """Status per source (a board, or one search) of its latest fetch: one failed document fails it."""
+    of = ["source", "slug", "query"]
+    failed = F.count_if(F.col("status") == "failed")
+    fetches = status.groupBy(*of, "fetch_id").agg(
+        F.struct(
+            F.max("fetched_at").alias("fetched_at"),
+            F.col("fetch_id").alias("fetch_id"),
+            failed.alias("failed_documents"),
+        ).alias("fetch")
+    )
     return (
-        status.groupBy("source", "slug", "query")
-        .agg(F.count_if(F.col("status") == "failed").alias("failed_documents"))
+        fetches.groupBy(*of)
+        .agg(F.max("fetch").alias("fetch"))
+        .select(*of, "fetch.fetch_id", "fetch.failed_documents")
         .withColumn("status", F.when(F.col("failed_documents") > 0, "failed").otherwise("ok"))
     )
 

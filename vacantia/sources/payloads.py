@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 _DETAIL = "workday_detail"
 _LINE = (
     "payload_id string, slug string, query string, page int, path string, body string, "
-    "source string"
+    "source string, fetch_id string, fetched_at timestamp"
 )
 
 # What every normalised row carries of its payload.
-PAYLOAD_COLUMNS = ("payload_id", "source", "slug", "query", "page", "path", "fetched_at")
+PAYLOAD_COLUMNS = ("payload_id", "source", "slug", "query", "page", "path", "fetched_at", "fetch_id")
 
 
 def payload_scan(
@@ -29,6 +29,7 @@ def payload_scan(
     *,
     streaming: bool = False,
     packed: bool = False,
+    fetches: bool = False,
 ) -> DataFrame:
     """Landed documents, batch or stream, below one `source=` folder per source.
 
@@ -36,15 +37,26 @@ def payload_scan(
     `source=workday_detail` with their external path as `query`. Packed: JSON lines of
     (payload_id, slug, query, page, path, body), many documents to a file, which is the form for
     very many documents. Either way each normaliser reads its own source's folder only.
+
+    A folder that more than one fetch of a query is landed in says which one a document is of. With
+    ``fetches`` the plain layout has `fetch_id=/fetch_time=` below `source=`; packed lines have both
+    as fetch_id and fetched_at. ``fetched_at`` is the time of documents that have none of their own;
+    documents without a fetch_id count as one fetch.
     """
     reader = spark.readStream if streaming else spark.read
     when = fetched_at if isinstance(fetched_at, Column) else F.lit(fetched_at)
     when = when.cast("timestamp").alias("fetched_at")
     if packed:
         lines = reader.schema(_LINE).json(path)
-        return lines.select(*[c for c in PAYLOAD_COLUMNS if c != "fetched_at"], "body", when)
+        own = F.coalesce("fetched_at", when).alias("fetched_at")
+        return lines.select(*[own if c == "fetched_at" else c for c in PAYLOAD_COLUMNS], "body")
+    fetch = ", fetch_id string, fetch_time string" if fetches else ""
+    fetch_id = F.col("fetch_id") if fetches else F.lit(None).cast("string")
+    if fetches:
+        own = F.col("fetch_time").try_cast("timestamp")
+        when = F.coalesce(own, when).alias("fetched_at")
     files = (
-        reader.schema("value string, source string, slug string, query string, page int")
+        reader.schema(f"value string, source string, slug string, query string, page int{fetch}")
         .option("wholetext", "true")
         .text(path)
     )
@@ -59,19 +71,27 @@ def payload_scan(
         F.when(detail, F.col("query")).alias("path"),
         F.col("value").alias("body"),
         when,
+        fetch_id.alias("fetch_id"),
     )
 
 
 def land_payloads(payloads: DataFrame, path: str, *, packed: bool = False) -> None:
     """Write documents in the layout `payload_scan` reads.
 
-    In the plain layout source, slug, query and page name one document.
+    In the plain layout source, slug, query and page name one document, and with a fetch_id column
+    in ``payloads`` that as well; its time is landed with it.
     """
+    fetches = "fetch_id" in payloads.columns
     if packed:
-        lines = payloads.select("payload_id", "slug", "query", "page", "path", "body", "source")
+        fetch = ["fetch_id", "fetched_at"] if fetches else []
+        lines = payloads.select(
+            "payload_id", "slug", "query", "page", "path", "body", "source", *fetch
+        )
         lines.write.partitionBy("source").mode("append").json(path)
         return
     detail = F.col("path").isNotNull()
+    fetch = {"fetch_id": F.col("fetch_id"), "fetch_time": F.col("fetched_at").cast("string")}
+    fetch = fetch if fetches else {}
     (
         payloads.select(
             F.col("body").alias("value"),
@@ -79,8 +99,9 @@ def land_payloads(payloads: DataFrame, path: str, *, packed: bool = False) -> No
             "slug",
             F.coalesce("path", "query").alias("query"),
             F.coalesce("page", F.lit(1)).alias("page"),
+            *[value.alias(name) for name, value in fetch.items()],
         )
-        .write.partitionBy("source", "slug", "query", "page")
+        .write.partitionBy("source", *fetch, "slug", "query", "page")
         .mode("append")
         .text(path)
     )
@@ -111,6 +132,8 @@ def with_items(
     row_ok: Callable[[Column], Column],
 ) -> DataFrame:
     """Add ``items``: the rows of a valid document, NULL for a failed one."""
+    if "fetch_id" not in payloads.columns:
+        payloads = payloads.withColumn("fetch_id", F.lit(None).cast("string"))
     # Parsed in a projection of its own, so that each body is parsed once.
     parsed = payloads.select(*PAYLOAD_COLUMNS, wrapped(F.col("body"), ddl).alias("docs"))
     parsed = parsed.select(*PAYLOAD_COLUMNS, items_of(only(F.col("docs"))).alias("raw"))

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from vacantia.sources.payloads import item_rows
 
-_QUERY = ["source", "slug", "query"]
+#: One fetch of a query: the cap is that of a fetch, however many are landed.
+_QUERY = ["source", "slug", "query", "fetch_id"]
 
 
 def scan_ends(documents: DataFrame, page_size: int, max_results: int) -> DataFrame:
-    """Where the scan of each query stops: ``short_page``, and whether it ``failed`` on the way.
+    """Where each fetch of a query stops: ``short_page``, and whether it ``failed`` on the way.
 
     A scan ends after the first page shorter than ``page_size``, or once the pages before have filled
     the cap. A failed page that it reaches fails the whole query. These are partial aggregates over
@@ -47,7 +48,7 @@ def scan_ends(documents: DataFrame, page_size: int, max_results: int) -> DataFra
 
 
 def cap_rows(rows: DataFrame, max_results: int) -> DataFrame:
-    """First ``max_results`` rows of each query in page order.
+    """First ``max_results`` rows of each fetch of a query in page order.
 
     `row_number() <= n` keeps n rows per query in every map task before the shuffle.
     """
@@ -62,7 +63,7 @@ def cap_rows(rows: DataFrame, max_results: int) -> DataFrame:
 def cap_per_query(
     documents: DataFrame, max_results: int, page_size: int | None = None
 ) -> DataFrame:
-    """Items of each query, cut to ``max_results``; paging stops after a short page.
+    """Items of each fetch of a query, cut to ``max_results``; paging stops after a short page.
 
     The cut comes first. Rows up to the short page lead the page order, so the result is the same,
     and the join sees ``max_results`` rows per query however many pages a query has.

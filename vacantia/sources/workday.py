@@ -52,6 +52,7 @@ def workday_details(payloads: DataFrame) -> DataFrame:
         F.col("slug").alias("d_slug"),
         F.col("path").alias("d_path"),
         "payload_id",
+        "fetched_at",
         wrapped(F.col("body"), S.WORKDAY_DETAIL_DOC).alias("docs"),
     )
     # The generator keeps the filter above the parse.
@@ -59,14 +60,15 @@ def workday_details(payloads: DataFrame) -> DataFrame:
         "d_slug",
         "d_path",
         "payload_id",
+        "fetched_at",
         F.explode_outer(F.array(only(F.col("docs"))["jobPostingInfo"])).alias("info"),
     ).where(F.col("info").isNotNull())
-    # A path landed twice still completes each stub once.
-    same_path = Window.partitionBy("d_slug", "d_path").orderBy("payload_id")
+    # A path landed twice still completes each stub once, by its latest copy.
+    same_path = Window.partitionBy("d_slug", "d_path").orderBy(F.desc("fetched_at"), "payload_id")
     return (
         readable.withColumn("copy", F.row_number().over(same_path))
         .where(F.col("copy") == 1)
-        .drop("copy", "payload_id")
+        .drop("copy", "payload_id", "fetched_at")
     )
 
 
@@ -80,13 +82,13 @@ def workday_hydrate(
     """Postings, text in ``body_parts``, for the stubs that ``keep`` wants and whose detail could be read.
 
     A stub without a readable detail is dropped and the rest survive. A detail without a title
-    fails its whole query: those queries are found on narrow rows and anti-joined away.
+    fails the whole fetch of its query: those are found on narrow rows and anti-joined away.
     """
     wanted = stubs if keep is None else stubs.where(keep)
     # The stub's own title and location serve `keep` only; the posting's come from the detail.
     wanted = wanted.drop("title", "location", "req_id")
     same_job = (F.col("slug") == F.col("d_slug")) & (F.col("external_path") == F.col("d_path"))
-    query = ["slug", "query"]
+    query = ["slug", "query", "fetch_id"]
     untitled = details.where(F.col("info")["title"].isNull()).select("d_slug", "d_path")
     failed = (
         wanted.select(*query, "external_path")

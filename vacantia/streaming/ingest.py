@@ -33,6 +33,7 @@ def stream_ingest(
     interval: str | None = None,
     *,
     packed: bool = False,
+    fetches: bool = False,
 ) -> StreamingQuery:
     """New landed files become postings under ``out``, one folder per micro-batch.
 
@@ -66,7 +67,9 @@ def stream_ingest(
         postings = postings.unionByName(late)
         postings.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    stream = payload_scan(spark, landed, fetched_at, streaming=True, packed=packed)
+    stream = payload_scan(
+        spark, landed, fetched_at, streaming=True, packed=packed, fetches=fetches
+    )
     return _start(stream, handle, checkpoint, interval)
 
 
