@@ -99,3 +99,15 @@ def test_held_out_accuracy(spark):
     known = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "lang")
     right = got.where("held_out").join(known, "doc_id").agg(F.avg(F.expr("int(lang = lang_pred)")))
     assert right.first()[0] > 0.97
+
+
+def test_stage_drops_texts_that_match_no_profile(spark):
+    rows = [(n, "the cat and the dog", "en", "s", 19) for n in range(20)]
+    rows += [(n, "der Hund und die Katze", "de", "s", 22) for n in range(20, 40)]
+    rows += [(100, "η γάτα και ο σκύλος", None, "s", 19), (101, "ж" * 50, None, "s", 50)]
+    rows += [(102, "the hat", None, "s", 7), (103, "123", None, "s", 3)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    got = L.stage_language(spark, spark.createDataFrame(rows, schema), "").collect()
+    assert {r.doc_id: r.lang for r in got} == {
+        n: "de" if 20 <= n < 40 else "en" for n in (*range(40), 102)
+    }

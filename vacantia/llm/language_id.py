@@ -191,9 +191,13 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of no language; the rest carry the language found in their text."""
+    """Drops documents of no language; the rest carry the language found in their text.
+
+    A score of 0 is the distance of no match: not one n-gram of the text is in any profile, all
+    languages are equally far, and the name `predict` gives is the first one only by order.
+    """
     profiles = learn_profiles(docs, ~crc_fold(F.col("doc_id"), 0))
     answered = identify(docs.select("doc_id", "text", "source", "n_chars"), profiles)
-    return answered.where(F.col("lang_pred") != "und").select(
+    return answered.where((F.col("lang_pred") != "und") & (F.col("lang_score") > 0)).select(
         "doc_id", "text", F.col("lang_pred").alias("lang"), "source", "n_chars"
     )
