@@ -144,3 +144,15 @@ def test_stage_keeps_one_of_each_class(spark):
     kept = [r.doc_id for r in N.stage_near_dedup(spark, docs, "").collect()]
     assert sorted(k for k in kept if k is not None) == sorted({c for _, c in classes})
     assert kept.count(None) == 2
+
+
+def test_stage_keeps_different_texts_with_one_id(spark):
+    one = " ".join(f"a{k}" for k in range(60))
+    two = " ".join(f"b{k}" for k in range(60))
+    rows = [(1, one), (1, two), (1, two), (2, one), (3, None), (3, "")]
+    docs = spark.createDataFrame(
+        [(*r, "en", "s", 1) for r in rows],
+        "doc_id long, text string, lang string, source string, n_chars long",
+    )
+    got = sorted((r.doc_id, r.text or "") for r in N.stage_near_dedup(spark, docs, "").collect())
+    assert got == [(1, one), (1, two), (3, "")]

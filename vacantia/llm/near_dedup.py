@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import new_work_dir, slices, table, words, written
@@ -289,11 +289,8 @@ def _links(rows: list[tuple], minors: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """doc_id, class_id for every row of ``docs`` (doc_id, text)."""
-    normal = docs.select("doc_id", normal_text(F.col("text")).alias("normal")).withColumn(
-        "key", _key(F.col("normal"))
-    )
+def _roots(spark: SparkSession, normal: DataFrame) -> DataFrame:
+    """key, root of every node of ``normal`` (key, normal) that is linked to another."""
     has_words = normal.where(F.col("normal") != "")
     sketched = (
         has_words.select("key", "normal")
@@ -332,6 +329,15 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
         roots = components(
             spark, more.unionByName(roots.select(F.col("root").alias("a"), F.col("key").alias("b")))
         )
+    return roots
+
+
+def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """doc_id, class_id for every row of ``docs`` (doc_id, text)."""
+    normal = docs.select("doc_id", normal_text(F.col("text")).alias("normal")).withColumn(
+        "key", _key(F.col("normal"))
+    )
+    roots = _roots(spark, normal)
     members = normal.select(
         "doc_id", F.when(F.col("normal") != "", F.col("key")).alias("key")
     )
@@ -350,10 +356,22 @@ def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class stays: the one that names it. Repeated rows of it are one row;
-    rows without an id cannot be named and stay."""
+    """One row of each class stays: the one with the smallest id, then the first text. Different texts
+    with one id are in classes of their own; rows without an id cannot be named and stay."""
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
     with_id = rows.where("doc_id is not null")
-    named = classes(spark, with_id).where("doc_id = class_id").select("doc_id").distinct()
-    kept = with_id.join(named, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    normal = normal_text(F.col("text"))
+    keyed = with_id.withColumn("key", F.when(normal != "", _key(normal)))
+    nodes = with_id.select(normal.alias("normal")).withColumn("key", _key(F.col("normal")))
+    classed = keyed.join(_roots(spark, nodes), "key", "left").withColumn(
+        "root", F.coalesce("root", "key")
+    )
+    # Texts without a word are classes of their own, by id.
+    alone = F.when(F.col("root").isNull(), F.col("doc_id"))
+    first = Window.partitionBy("root", alone).orderBy("doc_id", "key", "text", "lang", "source")
+    kept = (
+        classed.withColumn("place", F.row_number().over(first))
+        .where("place = 1")
+        .select(*rows.columns)
+    )
     return kept.unionByName(rows.where("doc_id is null"))
