@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from vacantia.llm.codebooks import op12_vector_codes
 from vacantia.llm.hmm import op10_hidden_markov
 from vacantia.llm.language_id import op5_language_id
 from vacantia.llm.near_dedup import op1_prob_minhash
@@ -30,6 +31,7 @@ _QUERIES = (
     op9_quality_rules,
     op10_hidden_markov,
     op11_periodic_runs,
+    op12_vector_codes,
 )
 
 
