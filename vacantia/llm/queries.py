@@ -15,6 +15,7 @@ from vacantia.llm.packing import op4_best_fit_packing
 from vacantia.llm.pieces import op7_sentencepiece
 from vacantia.llm.pii import op8_pii
 from vacantia.llm.quality import op9_quality_rules
+from vacantia.llm.repeats import op13_suffix_repeats
 from vacantia.llm.runs import op11_periodic_runs
 from vacantia.llm.token_files import op3_token_files
 from vacantia.llm.warc import OP6_SQL, op6_warc
@@ -32,6 +33,7 @@ _QUERIES = (
     op10_hidden_markov,
     op11_periodic_runs,
     op12_vector_codes,
+    op13_suffix_repeats,
 )
 
 
