@@ -83,6 +83,14 @@ def test_equal_strings_have_equal_anchors():
     assert seen[0] == seen[1] == seen[2]
 
 
+def test_buckets_are_even():
+    draw = random.Random(2)
+    text = bytes(draw.choices(b"abcdefgh ", k=60_000))
+    pieces = R.Pieces(R._buffer([text]), np.array([0, len(text)]))
+    sizes = np.bincount(R._bucket(pieces.hash, 16), minlength=16)
+    assert sizes.max() < 1.3 * sizes.mean()
+
+
 def test_pieces_hold_every_string_once():
     texts = [b"", b"short", b"word " * 60, bytes(range(32, 127)) * 3, b"x" * 49, b"x" * 50]
     bounds = np.concatenate(([0], np.cumsum([len(t) for t in texts])))

@@ -45,9 +45,9 @@ ANCHOR = 24
 SHALLOW = 32
 #: Text of a block, and of all blocks for each bucket.
 BLOCK_BYTES = 4 << 20
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 #: Suffixes sorted at a time.
-SORTED = 1 << 20
+SORTED = 1 << 18
 
 _PAD = SPAN + 16
 _CHUNK = 1 << 16
@@ -104,12 +104,13 @@ class Pieces:
         away = _anchors(buffer, n)
         sizes = np.diff(bounds)
         doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
-        anchor = np.arange(n) + away
-        inside = np.arange(n) + SPAN <= bounds[1:][doc]
+        place = np.arange(n, dtype=np.int32)
+        anchor = place + away
+        inside = place < (bounds[1:] - SPAN + 1).astype(np.int32)[doc]
         new = inside.copy()
         new[1:] &= (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])
         self.start = np.flatnonzero(new)
-        numbers = np.cumsum(inside)
+        numbers = np.cumsum(inside, dtype=np.int32)
         after = np.append(numbers[self.start[1:]] - 1, numbers[-1] if n else 0)
         self.count = after - (numbers[self.start] - 1)
         self.doc = doc[self.start]
@@ -122,7 +123,9 @@ def _buffer(texts: list[bytes]) -> np.ndarray:
 
 
 def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """By other bits than those that made the anchor the smallest one."""
+    again = _mixed(hashes * _M1) >> np.uint64(32)
+    return (again * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
@@ -479,17 +482,21 @@ def _bucket_repeats(rows: list[tuple], at_once: int = SORTED) -> pa.RecordBatch:
         found[order] = np.repeat(smallest, np.diff(np.append(groups, len(order))))
         decides[np.repeat(first[:-1][own], counts[own]) + inner] = found
     # Every occurrence of every string, and of those that go, stretches of neighbours.
-    of = np.repeat(np.arange(len(counts)), times)
-    number = counts[of]
-    inner = _within(number)
-    occurrence = np.repeat(np.arange(len(of)), number)
-    gone = decides[first[:-1][of][occurrence] + inner] < ids[occurrence]
-    occurrence, inner = occurrence[gone], inner[gone]
-    begins = np.ones(len(inner), bool)
-    begins[1:] = (inner[1:] != inner[:-1] + 1) | (occurrence[1:] != occurrence[:-1])
-    begins = np.flatnonzero(begins)
-    lengths = np.diff(np.append(begins, len(inner)))
-    occurrence, inner = occurrence[begins], inner[begins]
+    of = np.repeat(np.arange(len(counts), dtype=np.int32), times)
+    ends = np.cumsum(counts[of])
+    parts = []
+    cuts = np.searchsorted(ends, np.arange(0, ends[-1], at_once), side="right")
+    for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(of)], strict=True):
+        number = counts[of[a:b]]
+        inner = _within(number)
+        which = np.repeat(np.arange(a, b, dtype=np.int32), number)
+        gone = decides[np.repeat(first[of[a:b]], number) + inner] < ids[which]
+        which, inner = which[gone], inner[gone]
+        begins = np.ones(len(inner), bool)
+        begins[1:] = (inner[1:] != inner[:-1] + 1) | (which[1:] != which[:-1])
+        begins = np.flatnonzero(begins)
+        parts.append((which[begins], inner[begins], np.diff(np.append(begins, len(inner)))))
+    occurrence, inner, lengths = (np.concatenate(p) for p in zip(*parts, strict=True))
     row = np.repeat(np.arange(len(rows)), [len(p[0]) for p in places])[occurrence]
     cuts = np.searchsorted(row, np.arange(len(rows) + 1))
     out = [
@@ -544,9 +551,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             np.add.at(edges, start, 1)
             np.add.at(edges, start + count + SPAN - 1, -1)
         covered = np.cumsum(edges[:-1]) > 0
-        kept_before = np.concatenate(([0], np.cumsum(~covered)))
+        kept_before = np.concatenate(([0], np.cumsum(~covered, dtype=np.int32)))
         left = np.frombuffer(data, np.uint8)[~covered].tobytes()
-        doc = np.repeat(np.arange(len(lengths)), lengths)
+        doc = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
         begins = covered.copy()
         begins[1:] &= ~covered[:-1] | (doc[1:] != doc[:-1])
         ends = covered.copy()
