@@ -27,11 +27,11 @@ def parse(spark):
 
 def test_wrapping_is_tolerated(parse):
     texts = [
-        reply(), f"```json\n{reply(score=42)}\n```", f"```\n{reply(score=1)}\n```",
-        f"Here you go:\n{reply(score=55)}\nHope that helps!", "  \n" + reply(score=0) + "\n ",
-        json.dumps(BODY, indent=2),
+        reply(score=12), f"```\n{reply(score=3)}\n```", f"```json\n{reply(score=64)}\n```",
+        f"Verdict below.\n\n{reply(score=8)}\n\n-- end of verdict", "\t\n" + reply(score=100) + " \n",
+        json.dumps(BODY | {"score": 29}, indent=4),
     ]
-    assert [r["score"] for r in parse(*texts)] == [73, 42, 1, 55, 0, 73]
+    assert [r["score"] for r in parse(*texts)] == [12, 3, 64, 8, 100, 29]
 
 
 @pytest.mark.parametrize(

@@ -709,6 +709,11 @@ ORDER BY {_ORDER} LIMIT 25""",
         "unscored": f"""{base}, {_FACTS}
 SELECT base.seq, base.job_id FROM base JOIN facts ON facts.seq = base.seq
 WHERE eligible AND NOT parsed QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY base.seq) = 1""",
+        "scorer_replies": f"""{gate}, asked AS (SELECT seq, sha256({_s(_HEAD)} || {_neutral('title')} || chr(10)
+    || chr(10) || {_neutral('description')} || {_s(_TAIL)}) AS sha FROM uniq),
+ drawn AS (SELECT seq, CAST('0x' || substr(sha, 1, 6) AS BIGINT) AS n FROM asked)
+SELECT seq, CASE WHEN n % 7 <> 0 THEN n % 101 END AS score,
+  CASE WHEN n % 7 = 0 AND seq % 3 = 0 THEN 2 ELSE 1 END AS paid FROM drawn""",
         # run metrics
         "run_counts": _run_counts(False),
         "assess_run": f"WITH {_RUNS} SELECT event_id, attempted, health, headline FROM assessed",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -21,6 +22,7 @@ from vacantia.operators import (
     selection,
     store,
 )
+from vacantia.operators.reply_log import ReplyLog, paid_once
 from vacantia.plans.run import run_cycle
 from vacantia.session import new_work_dir, written
 from vacantia.sources import fields, normalise, payloads, quota, registry, workday
@@ -719,6 +721,28 @@ def unscored(spark: SparkSession, sf: str) -> DataFrame:
     return scoring.unscored(kept, W.mixed_replies(spark, sf)).select("seq", "job_id")
 
 
+def _stand_in(batches):
+    """A scorer whose reply follows from the prompt: no JSON for some, else a score."""
+    for batch in batches:
+        digest = [hashlib.sha256(p.encode()).hexdigest() for p in batch["prompt"]]
+        score = [int(d[:6], 16) for d in digest]
+        reply = ["No verdict." if s % 7 == 0 else f'{{"score": {s % 101}}}' for s in score]
+        yield batch[["job_id"]].assign(reply=reply)
+
+
+@query
+def scorer_replies(spark: SparkSession, sf: str) -> DataFrame:
+    """The scorer is asked for a part of the postings, then for all of them: what was paid, and how often."""
+    kept = dedup.dedup_in_batch(gate.keep_worth_scoring(W.postings(spark, sf)))
+    kept = written(kept.select("seq", "job_id", "title", "description"), new_work_dir(spark, "kept"))
+    log = ReplyLog(spark, new_work_dir(spark, "replies"))
+    paid_once(kept.where("seq % 3 = 0"), log, _stand_in, W.PROFILE, tasks=3)
+    replies = paid_once(kept, log, _stand_in, W.PROFILE, tasks=4)
+    scored = scoring.score_many(kept, replies).select("job_id", long("score").alias("score"))
+    times = log.read().groupBy("job_id").agg(F.count("*").alias("paid"))
+    return kept.join(times, "job_id").join(scored, "job_id", "left").select("seq", "score", "paid")
+
+
 # --- run metrics --------------------------------------------------------------------
 
 

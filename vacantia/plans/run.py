@@ -1,8 +1,8 @@
 """One full run over landed documents: the stages in cost order.
 
 The gate works on five narrow columns of all postings. Text is read, and HTML cleaned, for the
-selected postings only, in a second pass over the feed: with a budget they are few, and the wide
-feed is neither shuffled nor copied. What a step decides is written to the shared folder before the
+selected postings only, in a second pass over the feed; that pass parses the feed again, unless the
+feed brings its own way to fetch the selected rows. What a step decides is written to the shared folder before the
 next one uses it: the narrow feed, the new ids, the selected postings (before anything is paid
 for), the replies and the ranking.
 """
@@ -10,9 +10,7 @@ for), the replies and the ranking.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,6 +21,7 @@ from vacantia import schemas as S
 from vacantia.functions.fit import rank_keys
 from vacantia.functions.location import DEFAULT_GAZETTEER, Gazetteer
 from vacantia.operators import dedup, gate, metrics, ranking, scoring, selection
+from vacantia.operators.reply_log import ReplyLog, paid_once
 from vacantia.operators.store import KeyedStore
 from vacantia.session import new_work_dir, use_utc, written
 from vacantia.sources.normalise import described
@@ -65,8 +64,9 @@ def run_cycle(
 
     ``postings`` carries ``seq``, unique and the same in every pass, and ``job_id``; its text is in
     ``description`` or still in ``body_parts`` (`combine_sources(..., raw=True)`). Replies are a
-    landed table or come from ``scorer``, which ``score_tasks`` tasks call at a time; with a
-    ``reply_log`` folder a run that is repeated after a failure does not pay for them again.
+    landed table or come from ``scorer``, which ``score_tasks`` tasks call at a time and whose replies
+    are logged as they arrive; with a ``reply_log`` folder of its own a run that is repeated after a
+    failure, however far it got, does not pay for them again.
     ``source_status`` has a ``status`` per source.
     """
     if (replies is None) == (scorer is None):
@@ -90,8 +90,8 @@ def run_cycle(
     )
 
     if scorer is not None:
-        ask = partial(scoring.request_replies, scorer=scorer, profile=profile, tasks=score_tasks)
-        replies = _paid_once(spark, selected, ask, work, reply_log)
+        log = ReplyLog(spark, reply_log or f"{work}/reply_log")
+        replies = paid_once(selected, log, scorer, profile, score_tasks)
     else:
         # A big table of landed replies is cut to the selected ids before it is shuffled.
         replies = replies.join(selected.select("job_id"), "job_id", "left_semi")
@@ -115,31 +115,6 @@ def run_cycle(
     )
 
 
-def _paid_once(
-    spark: SparkSession,
-    selected: DataFrame,
-    ask: Callable[[DataFrame], DataFrame],
-    work: str,
-    reply_log: str | None,
-) -> DataFrame:
-    """Replies for the selected postings, written before they are used.
-
-    With a log, usable replies of earlier attempts are taken from it and only the others are
-    asked for; unusable ones are asked for again.
-    """
-    if reply_log is None:
-        return written(ask(selected), f"{work}/replies")
-    spark.createDataFrame([], S.REPLY).write.mode("ignore").parquet(reply_log)
-    logged = spark.read.schema(S.REPLY).parquet(reply_log)
-    mine = logged.join(selected.select("job_id"), "job_id", "left_semi")
-    usable = scoring.parse_response(mine).where("parsed").select("job_id", "reply")
-    known = written(usable, f"{work}/known_replies")
-    missing = selected.join(known.select("job_id"), "job_id", "left_anti")
-    fresh = written(ask(missing), f"{work}/replies")
-    fresh.write.mode("append").parquet(reply_log)
-    return known.unionByName(fresh)
-
-
 def run_result(
     ranked: DataFrame,
     fetched: DataFrame,

@@ -52,7 +52,7 @@ def stream_run(
             stored,
             replies=replies,
             scorer=scorer,
-            reply_log=f"{out}-replies",
+            reply_log=f"{out}-replies/batch_id={batch_id}",
             save=False,
             **knobs,
         )
