@@ -13,6 +13,7 @@ from vacantia.plans.run import run_cycle, run_report
 from vacantia.session import written
 from vacantia.sources import normalise, payloads, registry
 from vacantia.streaming import ingest, monitor
+from vacantia.streaming.backlog import Backlog
 from vacantia.streaming.run import stream_run
 
 NOW = F.lit  # applied lazily, once there is a session
@@ -261,24 +262,62 @@ def test_stream_run_equals_batch_runs(spark, feed, store, tmp_path):
 
 
 def test_stream_run_drains_what_the_budget_defers(spark, feed, store, tmp_path):
-    """Five small batches with nothing new: each scores some more of what the first one left."""
+    """Five small batches with nothing new: each scores some more of what the first one left, and writes
+    no more than arrives and departs."""
     src, out, check = (str(tmp_path / n) for n in ("src", "out", "check"))
     knobs = {"profile": W.PROFILE, "now": NOW(W.NOW), "max_score_per_run": 12}
-    scored, left = [], []
+    backlog = Backlog(spark, f"{out}-backlog", feed[0].schema)
+    scored, left, events = [], [], []
     for n in range(5):
         part = "seq < 60" if n == 0 else "seq = 0"
         stream = split_stream(spark, feed, src, [part])
         stream_run(spark, stream, store, out, check, replies=feed[1], **knobs).awaitTermination()
         scored.append(spark.read.parquet(f"{out}/counts/batch_id={n}").first()["scored"])
-        left.append({r.job_id for r in spark.read.parquet(f"{out}/pending/batch_id={n}").collect()})
+        left.append({r.job_id for r in backlog.waiting(n).collect()})
+        events.append(spark.read.parquet(f"{out}-backlog/events/batch_id={n}").count())
     assert 0 < scored[0] <= 12 and scored[1] > 0
     assert all(b <= a for a, b in zip(left, left[1:], strict=False)) and len(left[1]) < len(left[0])
+    assert events[0] == len(left[0]) > 12
+    assert events[1:] == [len(a - b) for a, b in zip(left, left[1:], strict=False)]
+    wide = spark.read.schema("job_id string, batch_id long").parquet(f"{out}-backlog/postings")
+    assert wide.where("batch_id = 0").count() == len(left[0]) and wide.count() == len(left[0])
     assert store.read().count() == sum(scored)
     usable = {r.job_id for r in scoring.score_many(feed[0].where("seq < 60"), feed[1]).collect()}
     stored = {r.job_id for r in store.read().collect()}
     assert left[0] & usable <= stored | left[-1]
 
 
+def test_backlog_of_many_batches(spark, tmp_path):
+    """Snapshots or none, replays or none: what waits is what a set would hold."""
+    schema = "seq long, job_id string, location string, remote boolean, posted_at timestamp, description string"
+    names = ("b", "c")
+    found = {n: [] for n in names}
+    for name, every in zip(names, (2, 100), strict=True):
+        waits: dict[str, int] = {}
+        for n in range(5):
+            ids = [f"j{k}" for k in range(2 * n, 2 * n + 4)]
+            rows = [(100 * n + k, j, None, None, None, f"text {j} of {n}") for k, j in enumerate(ids)]
+            batch = spark.createDataFrame(rows, schema)
+            log = Backlog(spark, str(tmp_path / name), batch.schema, every)
+            for _ in range(2 if n == 3 else 1):
+                held = log.waiting(n - 1)
+                both = log.arrivals(batch, n, held).unionByName(held)
+                pending = both.groupBy("job_id").agg(F.min_by(F.struct(*both.columns), "seq").alias("r"))
+                pending = pending.select("r.*").where(f"job_id not in ('j{n}', 'j{n + 2}')")
+                log.record(batch, n, held, pending)
+            for k, j in enumerate(ids):
+                waits.setdefault(j, 100 * n + k)
+            waits = {j: s for j, s in waits.items() if j not in (f"j{n}", f"j{n + 2}")}
+            rows = log.waiting(n).collect()
+            assert {r.job_id: r.seq for r in rows} == waits
+            texts = log.texts(log.waiting(n), batch, n + 1)
+            assert {r.job_id: r.description for r in texts.collect()} == {
+                j: f"text {j} of {s // 100}" for j, s in waits.items()
+            }
+            found[name].append(waits)
+    assert found["b"] == found["c"]
+
+
 def lines_stream(spark, src, rows):
     df = spark.createDataFrame([(t, m) for t, m in rows], "ts string, message string")
     df.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(src)

@@ -773,6 +773,12 @@ FROM span LEFT JOIN busy ON busy.p = span.p GROUP BY span.p""",
         "full_run_store": f"""WITH {_GATE}, {_FACTS}, {_ranked('chosen')}, {_SEEDED}
 SELECT job_id, CASE status WHEN 'ranked' THEN 'new' ELSE 'skipped' END AS status,
   score AS fit_score, tier AS location_tier, skip_reason FROM ranked
+UNION ALL SELECT job_id, 'new', NULL, NULL, NULL FROM seeded""",
+        "stream_backlog": f"""WITH {_GATE}, {_FACTS}, fit AS (SELECT * FROM fresh WHERE tier0 <> 6
+    AND (posted_at IS NULL OR posted_at >= TIMESTAMP {_s(W.NOW)} - INTERVAL {Q.MAX_AGE_DAYS} DAY)),
+ {_ranked('fit')}, {_SEEDED}
+SELECT job_id, CASE status WHEN 'ranked' THEN 'new' ELSE 'skipped' END AS status,
+  score AS fit_score, tier AS location_tier, skip_reason FROM ranked
 UNION ALL SELECT job_id, 'new', NULL, NULL, NULL FROM seeded""",
         "stream_ingest": f"""WITH {_workday_rows('true')}, rows_ AS ({_ingested()})
 SELECT source, job_id, title, location, {_at('posted')} AS posted_at FROM rows_

@@ -1013,6 +1013,33 @@ def stream_run_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{work}/out/counts").drop("batch_id")
 
 
+@query
+def stream_backlog(spark: SparkSession, sf: str) -> DataFrame:
+    """The store after eight small runs with a third of the postings as budget: nothing is left over."""
+    work = new_work_dir(spark, "drain")
+    p = W.postings(spark, sf)
+    rows = written(p, f"{work}/postings")
+    n = rows.count()
+    bounds = rows.approxQuantile("seq", [k / 8 for k in range(1, 8)], 0.0)
+    part = sum((F.when(F.col("seq") > b, 1).otherwise(0) for b in bounds), F.lit(0))
+    for k in range(8):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{work}/arriving")
+    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    stored = _seeded_store(spark, rows)
+    stream_run(
+        spark,
+        arriving.parquet(f"{work}/arriving"),
+        stored,
+        f"{work}/out",
+        f"{work}/checkpoint",
+        replies=W.replies(spark, sf),
+        **_knobs() | {"max_score_per_run": n // 3},
+    ).awaitTermination()
+    return _store_rows(stored.read()).select(
+        "job_id", "status", "fit_score", "location_tier", "skip_reason"
+    )
+
+
 def _line_stream(spark: SparkSession, sf: str) -> DataFrame:
     return W.heartbeats_of(_stream(spark, sf, "events"))
 

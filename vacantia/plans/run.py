@@ -10,6 +10,7 @@ for), the replies and the ranking.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Any
 
@@ -26,6 +27,8 @@ from vacantia.operators.store import KeyedStore
 from vacantia.session import new_work_dir, use_utc, written
 from vacantia.sources.normalise import described
 
+_NARROW = ("seq", "job_id", "location", "remote", "posted_at")
+
 
 @dataclass(frozen=True)
 class RunResult:
@@ -59,6 +62,7 @@ def run_cycle(
     reply_log: str | None = None,
     work_dir: str | None = None,
     save: bool = True,
+    text_of: Callable[[DataFrame], DataFrame] | None = None,
 ) -> RunResult:
     """Run once. Scored postings, skipped ones too, end up in the store (``save``).
 
@@ -67,14 +71,16 @@ def run_cycle(
     landed table or come from ``scorer``, which ``score_tasks`` tasks call at a time and whose replies
     are logged as they arrive; with a ``reply_log`` folder of its own a run that is repeated after a
     failure, however far it got, does not pay for them again.
-    ``source_status`` has a ``status`` per source.
+    ``source_status`` has a ``status`` per source. With ``text_of`` the postings are narrow rows, all of
+    whose columns go through the gate; it gets those of the selected ones and gives their wide rows, and
+    ``pending`` is narrow as well.
     """
     if (replies is None) == (scorer is None):
         raise ValueError("give either replies or a scorer")
     use_utc(spark)
     work = work_dir or new_work_dir(spark, "run")
 
-    narrow = postings.select("seq", "job_id", "location", "remote", "posted_at")
+    narrow = postings if text_of else postings.select(*_NARROW)
     fetched = written(narrow, f"{work}/fetched")
     eligible = gate.keep_worth_scoring(fetched)
     unique = written(dedup.dedup_in_batch(eligible), f"{work}/unique")
@@ -83,8 +89,8 @@ def run_cycle(
     chosen = gate.select_within_budget(
         gate.workable_gate(new, workable_only, gazetteer), now, max_age_days, max_score_per_run
     )
-    picked = written(chosen.select("job_id", "seq"), f"{work}/picked")
-    wide = postings.join(picked, ["job_id", "seq"], "left_semi")
+    picked = written(chosen, f"{work}/picked")
+    wide = text_of(picked) if text_of else postings.join(picked, ["job_id", "seq"], "left_semi")
     selected = written(
         described(wide) if "body_parts" in wide.columns else wide, f"{work}/selected"
     )
@@ -100,8 +106,10 @@ def run_cycle(
     if save:
         stored.save_new(ranked)
     fit = gate.freshness_cut(gate.workable_gate(new, workable_only, gazetteer), now, max_age_days)
-    left = fit.select("job_id", "seq").join(ranked.select("job_id"), "job_id", "left_anti")
-    pending = postings.join(written(left, f"{work}/left"), ["job_id", "seq"], "left_semi")
+    left = written(
+        fit.join(ranked.select("job_id"), "job_id", "left_anti").select(fetched.columns), f"{work}/left"
+    )
+    pending = left if text_of else postings.join(left, ["job_id", "seq"], "left_semi")
     return run_result(
         ranked,
         fetched,

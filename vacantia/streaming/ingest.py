@@ -10,12 +10,14 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from vacantia.operators import dedup
-from vacantia.operators.store import KeyedStore
+from vacantia.operators.store import KeyedStore, new_run
 from vacantia.session import new_work_dir, use_utc, written
 from vacantia.sources import registry
 from vacantia.sources.normalise import combine_sources
 from vacantia.sources.payloads import payload_scan
 
+_COMMIT = "batch_id long, run string"
+
 
 def _start(stream: DataFrame, handle, checkpoint: str, interval: str | None) -> StreamingQuery:
     writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
@@ -84,33 +86,37 @@ def stream_dedup(
     """Emit each posting once, for ever: the keyed store is the memory, not bounded state.
 
     The new rows are written before the store closes over them, and a batch that was written is
-    not computed again, so a replay loses nothing and emits nothing twice.
+    not computed again, so a replay loses nothing and emits nothing twice; it writes the store's run of
+    that batch again, under its own name.
     """
     use_utc(spark)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = f"{out}/batch_id={batch_id}"
-        if not was_committed(spark, out, batch_id):
+        run = committed_run(spark, out, batch_id)
+        if run is None:
+            run = new_run()
             unique = written(dedup.dedup_in_batch(batch), new_work_dir(spark, f"dedup-{batch_id}"))
             written(dedup.unseen(unique, stored.ids()), rows)
-            commit(spark, out, batch_id)
-        stored.mark_seen(spark.read.schema(batch.schema).parquet(rows))
+            commit(spark, out, batch_id, run)
+        stored.mark_seen(spark.read.schema(batch.schema).parquet(rows), run=run)
 
     return _start(postings, handle, checkpoint, interval)
 
 
-def commit(spark: SparkSession, out: str, batch_id: int) -> None:
-    """Note that the rows of a micro-batch are complete."""
-    spark.createDataFrame([(batch_id,)], "batch_id long").coalesce(1).write.mode(
-        "overwrite"
-    ).parquet(f"{out}-commits/{batch_id}")
+def commit(spark: SparkSession, out: str, batch_id: int, run: str) -> None:
+    """Note that the rows of a micro-batch are complete, and under which name the store gets them."""
+    spark.createDataFrame([(batch_id, run)], _COMMIT).coalesce(1).write.mode("overwrite").parquet(
+        f"{out}-commits/{batch_id}"
+    )
 
 
-def was_committed(spark: SparkSession, out: str, batch_id: int) -> bool:
-    found = spark.read.schema("batch_id long")
+def committed_run(spark: SparkSession, out: str, batch_id: int) -> str | None:
+    """The store's run of a micro-batch whose rows are complete."""
     try:
-        return not found.parquet(f"{out}-commits/{batch_id}").isEmpty()
+        found = spark.read.schema(_COMMIT).parquet(f"{out}-commits/{batch_id}").first()
     except Exception as error:  # no such folder: nothing was committed
         if "PATH_NOT_FOUND" in str(error):
-            return False
+            return None
         raise
+    return found.run if found else None
