@@ -1,11 +1,15 @@
 import datetime as dt
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from tests.conftest import SMALL
 from vacantia import fixed_values as V
 from vacantia import schemas as S
+from vacantia.checks import views as W
+from vacantia.session import written
 from vacantia.sources import fields, normalise, payloads, registry, workday
 
 NOW = dt.datetime(2026, 7, 16, tzinfo=dt.UTC)
@@ -353,3 +357,59 @@ def test_registry(spark):
     broken = [("ashby", "a", "A"), ("ashby", "a", "B"), ("other", "b", "B"), ("lever", "c", " "), ("lever", "d", None)]
     assert registry.registry_checks(registry.boards(spark, broken)).count() == 4
     assert V.BOARDS[0] == ("ashby", "modelyst", "Modelyst")
+
+
+@pytest.mark.parametrize(
+    ("source", "body", "expected"),
+    [
+        ("adzuna", {"results": []}, None),
+        ("adzuna", {"results": [{"id": "1", "title": "t", "redirect_url": "u"}]}, None),
+        ("adzuna", {"error": 1}, ("items", None, None)),
+        ("adzuna", "<html>", ("document", None, None)),
+        ("adzuna", None, ("document", None, None)),
+        ("adzuna", {"results": [{"id": "1", "title": "t", "redirect_url": "u"}, {"id": "2", "title": "t"}]},
+         ("field", 1, "redirect_url")),
+        ("adzuna", {"results": [None, {"id": "2"}]}, ("field", 0, "item")),
+        ("lever", {"ok": False}, ("document", None, None)),
+        ("lever", [{"id": "1", "hostedUrl": "u"}], ("field", 0, "text")),
+        ("ashby", {"jobs": [{"isListed": False}, {"id": "1", "jobUrl": "u"}]}, ("field", 1, "title")),
+        ("ashby", {"jobs": [{"isListed": False}]}, None),
+        ("greenhouse", {"jobs": [{"id": 1, "company_name": "c", "title": "t", "absolute_url": "u"}]},
+         ("field", 0, "location.name")),
+        ("usajobs", {"SearchResult": {"SearchResultItems": [{"MatchedObjectDescriptor": {"PositionID": "1"}}]}},
+         ("field", 0, "MatchedObjectDescriptor.PositionTitle")),
+        ("workday", {"jobPostings": [None]}, ("field", 0, "item")),
+        ("workday", {"total": 1}, ("items", None, None)),
+    ],
+)
+def test_reject_reasons(spark, source, body, expected):
+    text = body if body is None or isinstance(body, str) else json.dumps(body)
+    row = ("p", source, "s", "q", 1, None, text, NOW, None)
+    schema = (
+        "payload_id string, source string, slug string, query string, page int, path string, "
+        "body string, fetched_at timestamp, fetch_id string"
+    )
+    docs = spark.createDataFrame([row], schema)
+    got = [(r.reason, r.position, r.field) for r in normalise.reject_table(docs).collect()]
+    assert got == ([expected] if expected else [])
+    # What is rejected is what has no rows and counts as failed.
+    status = normalise.payload_validate(docs).first().status
+    assert (status == "failed") == bool(expected)
+
+
+def test_a_run_over_some_sources_opens_no_other_folder(spark, tmp_path):
+    docs = written(W.payloads(W.postings(spark, SMALL)), str(tmp_path), partition_by="source")
+    boards, sites = registry.boards(spark), registry.workday_boards(spark)
+    some = normalise.combine_sources(docs, boards, sites, raw=True, sources=["lever", "workday"])
+    every = normalise.combine_sources(docs, boards, sites, raw=True)
+    keys = ("source", "job_id")
+    wanted = every.where("source in ('lever', 'workday')").select(*keys).collect()
+    assert sorted(some.select(*keys).collect()) == sorted(wanted) and wanted
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    opened = re.findall(r"PartitionFilters: \[isnotnull\(source#\d+\), \(source#\d+ = (\w+)\)\]", plan)
+    assert set(opened) == {"lever", "workday"} and len(opened) == plan.count("FileScan")
+    for bad in ([], ["other"]):
+        with pytest.raises(ValueError, match="some of"):
+            normalise.combine_sources(docs, boards, sites, sources=bad)
+    with pytest.raises(ValueError, match="its boards"):
+        normalise.combine_sources(docs, boards, sources=["workday"])

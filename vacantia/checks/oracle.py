@@ -585,6 +585,17 @@ FROM landed WHERE source = 'workday' AND {_DETAIL}""",
     WHEN 4 THEN NULL WHEN 5 THEN posted_at + INTERVAL 12500 MICROSECOND ELSE posted_at END''')} AS posted_at,
   {_at('posted_at + to_milliseconds(seq)')} AS from_millis FROM base""",
         "payload_validate": f"WITH {_LANDED}, {_STATUS} SELECT payload_id, source, status, n_items FROM docs",
+        "reject_reasons": f"""WITH {_LANDED}, faulty AS (SELECT payload_id, source, blk,
+    min(pos) FILTER (WHERE row_no = 5 AND NOT (source = 'ashby' AND seq % 11 = 5)) AS first_bad
+  FROM landed WHERE NOT ok GROUP BY ALL)
+SELECT payload_id, source, CASE WHEN blk % 7 <> 5 THEN 'field' WHEN source = 'lever' THEN 'document'
+    ELSE 'items' END AS reason, CASE WHEN blk % 7 <> 5 THEN first_bad END AS position,
+  CASE WHEN blk % 7 = 5 THEN NULL WHEN source = 'lever' THEN 'text'
+    WHEN source = 'usajobs' THEN 'MatchedObjectDescriptor.PositionTitle' ELSE 'title' END AS field, true AS kept
+FROM faulty
+UNION ALL SELECT 'workday-d' || seq, source, CASE WHEN {_DETAIL} THEN 'field' ELSE 'document' END,
+  CASE WHEN {_DETAIL} THEN 0 END, CASE WHEN {_DETAIL} THEN 'jobPostingInfo.title' END, true
+FROM landed WHERE source = 'workday' AND (NOT {_DETAIL} OR blk % 7 = 3 AND row_no = 5)""",
         "source_failures": f"""WITH {_LANDED}, {_STATUS} SELECT count(*) AS source_count,
   count(*) FILTER (WHERE bad) AS source_failures
 FROM (SELECT bool_or(status = 'failed') AS bad FROM docs GROUP BY source, slug, query)""",

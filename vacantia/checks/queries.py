@@ -272,6 +272,26 @@ def payload_validate(spark: SparkSession, sf: str) -> DataFrame:
     return status.select("payload_id", "source", "status", long("n_items").alias("n_items"))
 
 
+@query
+def reject_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    """Why each unusable document is so, after a stream has put it aside."""
+    work = new_work_dir(spark, "rejects")
+    payloads.land_payloads(_docs(spark, sf), f"{work}/landed", packed=True)
+    ingest.stream_ingest(
+        spark,
+        f"{work}/landed",
+        f"{work}/postings",
+        f"{work}/checkpoint",
+        F.lit(W.NOW),
+        packed=True,
+        quarantine=True,
+    ).awaitTermination()
+    return spark.read.parquet(f"{work}/postings-rejected").select(
+        "payload_id", "source", "reason", long("position").alias("position"), "field",
+        (F.length("body") > 0).alias("kept"),
+    )
+
+
 @query
 def source_failures(spark: SparkSession, sf: str) -> DataFrame:
     return normalise.source_failures(normalise.payload_validate(_landed(spark, sf)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Collection, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -14,9 +14,9 @@ from vacantia import schemas as S
 from vacantia.functions.identity import job_id, parse_posted_at, parse_posted_millis
 from vacantia.functions.text import null_if_empty, part, parts_to_text
 from vacantia.sources import fields
-from vacantia.sources.payloads import item_rows, with_items, with_status
+from vacantia.sources.payloads import item_rows, rejects, with_items, with_status
 from vacantia.sources.quota import cap_per_query
-from vacantia.sources.workday import extract_workday, stub_documents
+from vacantia.sources.workday import detail_documents, extract_workday, stub_documents
 
 
 def _filled(*values: Column) -> Column:
@@ -33,14 +33,34 @@ def _no_text() -> Column:
 
 @dataclass(frozen=True)
 class Source:
-    """How one kind of document is read. Functions take the item and the row's company."""
+    """How one kind of document is read. Functions take the item and the row's company.
+
+    A row that lacks a ``required`` field fails its document. One that ``keep`` drops is dropped before it
+    is read, so it may lack anything.
+    """
 
     ddl: str
     items_of: Callable[[Column], Column]
-    row_ok: Callable[[Column], Column]
+    required: tuple[str, ...]
     keep: Callable[[Column], Column] | None
     project: Callable[[Column, Column], Mapping[str, Column]]
 
+    def row_ok(self, item: Column) -> Column:
+        whole = _filled(*[_at(item, path) for path in self.required])
+        return whole if self.keep is None else item.isNotNull() & (~self.keep(item) | whole)
+
+    def fault(self, item: Column) -> Column:
+        """The first required field that a row lacks, or NULL."""
+        missing = [F.when(_at(item, path).isNull(), F.lit(path)) for path in self.required]
+        found = F.when(item.isNull(), F.lit("item")).otherwise(F.coalesce(*missing))
+        if self.keep is None:
+            return found
+        return F.when(item.isNull() | self.keep(item), found)
+
+
+def _at(item: Column, path: str) -> Column:
+    return reduce(lambda at, name: at[name], path.split("."), item)
+
 
 def _greenhouse(i: Column, company: Column) -> Mapping[str, Column]:
     return {
@@ -149,60 +169,66 @@ BOARD_SOURCES: dict[str, Source] = {
     "greenhouse": Source(
         S.GREENHOUSE_DOC,
         lambda d: d["jobs"],
-        lambda i: _filled(
-            i["id"], i["company_name"], i["title"], i["absolute_url"], i["location"]["name"]
-        ),
+        ("id", "company_name", "title", "absolute_url", "location.name"),
         None,
         _greenhouse,
     ),
     "lever": Source(
         S.LEVER_DOC,
         lambda d: d,
-        lambda i: _filled(i["id"], i["text"], i["hostedUrl"]),
+        ("id", "text", "hostedUrl"),
         None,
         _lever,
     ),
     "ashby": Source(
         S.ASHBY_DOC,
         lambda d: d["jobs"],
-        # An unlisted row is dropped before it is read, so it may lack anything.
-        lambda i: i.isNotNull() & (~_listed(i) | _filled(i["id"], i["title"], i["jobUrl"])),
+        ("id", "title", "jobUrl"),
         _listed,
         _ashby,
     ),
     "remotive": Source(
         S.REMOTIVE_DOC,
         lambda d: d["jobs"],
-        lambda i: _filled(i["id"], i["title"], i["url"]),
+        ("id", "title", "url"),
         None,
         _remotive,
     ),
     "adzuna": Source(
         S.ADZUNA_DOC,
         lambda d: d["results"],
-        lambda i: _filled(i["id"], i["title"], i["redirect_url"]),
+        ("id", "title", "redirect_url"),
         None,
         _adzuna,
     ),
     "usajobs": Source(
         S.USAJOBS_DOC,
         lambda d: d["SearchResult"]["SearchResultItems"],
-        lambda i: _filled(
-            i["MatchedObjectDescriptor"]["PositionID"],
-            i["MatchedObjectDescriptor"]["PositionTitle"],
-        ),
+        ("MatchedObjectDescriptor.PositionID", "MatchedObjectDescriptor.PositionTitle"),
         None,
         _usajobs,
     ),
 }
 
 
-def documents(payloads: DataFrame, source: str) -> DataFrame:
-    """Documents of one source with their items; a failed document has NULL items."""
+def documents(payloads: DataFrame, source: str, *, body: bool = False) -> DataFrame:
+    """Documents of one source with their items; a failed document has NULL items and a ``reject``."""
     kind = BOARD_SOURCES[source]
-    return with_items(
-        payloads.where(F.col("source") == source), kind.ddl, kind.items_of, kind.row_ok
-    )
+    of_source = payloads.where(F.col("source") == source)
+    return with_items(of_source, kind.ddl, kind.items_of, kind.row_ok, kind.fault, body=body)
+
+
+def reject_table(payloads: DataFrame, *, body: bool = False) -> DataFrame:
+    """Every document that cannot be used: reason, position of the first bad row, and its missing field.
+
+    Search documents and boards fail as a whole. An unreadable detail (it has a ``path``) costs its own
+    posting, one without a title the whole fetch of its search. With ``body`` the document itself is in
+    the table, to be kept and read again once the source is mended.
+    """
+    of = [rejects(documents(payloads, source, body=body)) for source in BOARD_SOURCES]
+    of.append(rejects(stub_documents(payloads, body=body)))
+    of.append(rejects(detail_documents(payloads, body=body)))
+    return reduce(DataFrame.unionByName, of)
 
 
 def company_enrich(rows: DataFrame, boards: DataFrame | None) -> DataFrame:
@@ -371,15 +397,25 @@ def combine_sources(
     caps: Mapping[str, int] | None = None,
     *,
     raw: bool = False,
+    sources: Collection[str] = V.SOURCES,
 ) -> DataFrame:
     """Bag union of all sources, each in its own order; nothing is deduplicated here.
 
     ``caps`` bounds the results per query of a source; `REGISTRY_CAPS` are the registry's own.
     With ``raw`` the text stays in ``body_parts``, for a caller that describes few of the rows.
+    ``sources`` names those to be read; folders of others are not opened.
     """
+    if not sources or not set(sources) <= set(V.SOURCES):
+        raise ValueError(f"sources are some of {', '.join(V.SOURCES)}")
+    if workday_boards is None and set(sources) == {"workday"}:
+        raise ValueError("workday needs its boards")
     caps = caps or {}
-    feeds = [extract(payloads, source, boards, caps.get(source)) for source in BOARD_SOURCES]
-    if workday_boards is not None:
+    feeds = [
+        extract(payloads, source, boards, caps.get(source))
+        for source in BOARD_SOURCES
+        if source in sources
+    ]
+    if "workday" in sources and workday_boards is not None:
         feeds.append(extract_workday(payloads, workday_boards, caps.get("workday")))
     postings = reduce(DataFrame.unionByName, feeds)
     return postings if raw else described(postings)

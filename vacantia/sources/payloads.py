@@ -125,26 +125,68 @@ def all_hold(items: Column, row_ok: Callable[[Column], Column]) -> Column:
     return F.forall(items, lambda item: F.coalesce(row_ok(item), F.lit(False)))
 
 
+REJECT = "struct<reason:string,position:int,field:string>"
+
+
+def first_fault(items: Column, fault: Callable[[Column], Column]) -> Column:
+    """Where the first item is that cannot be read, and what it lacks; NULL if all can be."""
+    faults = F.transform(items, fault)
+    at = F.array_position(F.transform(faults, lambda f: f.isNotNull()), F.lit(True))
+    return F.when(
+        at > 0,
+        F.struct(
+            F.lit("field").alias("reason"),
+            (at - 1).cast("int").alias("position"),
+            F.element_at(faults, F.greatest(at, F.lit(1)).cast("int")).alias("field"),
+        ),
+    ).cast(REJECT)
+
+
 def with_items(
     payloads: DataFrame,
     ddl: str,
     items_of: Callable[[Column], Column],
     row_ok: Callable[[Column], Column],
+    fault: Callable[[Column], Column] | None = None,
+    *,
+    body: bool = False,
 ) -> DataFrame:
-    """Add ``items``: the rows of a valid document, NULL for a failed one."""
+    """Add ``items``: the rows of a valid document, NULL for a failed one.
+
+    Also ``reject``, why it failed: 'document' (not one document of its kind), 'items' (no list of rows
+    in it) or 'field', with the position of the first row that lacks one and the field's name.
+    """
     if "fetch_id" not in payloads.columns:
         payloads = payloads.withColumn("fetch_id", F.lit(None).cast("string"))
+    kept = [*PAYLOAD_COLUMNS, "body"] if body else list(PAYLOAD_COLUMNS)
     # Parsed in a projection of its own, so that each body is parsed once.
-    parsed = payloads.select(*PAYLOAD_COLUMNS, wrapped(F.col("body"), ddl).alias("docs"))
-    parsed = parsed.select(*PAYLOAD_COLUMNS, items_of(only(F.col("docs"))).alias("raw"))
+    parsed = payloads.select(*kept, wrapped(F.col("body"), ddl).alias("docs"))
+    document = only(F.col("docs"))
+    parsed = parsed.select(
+        *kept, items_of(document).alias("raw"), document.isNotNull().alias("readable")
+    )
+    raw = F.col("raw")
+    if fault is None:
+        fault = lambda i: F.when(~F.coalesce(row_ok(i), F.lit(False)), F.lit("item"))
+    nothing = F.lit(None).cast(REJECT)
+    reason = F.when(~F.col("readable"), "document").when(raw.isNull(), "items")
+    shape = F.struct(reason, F.lit(None).cast("int"), F.lit(None).cast("string")).cast(REJECT)
     return parsed.select(
-        *PAYLOAD_COLUMNS,
-        F.when(F.col("raw").isNotNull() & all_hold(F.col("raw"), row_ok), F.col("raw")).alias(
-            "items"
-        ),
+        *kept,
+        F.when(raw.isNotNull() & all_hold(raw, row_ok), raw).alias("items"),
+        F.when(raw.isNull(), shape)
+        .when(~all_hold(raw, row_ok), first_fault(raw, fault))
+        .otherwise(nothing)
+        .alias("reject"),
     )
 
 
+def rejects(documents: DataFrame) -> DataFrame:
+    """The failed documents, with reason, position and field."""
+    kept = [c for c in documents.columns if c not in ("items", "reject")]
+    return documents.where(F.col("reject").isNotNull()).select(*kept, "reject.*")
+
+
 def item_rows(documents: DataFrame) -> DataFrame:
     """One row per item, ``pos`` in document order; failed documents give none."""
     # The outer form keeps Catalyst from pushing a second parse below the generator.

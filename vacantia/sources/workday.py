@@ -18,18 +18,36 @@ def _usable(hit: Column) -> Column:
     return null_if_empty(hit["title"]).isNotNull() & null_if_empty(hit["externalPath"]).isNotNull()
 
 
-def stub_documents(payloads: DataFrame) -> DataFrame:
+def stub_documents(payloads: DataFrame, *, body: bool = False) -> DataFrame:
     """Search documents with the hits that can be acted on.
 
     A hit without title or path is skipped and does not fail its document.
     """
     searches = payloads.where((F.col("source") == "workday") & F.col("path").isNull())
     read = with_items(
-        searches, S.WORKDAY_SEARCH_DOC, lambda d: d["jobPostings"], lambda i: i.isNotNull()
+        searches,
+        S.WORKDAY_SEARCH_DOC,
+        lambda d: d["jobPostings"],
+        lambda i: i.isNotNull(),
+        body=body,
     )
     return read.withColumn("items", F.filter("items", _usable))
 
 
+def detail_documents(payloads: DataFrame, *, body: bool = False) -> DataFrame:
+    """Detail documents; what a posting cannot do without is a title."""
+    details = payloads.where((F.col("source") == "workday") & F.col("path").isNotNull())
+    titled = "jobPostingInfo.title"
+    return with_items(
+        details,
+        S.WORKDAY_DETAIL_DOC,
+        lambda d: F.when(d["jobPostingInfo"].isNotNull(), F.array(d["jobPostingInfo"])),
+        lambda i: i["title"].isNotNull(),
+        lambda i: F.when(i["title"].isNull(), F.lit(titled)),
+        body=body,
+    )
+
+
 def workday_stubs(payloads: DataFrame, max_results: int | None = None) -> DataFrame:
     """Search hits that can be acted on; with ``max_results``, as many as a scan would keep."""
     found = stub_documents(payloads)

@@ -13,7 +13,7 @@ from vacantia.operators import dedup
 from vacantia.operators.store import KeyedStore, new_run
 from vacantia.session import new_work_dir, use_utc, written
 from vacantia.sources import registry
-from vacantia.sources.normalise import combine_sources
+from vacantia.sources.normalise import combine_sources, reject_table
 from vacantia.sources.payloads import payload_scan
 
 _COMMIT = "batch_id long, run string"
@@ -36,9 +36,13 @@ def stream_ingest(
     *,
     packed: bool = False,
     fetches: bool = False,
+    quarantine: bool = False,
 ) -> StreamingQuery:
     """New landed files become postings under ``out``, one folder per micro-batch.
 
+    With ``quarantine`` the documents that cannot be used lie under ``out``-rejected, whole and with the
+    reason; that is a second parse of what has just landed.
+
     A replayed batch overwrites its own folder. The batch form of the normalisers is used, since
     the two-stage source joins search and detail documents. Those may land in any order: they are
     kept under ``out``-workday, a search meets the details landed until then, and a detail that is
@@ -51,6 +55,9 @@ def stream_ingest(
         # The documents are read once per normaliser branch, so they are written first.
         path = new_work_dir(spark, f"ingest-{batch_id}")
         landed_now = written(batch, path, partition_by="source")
+        if quarantine:
+            rejected = reject_table(landed_now, body=True)
+            rejected.write.mode("overwrite").parquet(f"{out}-rejected/batch_id={batch_id}")
         kept = f"{out}-workday"
         two_stage = landed_now.where("source = 'workday'")
         two_stage.write.mode("overwrite").parquet(f"{kept}/batch_id={batch_id}")
