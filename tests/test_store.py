@@ -3,7 +3,9 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from vacantia import schemas as S
 from vacantia.operators.store import KeyedStore, store_item, store_scored_item
+from vacantia.session import written
 
 POSTING = (
     "seq long, job_id string, source string, source_id string, company string, title string, "
@@ -119,3 +121,49 @@ def test_compaction_keeps_the_latest_rows(spark, store, tmp_path):
     assert small.ids().count() == 2
     small.mark_seen(frame(spark, posting(4, "a1", title="after")))
     assert contents(small)["a1"]["title"] == "after"
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_buckets_answer_as_the_plain_store_does(spark, tmp_path):
+    """Compacted, written to again, and opened by a session that does not know the table."""
+    names = [f.name for f in S.STORE.fields]
+
+    def rows(ids, status):
+        df = spark.createDataFrame([(i,) for i in ids], "job_id string")
+        return df.select(*[
+            F.col("job_id") if n == "job_id"
+            else F.lit(status if n == "status" else None).cast(S.STORE[n].dataType).alias(n)
+            for n in names
+        ])
+
+    plain = KeyedStore(spark, str(tmp_path / "plain")).create()
+    plain.upsert(rows([f"j{k}" for k in range(50)], "new"))
+    plain.upsert(rows(["j7", "j8"], "emailed"))
+    store = plain.compacted(str(tmp_path / "buckets"), buckets=4)
+    again = [f"j{k}" for k in range(40, 60)]
+    for s in (plain, store):
+        s.upsert(rows(again, "skipped"))
+    spark.sql(f"DROP TABLE {store._table()}")  # its files stay
+    store = KeyedStore(spark, str(tmp_path / "buckets"), 4)
+    key = lambda df: sorted((r.job_id, r.status) for r in df.collect())
+    assert key(store.read()) == key(plain.read()) and store.read().count() == 60
+    asked = written(spark.createDataFrame([("j7",), ("j45",), ("j99",)], "job_id string"), str(tmp_path / "asked"))
+    assert key(store.near(asked)) == key(plain.near(asked)) == [("j45", "skipped"), ("j7", "emailed")]
+    assert [r.job_id for r in store.unseen(asked).collect()] == ["j99"]
+    assert key(store.get("j8")) == [("j8", "emailed")] and key(store.get("j55")) == [("j55", "skipped")]
+    store.mark_emailed(asked.where("job_id = 'j45'"))
+    assert key(store.get("j45")) == [("j45", "emailed")]
+    # One id: one bucket, and its filter at the scan. A big batch: the base is joined where it lies.
+    one = plan_of(store.get("j8"))
+    assert "SelectedBucketsCount: 1 out of 4" in one and "EqualTo(job_id,j8)" in one
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        looked_up = plan_of(store._parts()[0].join(asked, "job_id", "left_semi"))
+        assert looked_up.count("Exchange hashpartitioning") == 1
+        assert "SelectedBucketsCount: 4 out of 4" in looked_up
+        assert "Exchange" not in looked_up.split("FileScan")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

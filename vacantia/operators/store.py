@@ -4,13 +4,19 @@ A run writes its own rows and nothing else; of the rows of an id the latest run'
 front of scoring needs the id column only. ``compacted`` writes the latest rows to a new table, and the
 caller goes on with that one. There is no update in place, so nothing reads a folder that is being
 written over, and a run that is repeated under its own name replaces what it wrote.
+
+Compacted into buckets, the rows lie in files by a hash of their id, sorted, with Parquet's bloom filters.
+A lookup then deals its own few ids to the buckets and leaves the store where it is, and one id is looked
+for in one bucket. Only runs written since the compaction are scanned whole.
 """
 
 from __future__ import annotations
 
+import hashlib
 import time
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -18,6 +24,7 @@ from pyspark.sql import types as T
 
 from vacantia import schemas as S
 from vacantia.functions.text import null_if_empty
+from vacantia.operators import dedup
 
 
 def iso_text(at: Column) -> Column:
@@ -102,10 +109,11 @@ def latest_rows(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class KeyedStore:
-    """The table at ``path``, with a folder `run=` per write."""
+    """The table at ``path``, with a folder `run=` per write and, if ``buckets``, a compacted `base`."""
 
     spark: SparkSession
     path: str
+    buckets: int | None = None
 
     def create(self) -> KeyedStore:
         """Write an empty table unless there is one."""
@@ -120,12 +128,19 @@ class KeyedStore:
         """Every stored id, once per run that wrote it: enough to tell what is new."""
         return self._rows().select("job_id")
 
+    def unseen(self, postings: DataFrame) -> DataFrame:
+        """Postings whose id is not stored; ``postings`` is a written table, as it is read again."""
+        parts = [dedup.seen_lookup(postings, rows) for rows in self._parts()]
+        return postings.join(reduce(DataFrame.unionByName, parts), "job_id", "left_anti")
+
     def near(self, batch: DataFrame) -> DataFrame:
         """Stored rows of the ids of ``batch``. The store is the streamed side of the lookup."""
-        return latest_rows(self._rows().join(batch.select("job_id"), "job_id", "left_semi"))
+        ids = batch.select("job_id")
+        found = [rows.join(ids, "job_id", "left_semi") for rows in self._parts()]
+        return latest_rows(reduce(DataFrame.unionByName, found))
 
     def get(self, job_id: str) -> DataFrame:
-        """Stored record of one id; the filter reaches the scan."""
+        """Stored record of one id; the filter reaches the scan, and one bucket's file."""
         return latest_rows(store_get(self._rows(), job_id))
 
     def upsert(self, items: DataFrame, run: str | None = None) -> None:
@@ -141,15 +156,53 @@ class KeyedStore:
     def mark_emailed(self, ids: DataFrame, run: str | None = None) -> None:
         self.upsert(emailed(self.near(ids), ids), run)
 
-    def compacted(self, path: str) -> KeyedStore:
-        """The latest rows as a new table at ``path``, sorted by id within its files."""
-        sorted_rows = self.read().sortWithinPartitions("job_id")
-        sorted_rows.write.mode("error").parquet(f"{path}/run={0:020d}")
-        return KeyedStore(self.spark, path)
+    def compacted(self, path: str, buckets: int | None = None) -> KeyedStore:
+        """The latest rows as a new table at ``path``, sorted by id within its files.
+
+        With ``buckets`` there is a file for each; take as many as keep a file at some 100 MB.
+        """
+        if buckets is None:
+            sorted_rows = self.read().sortWithinPartitions("job_id")
+            sorted_rows.write.mode("error").parquet(f"{path}/run={0:020d}")
+            return KeyedStore(self.spark, path)
+        made = KeyedStore(self.spark, path, buckets).create()
+        (
+            self.read()
+            .repartition(buckets, "job_id")
+            .write.format("parquet")
+            .bucketBy(buckets, "job_id")
+            .sortBy("job_id")
+            .option("path", f"{path}/base")
+            .option("parquet.bloom.filter.enabled#job_id", "true")
+            .mode("error")
+            .saveAsTable(made._table())
+        )
+        return made
+
+    def _parts(self) -> list[DataFrame]:
+        """What is looked up each on its own: the compacted rows, and the runs written since."""
+        schema = T.StructType([*S.STORE.fields, T.StructField("run", T.StringType())])
+        reader = self.spark.read.schema(schema)
+        if self.buckets is None:
+            return [reader.parquet(self.path)]
+        runs = reader.option("basePath", self.path).parquet(f"{self.path}/run=*")
+        return [self._base().withColumn("run", F.lit("")), runs]
 
     def _rows(self) -> DataFrame:
-        schema = T.StructType([*S.STORE.fields, T.StructField("run", T.StringType())])
-        return self.spark.read.schema(schema).parquet(self.path)
+        return reduce(DataFrame.unionByName, self._parts())
+
+    def _table(self) -> str:
+        return f"store_{hashlib.md5(self.path.encode()).hexdigest()}_{self.buckets}"
+
+    def _base(self) -> DataFrame:
+        """The compacted rows; a session that has not seen the table is told where it lies."""
+        name = self._table()
+        if not self.spark.catalog.tableExists(name):
+            self.spark.sql(
+                f"CREATE TABLE {name} ({S.STORE.toDDL()}) USING parquet CLUSTERED BY (job_id) "
+                f"SORTED BY (job_id) INTO {self.buckets} BUCKETS LOCATION '{self.path}/base'"
+            )
+        return self.spark.table(name)
 
 
 def new_run() -> str:

@@ -84,7 +84,7 @@ def run_cycle(
     fetched = written(narrow, f"{work}/fetched")
     eligible = gate.keep_worth_scoring(fetched)
     unique = written(dedup.dedup_in_batch(eligible), f"{work}/unique")
-    new = written(dedup.unseen(unique, stored.ids()), f"{work}/new")
+    new = written(stored.unseen(unique), f"{work}/new")
 
     chosen = gate.select_within_budget(
         gate.workable_gate(new, workable_only, gazetteer), now, max_age_days, max_score_per_run

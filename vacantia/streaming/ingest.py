@@ -104,7 +104,7 @@ def stream_dedup(
         if run is None:
             run = new_run()
             unique = written(dedup.dedup_in_batch(batch), new_work_dir(spark, f"dedup-{batch_id}"))
-            written(dedup.unseen(unique, stored.ids()), rows)
+            written(stored.unseen(unique), rows)
             commit(spark, out, batch_id, run)
         stored.mark_seen(spark.read.schema(batch.schema).parquet(rows), run=run)
 
