@@ -51,12 +51,13 @@ def test_heartbeat_round_trip(spark):
 
 
 def test_spend(spark):
-    rows = runs(spark, {"scored": 50, "digest": 8}, {"scored": 1, "digest": 1})
-    cheap = [r["note"] for r in metrics.spend_estimate(rows, "a/Haiku-4").collect()]
-    assert "50 new jobs" in cheap[0] and "emailed the 8" in cheap[0] and "~$0.20" in cheap[0]
-    assert "1 new job " in cheap[1]
-    assert [metrics.spend_estimate(rows, m).collect()[0]["cost"] for m in ("sonnet", "x")] == [0.6, 0.4]
-    assert (metrics.daily_score_rate("haiku-9"), metrics.daily_score_rate("x")) == (0.004, 0.012)
+    rows = runs(spark, {"scored": 75, "digest": 6}, {"scored": 1, "digest": 1})
+    many, one = (r["note"] for r in metrics.spend_estimate(rows, "vendor/HAIKU-x").collect())
+    assert " 75 new jobs " in many and " the 6 " in many and "~$0.30" in many
+    assert " 1 new job " in one and "jobs" not in one
+    costs = [metrics.spend_estimate(rows, model).first()["cost"] for model in ("a-sonnet-b", "other")]
+    assert costs == pytest.approx([0.9, 0.6])
+    assert metrics.daily_score_rate("haiku-9") < metrics.daily_score_rate("other")
 
 
 def test_summary_and_text(spark):
