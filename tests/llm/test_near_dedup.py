@@ -156,3 +156,24 @@ def test_stage_keeps_different_texts_with_one_id(spark):
     )
     got = sorted((r.doc_id, r.text or "") for r in N.stage_near_dedup(spark, docs, "").collect())
     assert got == [(1, one), (1, two), (3, "")]
+
+
+def test_stage_counts_rows_equal_in_all_columns_once(spark):
+    one = " ".join(f"a{k}" for k in range(60))
+    two = " ".join(f"b{k}" for k in range(60))
+    rows = [(1, one, "en", None, 1)] * 3 + [(2, one, "en", "s", 1), (4, one, None, "s", None)]
+    rows += [(5, two, "en", "s", 1), (5, two, None, "s", 1), (6, "", "en", "s", 0), (6, "", "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in N.stage_near_dedup(spark, docs, "").collect()]
+    assert sorted(got) == [(1, one), (5, two), (6, "")]
+
+
+def test_stage_moves_texts_against_the_rows_that_leave_only(spark, tmp_path):
+    rows = [(n, t, "en", "s", 1) for n, t in docs_with_groups() if n is not None]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(
+        rows, "doc_id long, text string, lang string, source string, n_chars long"
+    ).write.parquet(path)
+    plan = N.stage_near_dedup(spark, spark.read.parquet(path), "")._jdf.queryExecution().executedPlan()
+    assert "Window" not in plan.toString()
+    assert plan.toString().count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan.toString()

@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import new_work_dir, slices, table, words, written
@@ -356,22 +356,46 @@ def op1_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each class stays: the one with the smallest id, then the first text. Different texts
-    with one id are in classes of their own; rows without an id cannot be named and stay."""
+    """One row of each class stays: the one with the smallest id, then by hashes of text and row. Different
+    texts with one id are in classes of their own; rows without an id cannot be named and stay.
+
+    Who stays is decided on hashes. Texts move in one join at most, against the rows that leave, and in
+    none where these are few enough to be broadcast.
+    """
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
-    with_id = rows.where("doc_id is not null")
+    row = F.unhex(F.md5(F.to_json(F.struct(*rows.columns))))
+    with_id = rows.where("doc_id is not null").withColumn("row", row)
     normal = normal_text(F.col("text"))
-    keyed = with_id.withColumn("key", F.when(normal != "", _key(normal)))
     nodes = with_id.select(normal.alias("normal")).withColumn("key", _key(F.col("normal")))
-    classed = keyed.join(_roots(spark, nodes), "key", "left").withColumn(
-        "root", F.coalesce("root", "key")
+    # Rows equal in all columns are one from here on.
+    distinct = (
+        with_id.select("doc_id", "row", F.when(normal != "", _key(normal)).alias("key"))
+        .groupBy("row")
+        .agg(F.first("doc_id").alias("doc_id"), F.first("key").alias("key"), F.count("*").alias("n"))
+    )
+    classed = written(
+        written(distinct, new_work_dir(spark, "rows"))
+        .join(_roots(spark, nodes), "key", "left")
+        .withColumn("root", F.coalesce("root", "key")),
+        new_work_dir(spark, "classed"),
     )
     # Texts without a word are classes of their own, by id.
-    alone = F.when(F.col("root").isNull(), F.col("doc_id"))
-    first = Window.partitionBy("root", alone).orderBy("doc_id", "key", "text", "lang", "source")
-    kept = (
-        classed.withColumn("place", F.row_number().over(first))
-        .where("place = 1")
-        .select(*rows.columns)
+    alone = F.when(F.col("root").isNull(), F.col("doc_id")).alias("alone")
+    firsts = (
+        classed.groupBy("root", alone)
+        .agg(F.min(F.struct("doc_id", "key", "row")).alias("first"))
+        .select("first.row")
+    )
+    repeated = written(
+        classed.where("n > 1").join(firsts, "row", "left_semi").select("row"),
+        new_work_dir(spark, "repeated"),
+    )
+    away = written(
+        classed.join(firsts, "row", "left_anti").select("row").unionByName(repeated),
+        new_work_dir(spark, "away"),
     )
-    return kept.unionByName(rows.where("doc_id is null"))
+    kept = with_id.join(away, "row", "left_anti")
+    if not repeated.isEmpty():
+        once = with_id.join(repeated, "row", "left_semi").dropDuplicates(["row"])
+        kept = kept.unionByName(once)
+    return kept.select(*rows.columns).unionByName(rows.where("doc_id is null"))
