@@ -1,5 +1,6 @@
 """Whole runs and streams, with invariants between runs."""
 
+import datetime as dt
 import json
 
 import pytest
@@ -12,7 +13,7 @@ from vacantia.operators.store import KeyedStore
 from vacantia.plans.run import run_cycle, run_report
 from vacantia.session import written
 from vacantia.sources import normalise, payloads, registry
-from vacantia.streaming import ingest, monitor
+from vacantia.streaming import ingest, monitor, receipts
 from vacantia.streaming.backlog import Backlog
 from vacantia.streaming.run import stream_run
 
@@ -350,6 +351,60 @@ def test_stream_alarms_update_open_periods(spark, tmp_path):
     assert [r["alarm"] for r in got.collect()] == [True]
 
 
+def test_stream_no_runs_alarms_while_nothing_comes(spark, tmp_path):
+    """An outage that lasts until now: only the clock goes on. The stream ends up as the batch form."""
+    lines, ticks, out, check = (str(tmp_path / n) for n in ("lines", "ticks", "out", "check"))
+    start, hour = dt.datetime(2026, 7, 1), dt.timedelta(hours=1)
+    arrivals = [(["2026-07-01 02:00:00", "2026-07-01 02:05:00"], 0, 5), ([], 5, 9), ([], 9, 14)]
+    found = []
+    for runs, a, b in arrivals:
+        run_stream = lines_stream(spark, lines, [(t, "run") for t in runs])
+        tick_stream = lines_stream(spark, ticks, [(str(start + n * hour), "tick") for n in range(a, b + 1)])
+        alarms = monitor.stream_no_runs(run_stream, tick_stream, F.lit(start), 4 * 3600)
+        monitor.write_stream(alarms, out, check).awaitTermination()
+        rows = spark.read.schema(alarms.schema).parquet(out).orderBy("period_start").collect()
+        found.append([(r.runs, r.alarm) for r in rows])
+    assert found == [[(2, False)], [(2, False), (0, True)], [(2, False), (0, True), (0, True)]]
+    every = spark.read.schema("ts timestamp, message string").parquet(lines)
+    batch = metrics.alarm_no_runs(every, F.lit(start), F.lit(start + 12 * hour), 4 * 3600)
+    assert batch.orderBy("period_start").collect() == rows
+
+
+def test_stream_receipts_marks_once_and_reports_lost_mail(spark, store, tmp_path):
+    sent, got, out, check = (str(tmp_path / n) for n in ("sent", "got", "out", "check"))
+    mail = "run_id string, sent_at timestamp, job_ids array<string>"
+    receipt = "run_id string, message_id string, received_at timestamp"
+
+    def at(day, hour=0):
+        return dt.datetime(2026, 7, day, hour)
+
+    def step(mails, receipts_):
+        for path, rows, schema in ((sent, mails, mail), (got, receipts_, receipt)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        receipts.stream_receipts(
+            spark,
+            spark.readStream.schema(mail).parquet(sent),
+            spark.readStream.schema(receipt).parquet(got),
+            store, out, check,
+        ).awaitTermination()
+        rows = spark.read.parquet(out).collect()
+        emailed = {r.job_id for r in store.read().where("status = 'emailed'").collect()}
+        return sorted({(r.run_id, r.message_id) for r in rows}, key=str), emailed
+
+    first = step(
+        [("a", at(1), ["j1", "j2"]), ("b", at(1, 1), ["j3"]), ("c", at(1, 2), ["j4"])],
+        [("a", "m-1", at(1, 3)), ("a", "m-1", at(1, 4)), ("nobody", "m-9", at(1, 3))],
+    )
+    assert first == ([("a", "m-1")], {"j1", "j2"})
+    # Late by the mail's patience; the mails given up are named once both streams have passed them.
+    second = step([("d", at(9), ["j5"])], [("b", "m-2", at(4)), ("a", "m-1", at(1, 5)), ("x", "m-8", at(9))])
+    assert second[1] == {"j1", "j2"}
+    assert second[0] == [("a", "m-1"), ("b", None), ("c", None)]
+    third = step([("e", at(20), [])], [("d", "m-3", at(9, 1)), ("y", "m-7", at(20))])
+    assert third[1] == {"j1", "j2", "j5"}
+    assert third[0] == [("a", "m-1"), ("b", None), ("c", None), ("d", "m-3")]
+
+
 # --- plans --------------------------------------------------------------------------
 
 

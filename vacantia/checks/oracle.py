@@ -802,6 +802,18 @@ WHERE job_id NOT IN (SELECT job_id FROM seen)""",
         "stream_daily_summary": f"""WITH {_DAYS} SELECT {_at('day')} AS day, runs, scored, emailed, errors, warns,
   cost, healthy FROM days
 WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""",
+        "stream_no_runs": f"""WITH {_LINES},
+ busy AS (SELECT {_bucket(28800)} AS p FROM lines WHERE heartbeat AND scored > 150),
+ ends AS (SELECT min(ts) AS a, max(ts) + INTERVAL 3 DAY AS b FROM lines),
+ span AS (SELECT p FROM (SELECT unnest(generate_series({_bucket(28800, 'a')}, b,
+   INTERVAL 28800 SECOND)) AS p, a, b FROM ends)
+   WHERE p >= a AND p + INTERVAL 28800 SECOND <= b - INTERVAL 10 MINUTE)
+SELECT {_at('span.p')} AS period_start, {_at('span.p + INTERVAL 28800 SECOND')} AS period_end,
+  count(busy.p) AS runs, count(busy.p) < 1 AS alarm
+FROM span LEFT JOIN busy ON busy.p = span.p GROUP BY span.p""",
+        "stream_receipts": f"""{base} SELECT seq, job_id, seq % 3 = 0 AS delivered,
+  bool_or(seq % 3 = 0) OVER (PARTITION BY job_id) AS emailed
+FROM base WHERE posted_at IS NOT NULL""",
         "stream_alarms": f"""WITH {_LINES} {_periods(300, 'lines', 'unhealthy',
             "count(*) FILTER (WHERE NOT heartbeat OR health = 'error')")}""",
     }

@@ -26,7 +26,7 @@ from vacantia.operators.reply_log import ReplyLog, paid_once
 from vacantia.plans.run import run_cycle
 from vacantia.session import new_work_dir, written
 from vacantia.sources import fields, normalise, payloads, quota, registry, workday
-from vacantia.streaming import ingest, monitor
+from vacantia.streaming import ingest, monitor, receipts
 from vacantia.streaming.run import stream_run
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1086,6 +1086,69 @@ def stream_alarms(spark: SparkSession, sf: str) -> DataFrame:
     return _alarm(last.select("period_start", "period_end", "last.*"), "unhealthy")
 
 
+@query
+def stream_no_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """The periods that a clock has closed, which goes on for three days after the last line."""
+    work = new_work_dir(spark, "silence")
+    first, last = F.min("ts"), F.max("ts") + F.expr("INTERVAL 3 DAYS")
+    hours = F.array_append(F.sequence(first, last, F.expr("INTERVAL 1 HOUR")), last)
+    ticks = W.heartbeats(spark, sf).agg(hours.alias("h"), first.alias("start"))
+    start = written(ticks.select(F.explode("h").alias("ts"), "start"), f"{work}/ticks")
+    found = monitor.stream_no_runs(
+        metrics.parse_heartbeat(_line_stream(spark, sf)).where("scored > 150"),
+        spark.readStream.schema(start.schema).parquet(f"{work}/ticks"),
+        F.lit(start.agg(F.min("start")).first()[0]),
+    )
+    monitor.write_stream(found, f"{work}/out", f"{work}/checkpoint").awaitTermination()
+    return _alarm(spark.read.schema(found.schema).parquet(f"{work}/out"), "runs")
+
+
+@query
+def stream_receipts(spark: SparkSession, sf: str) -> DataFrame:
+    """A mail per dated posting: of three, one is delivered, one too late and one never."""
+    work = new_work_dir(spark, "receipts")
+    p = written(W.postings(spark, sf).where("posted_at is not null"), f"{work}/postings")
+    stored = _new_store(spark)
+    stored.mark_seen(p)
+    mail = F.col("seq").cast("string")
+    mails = p.select(
+        mail.alias("run_id"), F.col("posted_at").alias("sent_at"), F.array("job_id").alias("job_ids")
+    )
+    late = F.when(F.col("seq") % 3 == 0, F.expr("INTERVAL 2 HOURS")).otherwise(F.expr("INTERVAL 3 DAYS"))
+    got = p.where("seq % 3 < 2").select(
+        mail.alias("run_id"), F.concat(F.lit("m-"), mail).alias("message_id"),
+        (F.col("posted_at") + late).alias("received_at"),
+    )
+    # A last row of either stream lets the watermark pass all others.
+    end = p.agg((F.max("posted_at") + F.expr("INTERVAL 30 DAYS")).alias("at")).where("at is not null")
+    none = F.array().cast("array<string>")
+    end_mail = end.select(F.lit("end").alias("run_id"), F.col("at").alias("sent_at"), none.alias("job_ids"))
+    end_receipt = end.select(
+        F.lit("other").alias("run_id"), F.lit("m").alias("message_id"), F.col("at").alias("received_at")
+    )
+    mails = written(mails.unionByName(end_mail), f"{work}/outbox")
+    got = written(got.unionByName(end_receipt), f"{work}/receipts")
+    receipts.stream_receipts(
+        spark,
+        spark.readStream.schema(mails.schema).parquet(f"{work}/outbox"),
+        spark.readStream.schema(got.schema).parquet(f"{work}/receipts"),
+        stored,
+        f"{work}/out",
+        f"{work}/checkpoint",
+    ).awaitTermination()
+    status = stored.read().select("job_id", (F.col("status") == "emailed").alias("emailed"))
+    return (
+        spark.read.parquet(f"{work}/out")
+        .select(
+            F.col("run_id").cast("long").alias("seq"),
+            F.explode("job_ids").alias("job_id"),
+            F.col("message_id").isNotNull().alias("delivered"),
+        )
+        .join(status, "job_id")
+        .select("seq", "job_id", "delivered", "emailed")
+    )
+
+
 def queries() -> dict[str, Query]:
     named = dict(QUERIES)
     named["stream_run"] = named.pop("stream_run_counts")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from vacantia import fixed_values as V
@@ -27,6 +30,42 @@ def stream_alarms(
     return metrics.alarm_unhealthy(lines.withWatermark("ts", lateness), seconds)
 
 
+def clock(spark: SparkSession) -> DataFrame:
+    """A ``ts`` per second. After a restart the seconds of the pause are made up for."""
+    return spark.readStream.format("rate").load().select(F.col("timestamp").alias("ts"))
+
+
+def stream_no_runs(
+    runs: DataFrame,
+    ticks: DataFrame,
+    start: dt.datetime | Column,
+    seconds: int = V.NO_RUN_WINDOW_SECONDS,
+    lateness: str = "10 minutes",
+) -> DataFrame:
+    """Runs of every finished period that begins from ``start`` on; one without any is an alarm.
+
+    Silence makes no rows, so ``ticks`` of a clock (``ts``, at least one in a period) are counted as
+    nothing beside the runs: they give each period its row, and they move the watermark on when no
+    run comes. A run that lands more than ``lateness`` behind the clock counts for nothing.
+    """
+    first = (start if isinstance(start, Column) else F.lit(start)).cast("timestamp")
+    both = runs.select("ts", F.lit(1).alias("run")).unionByName(
+        ticks.select("ts", F.lit(0).alias("run"))
+    )
+    return (
+        both.withWatermark("ts", lateness)
+        .groupBy(F.window("ts", f"{seconds} seconds").alias("w"))
+        .agg(F.sum("run").alias("runs"))
+        .select(
+            F.col("w.start").alias("period_start"),
+            F.col("w.end").alias("period_end"),
+            "runs",
+            (F.col("runs") < 1).alias("alarm"),
+        )
+        .where(F.col("period_start") >= first)
+    )
+
+
 def write_stream(
     table: DataFrame, path: str, checkpoint: str, interval: str | None = None
 ) -> StreamingQuery:
