@@ -210,6 +210,45 @@ def test_stream_ingest_joins_what_lands_apart(spark, tmp_path, first):
     assert sorted(map(str, spark.read.parquet(out).select(key).collect())) == got
 
 
+def test_stream_ingest_reads_what_has_just_landed(spark, tmp_path):
+    """Hits wait for their first detail, later ones take the newest copy, and no batch reads an earlier one."""
+    landed, out, check = (str(tmp_path / n) for n in ("landed", "out", "check"))
+
+    def search(n, *paths):
+        hits = [{"title": "T", "externalPath": p} for p in paths]
+        body = json.dumps({"jobPostings": hits, "total": len(hits)})
+        return (f"s{n}", "acme", f"q{n}", 1, None, body, "workday", f"f{n}", None)
+
+    def detail(n, path, title, day):
+        info = {"title": title, "externalUrl": f"https://x/{path}", "jobReqId": path}
+        at = dt.datetime(2026, 1, day)
+        body = json.dumps({"jobPostingInfo": info})
+        return (f"d{n}", "acme", None, None, path, body, "workday", None, at)
+
+    schema = (
+        "payload_id string, slug string, query string, page int, path string, body string, "
+        "source string, fetch_id string, fetched_at timestamp"
+    )
+    steps = [
+        [search(1, "a", "b", "b"), search(2, "c"), (*search(3, "a")[:1], None, *search(3, "a")[2:])],
+        [detail(1, "a", "old", 2), detail(2, "b", None, 2), detail(3, "z", "early", 2)],
+        [detail(4, "a", "new", 3), detail(5, "a", "older", 1), search(4, "a", "z")],
+    ]
+    read = []
+    for rows in steps:
+        payloads.land_payloads(spark.createDataFrame(rows, schema), landed, packed=True)
+        query = ingest.stream_ingest(
+            spark, landed, out, check, NOW(W.NOW), packed=True, fetches=True
+        )
+        query.awaitTermination()
+        read.append(sum(p["numInputRows"] for p in query.recentProgress))
+    got = spark.read.parquet(out).select("batch_id", "query", "title").collect()
+    # b has no title: what its query's fetch gives in that batch goes, "a" with it. c never had a detail.
+    assert sorted(map(tuple, got)) == [(2, "q4", "early"), (2, "q4", "new")]
+    # Three documents land each time; hits and details are two scans of them.
+    assert all(0 < n <= 2 * 3 for n in read)
+
+
 def split_stream(spark, feed, path, halves):
     """The feed's postings as files that arrive one by one."""
     rows = feed[0].where(halves[0])

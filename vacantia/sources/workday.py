@@ -63,8 +63,8 @@ def workday_stubs(payloads: DataFrame, max_results: int | None = None) -> DataFr
     )
 
 
-def workday_details(payloads: DataFrame) -> DataFrame:
-    """Readable detail documents, keyed by tenant (``slug``) and external path."""
+def readable_details(payloads: DataFrame) -> DataFrame:
+    """Every readable copy of a detail document, keyed by tenant (``slug``) and external path."""
     details = payloads.where((F.col("source") == "workday") & F.col("path").isNotNull())
     docs = details.select(
         F.col("slug").alias("d_slug"),
@@ -74,17 +74,24 @@ def workday_details(payloads: DataFrame) -> DataFrame:
         wrapped(F.col("body"), S.WORKDAY_DETAIL_DOC).alias("docs"),
     )
     # The generator keeps the filter above the parse.
-    readable = docs.select(
+    return docs.select(
         "d_slug",
         "d_path",
         "payload_id",
         "fetched_at",
         F.explode_outer(F.array(only(F.col("docs"))["jobPostingInfo"])).alias("info"),
     ).where(F.col("info").isNotNull())
-    # A path landed twice still completes each stub once, by its latest copy.
+
+
+def workday_details(payloads: DataFrame) -> DataFrame:
+    """The latest readable copy of each detail document.
+
+    A path landed twice still completes each stub once.
+    """
     same_path = Window.partitionBy("d_slug", "d_path").orderBy(F.desc("fetched_at"), "payload_id")
     return (
-        readable.withColumn("copy", F.row_number().over(same_path))
+        readable_details(payloads)
+        .withColumn("copy", F.row_number().over(same_path))
         .where(F.col("copy") == 1)
         .drop("copy", "payload_id", "fetched_at")
     )
@@ -117,10 +124,26 @@ def workday_hydrate(
     whole = wanted.join(
         failed, [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in query], "left_anti"
     )
+    return completed(whole.join(details, same_job), boards, company)
+
+
+def whole_fetches(met: DataFrame) -> DataFrame:
+    """Stubs with their detail's ``info``, without those of a fetch that met an untitled one.
+
+    ``met`` is a written table, as it is read twice.
+    """
+    query = ["slug", "query", "fetch_id"]
+    untitled = met.where(F.col("info")["title"].isNull())
+    failed = untitled.select(*[F.col(k).alias(f"f_{k}") for k in query]).distinct()
+    return met.join(failed, [F.col(k).eqNullSafe(F.col(f"f_{k}")) for k in query], "left_anti")
+
+
+def completed(met: DataFrame, boards: DataFrame, company: Column | None = None) -> DataFrame:
+    """Postings, text in ``body_parts``, of stubs beside their detail's ``info``."""
     sites = boards.select(
         F.col("tenant").alias("b_tenant"), "site", "host", F.col("company").alias("b_company")
     )
-    rows = whole.join(details, same_job).join(sites, F.col("slug") == F.col("b_tenant"), "left")
+    rows = met.join(sites, F.col("slug") == F.col("b_tenant"), "left")
     info = F.col("info")
     source_id = fields.workday_source_id(F.col("slug"), info)
     place = F.coalesce(info["location"], F.lit(""))

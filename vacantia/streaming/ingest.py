@@ -6,16 +6,19 @@ import datetime as dt
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from vacantia import fixed_values as V
 from vacantia.operators import dedup
 from vacantia.operators.store import KeyedStore, new_run
 from vacantia.session import new_work_dir, use_utc, written
 from vacantia.sources import registry
-from vacantia.sources.normalise import combine_sources, reject_table
+from vacantia.sources.normalise import combine_sources, described, reject_table
 from vacantia.sources.payloads import payload_scan
+from vacantia.sources.workday import completed, whole_fetches
+from vacantia.streaming.hydration import hydrated_hits, use_rocksdb
 
+_ONE_STAGE = [source for source in V.SOURCES if source != "workday"]
 _COMMIT = "batch_id long, run string"
 
 
@@ -37,48 +40,43 @@ def stream_ingest(
     packed: bool = False,
     fetches: bool = False,
     quarantine: bool = False,
+    keep: dt.timedelta | None = None,
 ) -> StreamingQuery:
     """New landed files become postings under ``out``, one folder per micro-batch.
 
     With ``quarantine`` the documents that cannot be used lie under ``out``-rejected, whole and with the
     reason; that is a second parse of what has just landed.
 
-    A replayed batch overwrites its own folder. The batch form of the normalisers is used, since
-    the two-stage source joins search and detail documents. Those may land in any order: they are
-    kept under ``out``-workday, a search meets the details landed until then, and a detail that is
-    the first of its path meets the searches landed before it.
+    A replayed batch overwrites its own folder. Search hits and details of the two-stage source may
+    land in any order: they meet in the state store (`hydrated_hits`; ``keep`` bounds how long one waits
+    for the other), and no earlier document is read again. A detail without a title fails what its hits'
+    fetches give in the micro-batch in which they meet; postings written before stay.
     """
-    use_utc(spark)
+    use_rocksdb(use_utc(spark))
     boards, sites = registry.boards(spark), registry.workday_boards(spark)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         # The documents are read once per normaliser branch, so they are written first.
         path = new_work_dir(spark, f"ingest-{batch_id}")
         landed_now = written(batch, path, partition_by="source")
+        documents = landed_now.where("hit is null").drop("hit", "info")
         if quarantine:
-            rejected = reject_table(landed_now, body=True)
+            rejected = reject_table(documents, body=True)
             rejected.write.mode("overwrite").parquet(f"{out}-rejected/batch_id={batch_id}")
-        kept = f"{out}-workday"
-        two_stage = landed_now.where("source = 'workday'")
-        two_stage.write.mode("overwrite").parquet(f"{kept}/batch_id={batch_id}")
-        # The folder exists, as this batch is in it.
-        schema = T.StructType([*landed_now.schema.fields, T.StructField("batch_id", T.LongType())])
-        earlier = spark.read.schema(schema).parquet(kept).where(F.col("batch_id") < batch_id)
-        earlier = earlier.drop("batch_id")
-        old_details = earlier.where("path is not null")
-        first_details = two_stage.where("path is not null").join(
-            old_details.select("slug", "path"), ["slug", "path"], "left_anti"
-        )
-        postings = combine_sources(landed_now.unionByName(old_details), boards, sites)
-        late = combine_sources(
-            earlier.where("path is null").unionByName(first_details), boards, sites
+        met = landed_now.where("source = 'workday' and hit is not null").select("hit.*", "info")
+        postings = combine_sources(documents, boards, sources=_ONE_STAGE).unionByName(
+            described(completed(whole_fetches(met), sites))
         )
-        postings = postings.unionByName(late)
         postings.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
 
-    stream = payload_scan(
+    landed_docs = payload_scan(
         spark, landed, fetched_at, streaming=True, packed=packed, fetches=fetches
     )
+    met = hydrated_hits(landed_docs, keep)
+    hit = F.struct(*[c for c in met.columns if c != "info"]).alias("hit")
+    met = met.select("source", hit, "info")
+    documents = landed_docs if quarantine else landed_docs.where("source <> 'workday'")
+    stream = documents.unionByName(met, allowMissingColumns=True)
     return _start(stream, handle, checkpoint, interval)
 
 
