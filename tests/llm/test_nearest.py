@@ -87,6 +87,37 @@ def test_blocks_change_nothing(spark, monkeypatch):
     assert answers(A.search(spark, df, F.col("vec_id") % 20 == 0)) == whole
 
 
+def test_index_grows_until_the_target_is_reached(monkeypatch):
+    """Too few tables and probes: more tables, then coarser buckets, and recall on other queries follows."""
+    monkeypatch.setattr(A, "TABLES", 4)
+    monkeypatch.setattr(A, "MOST_PROBES", 8)
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(4_000, 16))
+    longest = np.linalg.norm(rows, axis=1).max()
+    narrow = A.Rotations(16, longest, 2, 4)
+    assert A.fitted_probes(rows, len(rows), narrow) is None
+    rotations, probes = A.fitted(rows, len(rows), longest, 2)
+    assert (rotations.tables, rotations.hashes) != (4, 2)
+    queries = rng.normal(size=(200, 16))
+    near = np.argsort(-(queries @ rows.T), axis=1)[:, : A.NEIGHBOURS]
+    hit = np.zeros(near.shape, bool)
+    as_rows, as_queries = rotations.units(rows, False), rotations.units(queries, True)
+    for t in range(rotations.tables):
+        held, probed = rotations.buckets(as_rows, t)[near], rotations.probes(as_queries, t, probes)
+        hit |= (held[:, :, None] == probed[:, None, :]).any(axis=2)
+    assert hit.mean() >= 0.9
+
+
+def test_what_no_index_reaches_is_exact(spark, monkeypatch):
+    monkeypatch.setattr(A, "TARGET", 1.1)
+    rows = [r for r in odd_rows() if r[0] != 306]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got, want = answers(A.search(spark, df, F.col("vec_id") % 20 == 0)), brute(rows)
+    assert {q: [v for v, _ in near] for q, near in got.items()} == {
+        q: [v for v, _ in near] for q, near in want.items()
+    }
+
+
 def test_fewer_rows_than_neighbours(spark):
     rows = [(n, [1.0, float(n)], 0) for n in range(4)]
     got = answers(A.search(spark, spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 20 == 0))

@@ -6,7 +6,9 @@ Hadamard transform, and hashed to the signed axis nearest to it. Each of TABLES
 of its own and joins ``hashes`` such axes to a bucket; their number grows with the logarithm of the
 row count, so that buckets keep their size. A query looks into the buckets that its rotated vector
 comes closest to. How many per table is fitted on a bounded sample (SAMPLE rows, the smallest hashes)
-until the share of true neighbours found reaches TARGET; every row is indexed.
+until the share of true neighbours found reaches TARGET; every row is indexed. Where MOST_PROBES do
+not reach it there are twice as many tables, then four times, then one axis less to a bucket; what no
+such index reaches is answered by one table of which every bucket is visited, which is exact.
 
 Equal vectors are hashed once and keep the ids that a result can name. A bucket of more than BLOCK
 vectors or queries is split into blocks, and every block of queries meets every block of vectors, so no bucket is capped and none is
@@ -120,8 +122,27 @@ def _small_products(each: int, parts: int) -> Iterator[tuple[int, ...]]:
     yield from sorted(product(side, repeat=parts), key=lambda c: np.prod(np.array(c) + 1))
 
 
-def fitted_probes(sample: np.ndarray, rows: int, rotations: Rotations) -> int:
-    """The fewest probes per table that find TARGET of the sample's neighbours.
+def fitted(
+    sample: np.ndarray, rows: int, longest: float, hashes: int
+) -> tuple[Rotations, int]:
+    """The first index, and probes per table, that find TARGET of the sample's neighbours.
+
+    Twice the tables cost twice the work, an axis less makes buckets larger by their number of axes, so
+    tables grow first.
+    """
+    size = sample.shape[1]
+    for parts in range(hashes, 0, -1):
+        for tables in (TABLES, 2 * TABLES, 4 * TABLES):
+            rotations = Rotations(size, longest, parts, tables)
+            probes = fitted_probes(sample, rows, rotations)
+            if probes is not None:
+                return rotations, probes
+    whole = Rotations(size, longest, 1, 1)
+    return whole, 2 * whole.width
+
+
+def fitted_probes(sample: np.ndarray, rows: int, rotations: Rotations) -> int | None:
+    """The fewest probes per table that find TARGET of the sample's neighbours; none if MOST_PROBES do not.
 
     Neighbours are as rare in the sample as the wanted ones are among all rows, one at least, so the
     fit is on neighbours that are as far away or farther.
@@ -141,7 +162,7 @@ def fitted_probes(sample: np.ndarray, rows: int, rotations: Rotations) -> int:
         place = np.where(hit.any(axis=2), hit.argmax(axis=2), MOST_PROBES)
         first_probe = np.minimum(first_probe, place)
     share = [(first_probe < p).mean() for p in range(1, MOST_PROBES + 1)]
-    return next((p for p, s in enumerate(share, 1) if s >= TARGET), MOST_PROBES)
+    return next((p for p, s in enumerate(share, 1) if s >= TARGET), None)
 
 
 def _as_matrix(column: pa.Array, size: int) -> np.ndarray:
@@ -310,9 +331,8 @@ def search(
     n, longest = classes.agg(F.count("*"), F.sqrt(F.max(square))).first()
     width = 2 << max(1, size).bit_length()
     hashes = max(1, round(float(np.log(max(n, 2) / BUCKET) / np.log(width))))
-    rotations = Rotations(size, longest, hashes)
     sample = classes.orderBy(F.xxhash64("key"), "key").limit(SAMPLE).select("vector").collect()
-    probes = fitted_probes(np.array([r[0] for r in sample]), n, rotations)
+    rotations, probes = fitted(np.array([r[0] for r in sample]), n, longest, hashes)
     asking = classes.where("asks")
     found = written(
         _best_in_blocks(
