@@ -296,6 +296,15 @@ def test_cap_per_query(land, pages, cap, expected):
     assert [int(r["source_id"]) for r in got] == list(range(expected))
 
 
+def test_capped_documents_are_parsed_once(land):
+    """What is left to run reads the written sizes and items; no document is parsed for it."""
+    docs = land("adzuna", page(0, 50), page(50, 10), page=[1, 2], query=["q"] * 2)
+    capped = normalise.extract(docs, "adzuna", max_results=55)
+    left = capped._jdf.queryExecution().executedPlan().toString()
+    assert "from_json" not in left and "FileScan parquet" in left
+    assert capped.count() == 55
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_each_fetch_has_its_own_cap_status_and_time(land, spark, tmp_path, packed):
     later = NOW + dt.timedelta(days=1)
