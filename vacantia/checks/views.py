@@ -73,10 +73,19 @@ def postings(
     n_companies, n_roles = (t.agg(F.count(F.lit(1))).scalar() for t in (companies, roles))
     # One company has a third of all postings, and the others share the rest.
     company = F.when(d % 3 == 1, 0).otherwise(d % n_companies)
+    # The keys are columns before they are join keys: a broadcast of the documents would evaluate a key
+    # with a subquery in it while the subquery still runs.
+    docs = docs.withColumns(
+        {
+            "company_key": company,
+            "role_key": _div(d, 7) % n_roles,
+            "order_key": (d * ORDER_STEP) % n_orders,
+        }
+    )
     joined = (
-        docs.join(companies, F.col("s_suppkey") == company)
-        .join(roles, F.col("p_partkey") == _div(d, 7) % n_roles)
-        .join(orders, F.col("o_orderkey") == (d * ORDER_STEP) % n_orders)
+        docs.join(companies, F.col("s_suppkey") == F.col("company_key"))
+        .join(roles, F.col("p_partkey") == F.col("role_key"))
+        .join(orders, F.col("o_orderkey") == F.col("order_key"))
     )
     source = pick(V.SOURCES, d % 7)
     source_id = F.when(d % 10 == 9, d - 7).otherwise(d).cast("string")
