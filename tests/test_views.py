@@ -1,13 +1,17 @@
-"""The posting-shaped views at sizes that change Spark's plan."""
+"""The posting-shaped views, and what queries land of them, where size matters."""
 
+from glob import glob
+
+import pytest
 from pyspark.sql import functions as F
 
+from vacantia.checks import queries as Q
 from vacantia.checks import views as W
 
 
-def _tables(spark, folder):
-    docs = spark.range(30).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
-    docs.write.parquet(f"{folder}/documents.parquet")
+def _tables(spark, folder, n_docs=30):
+    docs = spark.range(n_docs).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    docs.repartition(4).write.parquet(f"{folder}/documents.parquet")
     names = F.concat(F.lit("n"), F.col("id").cast("string"))
     for table, key, name, n in (
         ("supplier", "s_suppkey", "s_name", 4),
@@ -26,3 +30,16 @@ def test_documents_may_be_the_side_that_is_broadcast(spark, tmp_path):
     rows = W.postings(spark, sf, documents=small).select("seq", "job_id").collect()
     usual = W.postings(spark, sf).select("seq", "job_id").collect()
     assert sorted(rows) == sorted(usual) and len(rows) == 30
+
+
+@pytest.fixture
+def work(monkeypatch, tmp_path):
+    monkeypatch.setattr(Q, "new_work_dir", lambda spark, label: f"{tmp_path}/work/{label}")
+    return f"{tmp_path}/work"
+
+
+def test_scanned_documents_share_files(spark, tmp_path, work):
+    sf = _tables(spark, tmp_path, 300)
+    n = Q.payload_scan(spark, sf).count()
+    files = glob(f"{work}/landed/**/part-*", recursive=True)
+    assert n == 6 * 3 + 1 + 43 and 0 < len(files) < n / 2

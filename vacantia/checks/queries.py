@@ -85,8 +85,9 @@ def _field(df: DataFrame, *columns: str) -> DataFrame:
 @query
 def payload_scan(spark: SparkSession, sf: str) -> DataFrame:
     path = new_work_dir(spark, "landed")
-    payloads.land_payloads(_docs(spark, sf), path)
-    return payloads.payload_scan(spark, path, F.lit(W.NOW)).select(
+    # Packed: with a file per document, files, folders and their listing are what takes the time.
+    payloads.land_payloads(_docs(spark, sf), path, packed=True)
+    return payloads.payload_scan(spark, path, F.lit(W.NOW), packed=True).select(
         "source", "slug", "query", long("page").alias("page"), "path",
         F.trim("body").startswith("{").alias("is_object"),
         at_text(F.col("fetched_at")).alias("fetched_at"),
