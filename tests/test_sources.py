@@ -422,3 +422,17 @@ def test_a_run_over_some_sources_opens_no_other_folder(spark, tmp_path):
             normalise.combine_sources(docs, boards, sites, sources=bad)
     with pytest.raises(ValueError, match="its boards"):
         normalise.combine_sources(docs, boards, sources=["workday"])
+
+
+def test_a_rejected_document_is_parsed_once(spark):
+    schema = (
+        "payload_id string, source string, slug string, query string, page int, path string, "
+        "fetched_at timestamp, body string"
+    )
+    # A kind per source, and the details of the two-stage one.
+    kinds = len(normalise.BOARD_SOURCES) + 2
+    docs = spark.createDataFrame([("a", "lever", "s", None, 1, None, None, "[{}]")], schema)
+    rejected = normalise.reject_table(docs.repartition(2))
+    plan = rejected._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == kinds
+    assert [(r.payload_id, r.reason, r.position) for r in rejected.collect()] == [("a", "field", 0)]

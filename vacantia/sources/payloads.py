@@ -184,7 +184,9 @@ def with_items(
 def rejects(documents: DataFrame) -> DataFrame:
     """The failed documents, with reason, position and field."""
     kept = [c for c in documents.columns if c not in ("items", "reject")]
-    return documents.where(F.col("reject").isNotNull()).select(*kept, "reject.*")
+    # The generator keeps the filter, and a parse for each mention of the document in it, above the parse.
+    found = documents.select(*kept, F.explode_outer(F.array("reject")).alias("reject"))
+    return found.where(F.col("reject").isNotNull()).select(*kept, "reject.*")
 
 
 def item_rows(documents: DataFrame) -> DataFrame:
