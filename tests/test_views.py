@@ -43,3 +43,22 @@ def test_scanned_documents_share_files(spark, tmp_path, work):
     n = Q.payload_scan(spark, sf).count()
     files = glob(f"{work}/landed/**/part-*", recursive=True)
     assert n == 6 * 3 + 1 + 43 and 0 < len(files) < n / 2
+
+
+def test_backlog_arrives_in_as_many_files_as_tasks(spark, tmp_path, work, monkeypatch):
+    sf = _tables(spark, tmp_path, 300)
+    landed, write = [], Q.written
+
+    class Run:
+        def awaitTermination(self):
+            landed.append(len(glob(f"{work}/drain/arriving/part-*")))
+
+    monkeypatch.setattr(Q, "stream_run", lambda *args, **knobs: Run())
+    monkeypatch.setattr(Q, "written", lambda df, path: write(df.repartition(4), path))
+    monkeypatch.setattr(Q, "_seeded_store", lambda spark, rows: Q._new_store(spark))
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")  # a file is a task
+    try:
+        Q.stream_backlog(spark, sf)
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert landed == [4 * n for n in range(1, 9)]

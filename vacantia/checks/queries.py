@@ -1057,19 +1057,20 @@ def stream_backlog(spark: SparkSession, sf: str) -> DataFrame:
     n = rows.count()
     bounds = rows.approxQuantile("seq", [k / 8 for k in range(1, 8)], 0.0)
     part = sum((F.when(F.col("seq") > b, 1).otherwise(0) for b in bounds), F.lit(0))
-    for k in range(8):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(f"{work}/arriving")
-    arriving = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1)
+    arriving = spark.readStream.schema(rows.schema).parquet
     stored = _seeded_store(spark, rows)
-    stream_run(
-        spark,
-        arriving.parquet(f"{work}/arriving"),
-        stored,
-        f"{work}/out",
-        f"{work}/checkpoint",
-        replies=W.replies(spark, sf),
-        **_knobs() | {"max_score_per_run": n // 3},
-    ).awaitTermination()
+    for k in range(8):
+        # As many files as tasks, so that none reads a whole landing; what has landed is one micro-batch.
+        rows.where(part == k).write.mode("append").parquet(f"{work}/arriving")
+        stream_run(
+            spark,
+            arriving(f"{work}/arriving"),
+            stored,
+            f"{work}/out",
+            f"{work}/checkpoint",
+            replies=W.replies(spark, sf),
+            **_knobs() | {"max_score_per_run": n // 3},
+        ).awaitTermination()
     return _store_rows(stored.read()).select(
         "job_id", "status", "fit_score", "location_tier", "skip_reason"
     )
