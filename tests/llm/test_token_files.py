@@ -33,6 +33,24 @@ def test_encoder_equals_the_library(plain):
         assert got == [plain(t) for t in texts]
 
 
+def test_runs_are_cut_where_the_pattern_cuts(plain):
+    """Parts are cut into runs of letters, of signs and line feeds; each run is encoded once."""
+    texts = [
+        "x one,two &&x12 (a) don't 'll a'll s's", "x one.\nTwo\n\nthree a\n b.\n", "x a\nb\n", "x ²a é1Ω,жÀ×÷",
+        "x éa\u0301b a٣b 日,a ab日", "x <|endoftext|>,a a\r\nb \x00a a\x7f a\x85b", "a b ", "a \n ", "nospace,at,all\nb",
+    ]
+    encoder = tokens.Encoder(tokens.BYTE_BPE)
+    got = [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)]
+    assert got == [plain(t) for t in texts]
+    # What signs stand around a run does not make it new.
+    known, tokenize, asked = set(encoder._recent), encoder._model.tokenize, []
+    encoder._model = type("Model", (), {"tokenize": lambda _, w: asked.append(w) or tokenize(w)})()
+    assert np.frombuffer(encoder.encode(["x one; (neu one:neu"])[0], "<u4").tolist() == plain(
+        "x one; (neu one:neu"
+    )
+    assert " one" in known and asked == ["neu"]
+
+
 def test_memory_is_bounded(plain, monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 50)
     encoder = tokens.Encoder(tokens.BYTE_BPE)

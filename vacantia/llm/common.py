@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,9 @@ from vacantia.session import new_work_dir, use_utc, written
 #: White space between words, as a regular expression of the JVM.
 SPACE = r"[\x20\x09-\x0D]+"
 
-__all__ = ["SPACE", "crc_fold", "new_work_dir", "prepared", "slices", "table", "words", "written"]
+__all__ = [
+    "SPACE", "crc_fold", "gathered", "new_work_dir", "prepared", "slices", "table", "words", "written",
+]
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -54,3 +57,24 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000
             held += size + 1
         if start < batch.num_rows:
             yield batch.slice(start)
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, most: int = 4_000_000):
+    """Arrow batches put together, or cut, into ones of about ``most`` bytes of ``column``."""
+    held, size = [], 0
+    for part in slices(batches, column, most):
+        # Counted by offsets: a slice's buffers are those of its whole batch.
+        own = pc.sum(pc.binary_length(part.column(column))).as_py() or 0
+        if held and size + own > most:
+            yield _together(held)
+            held, size = [], 0
+        held.append(part)
+        size += own
+    if held:
+        yield _together(held)
+
+
+def _together(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    if len(batches) == 1:
+        return batches[0]
+    return pa.Table.from_batches(batches).combine_chunks().to_batches()[0]

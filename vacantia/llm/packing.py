@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import new_work_dir, slices, table, written
+from vacantia.llm.common import gathered, new_work_dir, table, written
 from vacantia.llm.tokens import BYTE_BPE, END_ID, encoder
 
 SEQUENCE = 2048
@@ -53,7 +53,7 @@ def pieces(
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path).encode
-        for part in slices(batches, "text", 2_000_000):
+        for part in gathered(batches, "text"):
             found = encode([t or "" for t in part.column("text").to_pylist()])
             rows = []
             for n, ids in enumerate(found):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import new_work_dir, slices, table
+from vacantia.llm.common import gathered, new_work_dir, table
 from vacantia.llm.tokens import BYTE_BPE, END_ID, encoder
 
 ROW_GROUP_BYTES = 16 << 20
@@ -52,7 +52,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str = BYTE_BPE) -> None
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, before = encoder(vocabulary).encode, 0
         end = np.array([END_ID], "<u4").tobytes()
-        for part in slices(batches, "text", 2_000_000):
+        for part in gathered(batches, "text"):
             found = encode([t or "" for t in part.column("text").to_pylist()])
             sizes = np.fromiter((len(f) // 4 + 1 for f in found), np.int64, len(found))
             ends = np.cumsum(sizes)

@@ -2,25 +2,42 @@
 
 A byte-level BPE never merges across the pieces its pattern cuts a text into, and a space before a
 visible character always starts such a piece. So the parts of a text between single spaces encode on
-their own, and a part seen before need not be encoded again. New parts of a batch are joined by line
-feeds and encoded in one call; the line feed's id, which stands between them alone, cuts the result.
-Texts with runs of spaces, where that does not hold, are encoded whole.
+their own, and a part seen before need not be encoded again: a batch's parts are dictionary-encoded by
+Arrow, its distinct ones looked up, and the ids taken back by index.
+
+A new part made of letters and ASCII signs alone is cut on, where the pattern cuts it too: into runs of
+letters, runs of signs and single line feeds. The library's model encodes each run of letters that is
+not remembered, without searching for the pattern again. Other new parts are joined by line feeds and
+encoded in one call; the line feed's id, which stands between them alone, cuts the result. Texts with
+runs of spaces or spaces at an end, where that does not hold, are encoded whole.
 """
 
 from __future__ import annotations
 
+import json
 import os
+import re
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 #: Vocabulary file; it is read where the tasks run.
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
-#: A Python worker remembers about this many parts, in each of two generations.
-REMEMBERED = 500_000
+#: A Python worker remembers about this many parts and runs, in each of two generations.
+REMEMBERED = 250_000
+
+#: Ranges that hold nothing but letters (Latin, Greek, Cyrillic), and visible ASCII but letters and
+#: the apostrophe, which the pattern may take together with letters after it.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏΑ-ΡΣ-ώЀ-ҁҊ-ԯ"
+_SIGNS = r"!-&(-@\[-`{-~"
+_CUTTABLE = rf"\A [{_LETTERS}{_SIGNS}]+(?:\n[{_LETTERS}{_SIGNS}]+)*\z"  # for Arrow
+_RUN = re.compile(rf" ?[{_LETTERS}]+| ?[{_SIGNS}]+|\n")
 
 
 @cache
@@ -40,6 +57,7 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
+        self._model = self._tokenizer.model
         self._recent: dict[str, bytes] = {}
         self._older: dict[str, bytes] = {}
         self._line_feed = self._ids("\n")
@@ -47,6 +65,17 @@ class Encoder:
         self._cuts = len(self._line_feed) == 4 and self._ids("\n a") == self._line_feed + self._ids(
             " a"
         )
+        with open(path, encoding="utf-8") as file:
+            steps = json.load(file)
+        cutting = steps["pre_tokenizer"] or {}
+        #: The pattern is the byte-level one, on texts as they are.
+        self._runs = (
+            steps["normalizer"] is None
+            and cutting.get("type") == "ByteLevel"
+            and cutting.get("use_regex", True)
+            and not cutting["add_prefix_space"]
+        )
+        self._as_bytes = _AsBytes(self._tokenizer)
 
     def _ids(self, text: str) -> bytes:
         found = self._tokenizer.encode(text, add_special_tokens=False).ids
@@ -54,57 +83,112 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without an end."""
-        split = [
-            t.split(" ") if self._cuts and "  " not in t and t[:1] != " " else None for t in texts
+        if not texts:
+            return []
+        apart = [
+            self._cuts and "  " not in t and t[:1] != " " and t[-1:] != " " for t in texts
         ]
-        firsts = [parts[0] for parts in split if parts]
-        wanted: set[str] = set()
-        for parts in split:
-            if parts:
-                wanted.update(parts[1:])
-        known = self._remembered(wanted)
-        head = self._plain(firsts)
-        whole = self._plain([t for t, parts in zip(texts, split, strict=True) if parts is None])
-        get = known.__getitem__
-        out, first, other = [], iter(head), iter(whole)
-        for parts in split:
-            if parts is None:
-                out.append(next(other))
-            else:
-                out.append(next(first) + b"".join(map(get, parts[1:])))
-        return out
+        split = pc.split_pattern(
+            pa.array([t if a else "" for t, a in zip(texts, apart, strict=True)], pa.string()), " "
+        )
+        starts = split.offsets.to_numpy()[:-1]
+        coded = split.values.dictionary_encode()
+        index = coded.indices.to_numpy()
+        # A text's first part has no space before it and is no other's.
+        firsts = coded.dictionary.take(coded.indices.take(pa.array(starts))).to_pylist()
+        times = np.bincount(index, minlength=len(coded.dictionary))
+        np.subtract.at(times, index[starts], 1)
+        used = np.flatnonzero(times)
+        place = np.zeros(len(times), np.int64)
+        place[used] = np.arange(len(used))
+        index = place[index]
+        index[starts] = len(used) + np.arange(len(texts))
+        parts = coded.dictionary.take(pa.array(used))
+        found = self._remembered(pc.binary_join_element_wise("", parts, " ").to_pylist())
+        found += self._plain([f if a else t for t, f, a in zip(texts, firsts, apart, strict=True)])
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lists = pa.LargeListArray.from_arrays(
+            pa.array(np.concatenate(([0], np.cumsum(sizes)))),
+            pa.array(np.frombuffer(b"".join(found), "<u4")),
+        )
+        data = lists.take(pa.array(index)).flatten().to_numpy().tobytes()
+        ends = (4 * np.cumsum(np.add.reduceat(sizes[index], starts))).tolist()
+        return [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in found]
 
-    def _remembered(self, wanted: set[str]) -> dict[str, bytes]:
-        """Ids of each part with the space before it; a trailing empty part is a lone space."""
+    def _remembered(self, parts: list[str]) -> list[bytes]:
+        """Ids of each part, which has the space before it."""
         if len(self._recent) > REMEMBERED:
             self._recent, self._older = {}, self._recent
-        known, older = self._recent, self._older
-        missing = wanted - known.keys()
-        back = missing & older.keys()
-        known.update(zip(back, map(older.__getitem__, back), strict=True))
-        new = missing - back
-        simple = [p for p in new if p and "\n" not in p and not p.isspace()]
-        other = [p for p in new if not p or "\n" in p or p.isspace()]
-        cut = np.frombuffer(self._line_feed, "<u4")[0]
-        for start in range(0, len(simple), 2_000):
-            group = simple[start : start + 2_000]
-            joined = "\n " + "\n ".join(group)
+        known = self._recent
+        new = self._not_known(parts)
+        if self._runs and new:
+            plain = pc.match_substring_regex(pa.array(new, pa.string()), _CUTTABLE).to_pylist()
+            cut = [p for p, is_plain in zip(new, plain, strict=True) if is_plain]
+            new = [p for p, is_plain in zip(new, plain, strict=True) if not is_plain]
+            runs = list(map(_RUN.findall, cut))
+            self._learn(self._not_known(set(chain.from_iterable(runs))))
+            get = known.__getitem__
+            known.update((p, b"".join(map(get, r))) for p, r in zip(cut, runs) if len(r) > 1)
+        self._learn_joined([p for p in new if "\n" not in p and not p.isspace()])
+        blank = [p for p in new if "\n" in p or p.isspace()]
+        known.update(zip(blank, self._plain(blank), strict=True))
+        return list(map(known.__getitem__, parts))
+
+    def _not_known(self, wanted: list[str] | set[str]) -> list[str]:
+        """Of ``wanted`` what is not remembered; what is so from long ago is recent again."""
+        known, older, new = self._recent, self._older, []
+        for one in wanted:
+            if one not in known:
+                ids = older.get(one)
+                if ids is None:
+                    new.append(one)
+                else:
+                    known[one] = ids
+        return new
+
+    def _learn(self, runs: list[str]) -> None:
+        """Runs of letters by the model, all others by the whole tokenizer."""
+        letters = [r for r in runs if r[-1].isalpha()]
+        found, sizes, tokenize, as_bytes = [], [], self._model.tokenize, self._as_bytes
+        for run in letters:
+            tokens = tokenize(run.translate(as_bytes))
+            found += [t.id for t in tokens]
+            sizes.append(4 * len(tokens))
+        data, ends = np.array(found, "<u4").tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
+        for run, size, end in zip(letters, sizes, ends, strict=True):
+            self._recent[run] = data[end - size : end]
+        others = [r for r in runs if not r[-1].isalpha()]
+        self._recent.update(zip(others, self._plain(others), strict=True))
+
+    def _learn_joined(self, parts: list[str]) -> None:
+        known, cut = self._recent, np.frombuffer(self._line_feed, "<u4")[0]
+        for start in range(0, len(parts), 2_000):
+            group = parts[start : start + 2_000]
+            joined = "\n" + "\n".join(group)
             ids = np.array(
                 self._tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4"
             )
             places = np.flatnonzero(ids == cut)
             if len(places) != len(group):  # a part whose own ids hold a line feed's
-                for part, found in zip(group, self._plain([f" {p}" for p in group]), strict=True):
-                    known[part] = found
+                known.update(zip(group, self._plain(group), strict=True))
                 continue
             ends = np.append(places[1:], len(ids)).tolist()
             data = ids.tobytes()
             for part, a, b in zip(group, places.tolist(), ends, strict=True):
                 known[part] = data[4 * a + 4 : 4 * b]
-        for part, found in zip(other, self._plain([f" {p}" for p in other]), strict=True):
-            known[part] = found
-        return known
+
+
+class _AsBytes(dict):
+    """For ``str.translate``: characters as the model writes their bytes, told by the tokenizer."""
+
+    def __init__(self, tokenizer: Tokenizer):
+        self._cutting = tokenizer.pre_tokenizer
+
+    def __missing__(self, character: int) -> str:
+        found = self._cutting.pre_tokenize_str(chr(character))
+        self[character] = "".join(text for text, _ in found)
+        return self[character]
