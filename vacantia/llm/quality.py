@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import new_work_dir, table, words, written
+from vacantia.llm.common import SPACE, new_work_dir, table, words, written
 
 # --- fixed values: common words by language ------------------------------------------
 COMMON_WORDS = {
@@ -82,20 +82,24 @@ def _measured(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
         F.filter(F.split(text, "\n"), lambda s: s.rlike(NOT_SPACE)).alias("lines"),
     )
     common = sorted({w for group in COMMON_WORDS.values() for w in group})
-    counted = split.select(
+    # The classes share no character, so each is counted in what the ones before it have left: small
+    # letters go first, and the other patterns see the rest of the text only.
+    rest, patterns = split.withColumn("rest", F.col("text")), (*CHAR_CLASSES, LEFT_OUT)
+    for n, pattern in enumerate(patterns):
+        rest = rest.withColumn("less", F.regexp_replace("rest", pattern, ""))
+        rest = rest.withColumn(f"class{n}", F.length("rest") - F.length("less"))
+        rest = rest.drop("rest").withColumnRenamed("less", "rest")
+    counted = rest.select(
         "doc_id",
         "lang",
         "row",
         F.size("words").alias("n_words"),
-        F.length(F.array_join("words", "")).cast("long").alias("word_chars"),
+        (F.length("text") - F.col(f"class{CHAR_CLASSES.index(SPACE)}"))
+        .cast("long")
+        .alias("word_chars"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.length("text").alias("n_text"),
-        F.array(
-            *[
-                F.length("text") - F.length(F.regexp_replace("text", p, ""))
-                for p in (*CHAR_CLASSES, LEFT_OUT)
-            ]
-        ).alias("classes"),
+        F.array(*[F.col(f"class{n}") for n in range(len(patterns))]).alias("classes"),
         F.concat(
             F.lit(" "),
             F.array_join(
