@@ -4,6 +4,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -145,3 +146,21 @@ def test_trained_states_predict_held_out_order(spark):
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     gain = score(spark, frame).where("held_out").agg(F.avg(F.col("score") - F.col("base_score")))
     assert gain.first()[0] > 5
+
+
+def test_words_are_split_at_ascii_white_space_only():
+    texts = ["", " \n", "Ab  aB\x0b\x0cÄB c d\u0085e \x1cf", "\tx X\r", "ÀÉ i̇ İI"]
+    text, place, distinct = H._words(pa.array(["cut off", *texts]).slice(1))
+    words = distinct.to_pylist()
+    got = [[words[p] for t, p in zip(text, place, strict=True) if t == n] for n in range(len(texts))]
+    lower = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
+    assert got == [[w.decode() for w in t.encode().translate(lower).split()] for t in texts]
+
+
+def test_words_of_many_small_batches_are_counted_together():
+    """Before, every Arrow batch had rows of its own for the same words."""
+    batches = [pa.RecordBatch.from_pydict({"text": ["a B b", " "]}) for _ in range(5)]
+    got = [b.to_pylist() for b in H._counted(iter(batches))]
+    rows = {(r["word"], r["class"]): r["n"] for r in got[0]}
+    assert len(got) == 1 and len(got[0]) == 3
+    assert rows == {("a", 0): 5, ("b", 0): 10, (H.END, -1): 10}

@@ -20,15 +20,15 @@ of an empty text. Columns other than doc_id and text are passed by.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vacantia.llm.common import crc_fold, new_work_dir, slices, table, written
+from vacantia.llm.common import crc_fold, gathered, new_work_dir, slices, table, written
 
 OWN = 1_000
 FREQUENT = 50_000
@@ -37,6 +37,8 @@ ITERATIONS = 5
 SEGMENT = 2_048
 #: Added to expected counts, so that no transition or symbol becomes impossible.
 PRIOR = 0.05
+#: Bytes of text whose words are looked up together, each distinct one once.
+TOGETHER = 8_000_000
 #: Padded tokens of sequences that are run side by side.
 SIDE_BY_SIDE = 300_000
 
@@ -45,8 +47,6 @@ _LONGEST = 12
 CLASSES = _LONGEST * 3
 SYMBOLS = OWN + 1 + CLASSES
 
-_LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-
 
 def word_class(word: str) -> int:
     """By length, and whether a word is all letters, has a digit, or neither."""
@@ -54,23 +54,35 @@ def word_class(word: str) -> int:
     return (min(len(word), _LONGEST) - 1) * 3 + kind
 
 
-def _words(text: str) -> list[str]:
-    """A-Z in lower case, split at ASCII white space only; bytes do both without touching the rest."""
-    return [w.decode() for w in text.encode("utf-8", "replace").translate(_LOWER).split()]
+def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Text and place among the distinct words of every word, in order; and the distinct words.
+
+    A-Z in lower case, split at ASCII white space only.
+    """
+    split = pc.ascii_split_whitespace(pc.ascii_lower(texts))
+    coded = split.flatten().dictionary_encode()
+    text = np.repeat(np.arange(len(split)), split.value_lengths().to_numpy(zero_copy_only=False))
+    place = coded.indices.to_numpy()
+    # White space at an end of a text leaves an empty word there.
+    empty = pc.index(coded.dictionary, "").as_py()
+    if empty >= 0:
+        kept = place != empty
+        text, place = text[kept], place[kept]
+    return text, place, coded.dictionary
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """word, class, n for each few megabytes of texts; the end's class is -1."""
-    for part in slices(batches, "text"):
-        counts: Counter[str] = Counter()
-        for text in part.column("text").to_pylist():
-            counts.update(_words(text))
-        found = list(counts)
+    for part in gathered(batches, "text", TOGETHER):
+        _, place, distinct = _words(part.column("text"))
+        times = np.bincount(place, minlength=len(distinct))
+        there = np.flatnonzero(times)
+        found = distinct.take(pa.array(there)).to_pylist()
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([*found, END]),
                 pa.array([*map(word_class, found), -1], pa.int32()),
-                pa.array([*counts.values(), part.num_rows], pa.int64()),
+                pa.array(np.append(times[there], part.num_rows), pa.int64()),
             ],
             ["word", "class", "n"],
         )
@@ -140,44 +152,49 @@ _ENCODED = (
 def encode(docs: DataFrame, held_out: Column, lexicon: Lexicon) -> DataFrame:
     """row, doc_id, held_out and _ENCODED: a text as symbols, and its words outside the lexicon."""
     known, end = lexicon.known, (OWN, lexicon.base(lexicon.ends))
-    rare_type = pa.list_(
-        pa.struct([("word", pa.string()), ("class", pa.int32()), ("times", pa.int32())])
-    )
     seen_ends = int(lexicon.ends > 0)
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
-            rows = []
-            for text in part.column("text").to_pylist():
-                words, rare, symbols = _words(text), [], []
-                base = within = 0.0
-                for word in words:
-                    found = known.get(word)
-                    if found is None:
-                        rare.append(word)
-                        symbols.append(OWN + 1 + word_class(word))
-                    else:
-                        symbols.append(found[0])
-                        base += found[1]
-                        within += found[2]
-                symbols.append(OWN)
-                rows.append(
-                    (
-                        len(words) + 1,
-                        len(words) - len(rare) + seen_ends,
-                        base + end[1],
-                        within,
-                        np.array(symbols, "<u2").tobytes(),
+        for part in gathered(batches, "text", TOGETHER):
+            n = part.num_rows
+            text, place, distinct = _words(part.column("text"))
+            words = distinct.to_pylist()
+            kind = np.fromiter(map(word_class, words), np.int32, len(words))
+            unknown = (-1, 0.0, 0.0)
+            looked_up = np.array([known.get(w, unknown) for w in words]).reshape(-1, 3)
+            is_rare = looked_up[:, 0] < 0
+            symbol = np.where(is_rare, OWN + 1 + kind, looked_up[:, 0]).astype("<u2")
+            sizes = np.bincount(text, minlength=n)
+            ends = np.cumsum(sizes + 1)
+            symbols = np.full(ends[-1], OWN, "<u2")
+            symbols[np.arange(len(place)) + text] = symbol[place]
+            rare = is_rare[place]
+            pairs, times = np.unique(
+                text[rare] * len(words) + place[rare], return_counts=True
+            )
+            of, word = pairs // max(1, len(words)), pairs % max(1, len(words))
+            listed = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=n))))
+            columns = [
+                *[part.column(c) for c in ("row", "doc_id", "held_out")],
+                pa.array(sizes + 1, pa.int64()),
+                pa.array(sizes - np.bincount(text[rare], minlength=n) + seen_ends, pa.int64()),
+                pa.array(np.bincount(text, looked_up[place, 1], n) + end[1]),
+                pa.array(np.bincount(text, looked_up[place, 2], n)),
+                _binary(symbols, ends),
+                pa.ListArray.from_arrays(
+                    pa.array(listed, pa.int32()),
+                    pa.StructArray.from_arrays(
                         [
-                            {"word": w, "class": word_class(w), "times": n}
-                            for w, n in Counter(rare).items()
+                            distinct.take(pa.array(word)),
+                            pa.array(kind[word], pa.int32()),
+                            pa.array(times, pa.int32()),
                         ],
-                    )
-                )
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), rare_type)
-            made = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)]
+                        ["word", "class", "times"],
+                    ),
+                ),
+            ]
             yield pa.RecordBatch.from_arrays(
-                [*[part.column(c) for c in ("row", "doc_id", "held_out")], *made],
+                columns,
                 ["row", "doc_id", "held_out", *[x.split()[0] for x in _ENCODED.split(", ")]],
             )
 
@@ -190,6 +207,14 @@ def encode(docs: DataFrame, held_out: Column, lexicon: Lexicon) -> DataFrame:
     ).mapInArrow(encoded, f"row long, doc_id {id_type}, held_out boolean, {_ENCODED}")
 
 
+def _binary(symbols: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes of each run of symbols, given where the runs end."""
+    offsets = np.concatenate(([0], symbols.itemsize * ends)).astype(np.int32)
+    return pa.Array.from_buffers(
+        pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(symbols)]
+    )
+
+
 class Model:
     """Start, transition and emission probabilities; sequences of symbols run side by side."""
 
