@@ -112,3 +112,12 @@ def test_layout_of_the_files(spark):
         tuple(r) for r in spark.read.parquet(path).groupBy("part").agg(F.min("doc_id"), F.max("doc_id")).collect()
     )
     assert all(a[2] < b[1] for a, b in zip(spans, spans[1:], strict=False))
+
+
+def test_runs_are_written_as_bytes_together():
+    """All of a batch's runs at once, each as the library's own cutting writes it."""
+    runs = [" hend", "été", " Ωмир", "Ԯ", "zaÿ", " ɏԀ"]
+    whole = Tokenizer.from_file(tokens.BYTE_BPE)
+    cutting = whole.pre_tokenizer
+    want = ["".join(text for text, _ in cutting.pre_tokenize_str(r)) for r in runs]
+    assert tokens._as_bytes(whole)(runs) == want and tokens._as_bytes(whole)([]) == []

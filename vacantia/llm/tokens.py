@@ -14,11 +14,14 @@ runs of spaces or spaces at an end, where that does not hold, are encoded whole.
 
 from __future__ import annotations
 
+import codecs
+import gc
 import json
 import os
 import re
 from functools import cache
 from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import public_tokenizers
@@ -30,7 +33,7 @@ from tokenizers import Tokenizer
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 0
 #: A Python worker remembers about this many parts and runs, in each of two generations.
-REMEMBERED = 250_000
+REMEMBERED = 400_000
 
 #: Ranges that hold nothing but letters (Latin, Greek, Cyrillic), and visible ASCII but letters and
 #: the apostrophe, which the pattern may take together with letters after it.
@@ -75,7 +78,7 @@ class Encoder:
             and cutting.get("use_regex", True)
             and not cutting["add_prefix_space"]
         )
-        self._as_bytes = _AsBytes(self._tokenizer)
+        self._as_bytes = _as_bytes(self._tokenizer) if self._runs else None
 
     def _ids(self, text: str) -> bytes:
         found = self._tokenizer.encode(text, add_special_tokens=False).ids
@@ -85,6 +88,16 @@ class Encoder:
         """The ids of each text, without an end."""
         if not texts:
             return []
+        # Hundreds of thousands of strings are made and none refers to itself: no search for cycles.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str]) -> list[bytes]:
         apart = [
             self._cuts and "  " not in t and t[:1] != " " and t[-1:] != " " for t in texts
         ]
@@ -124,40 +137,39 @@ class Encoder:
         if len(self._recent) > REMEMBERED:
             self._recent, self._older = {}, self._recent
         known = self._recent
-        new = self._not_known(parts)
+        found = list(map(known.get, parts))
+        missing = [n for n, ids in enumerate(found) if ids is None]
+        new = self._not_recent([parts[n] for n in missing])
         if self._runs and new:
             plain = pc.match_substring_regex(pa.array(new, pa.string()), _CUTTABLE).to_pylist()
             cut = [p for p, is_plain in zip(new, plain, strict=True) if is_plain]
             new = [p for p, is_plain in zip(new, plain, strict=True) if not is_plain]
             runs = list(map(_RUN.findall, cut))
-            self._learn(self._not_known(set(chain.from_iterable(runs))))
+            distinct = set(chain.from_iterable(runs)).difference(known)
+            self._learn(self._not_recent(list(distinct)))
             get = known.__getitem__
             known.update((p, b"".join(map(get, r))) for p, r in zip(cut, runs) if len(r) > 1)
         self._learn_joined([p for p in new if "\n" not in p and not p.isspace()])
         blank = [p for p in new if "\n" in p or p.isspace()]
         known.update(zip(blank, self._plain(blank), strict=True))
-        return list(map(known.__getitem__, parts))
-
-    def _not_known(self, wanted: list[str] | set[str]) -> list[str]:
-        """Of ``wanted`` what is not remembered; what is so from long ago is recent again."""
-        known, older, new = self._recent, self._older, []
-        for one in wanted:
-            if one not in known:
-                ids = older.get(one)
-                if ids is None:
-                    new.append(one)
-                else:
-                    known[one] = ids
-        return new
+        for n in missing:
+            found[n] = known[parts[n]]
+        return found
+
+    def _not_recent(self, wanted: list[str]) -> list[str]:
+        """Of ``wanted`` what is not remembered from long ago; what is so becomes recent again."""
+        ids = list(map(self._older.get, wanted))
+        self._recent.update((w, i) for w, i in zip(wanted, ids, strict=True) if i is not None)
+        return [w for w, i in zip(wanted, ids, strict=True) if i is None]
 
     def _learn(self, runs: list[str]) -> None:
         """Runs of letters by the model, all others by the whole tokenizer."""
         letters = [r for r in runs if r[-1].isalpha()]
-        found, sizes, tokenize, as_bytes = [], [], self._model.tokenize, self._as_bytes
-        for run in letters:
-            tokens = tokenize(run.translate(as_bytes))
-            found += [t.id for t in tokens]
-            sizes.append(4 * len(tokens))
+        written, found, sizes = self._as_bytes(letters), [], []
+        for start in range(0, len(written), 500):
+            tokens = list(map(self._model.tokenize, written[start : start + 500]))
+            found += map(attrgetter("id"), chain.from_iterable(tokens))
+            sizes += [4 * len(t) for t in tokens]
         data, ends = np.array(found, "<u4").tobytes(), np.cumsum(sizes, dtype=np.int64).tolist()
         for run, size, end in zip(letters, sizes, ends, strict=True):
             self._recent[run] = data[end - size : end]
@@ -182,13 +194,17 @@ class Encoder:
                 known[part] = data[4 * a + 4 : 4 * b]
 
 
-class _AsBytes(dict):
-    """For ``str.translate``: characters as the model writes their bytes, told by the tokenizer."""
+def _as_bytes(tokenizer: Tokenizer):
+    """A function from runs without line feeds to them as the model writes bytes, told by the tokenizer."""
+    visible = {}
+    for character in map(chr, range(0x800)):
+        written = "".join(text for text, _ in tokenizer.pre_tokenizer.pre_tokenize_str(character))
+        visible.update(zip(character.encode(), written, strict=True))
+    visible[ord("\n")] = "\n"  # stands between runs
+    table = "".join(visible.get(byte, "\ufffe") for byte in range(256))
 
-    def __init__(self, tokenizer: Tokenizer):
-        self._cutting = tokenizer.pre_tokenizer
+    def written(runs: list[str]) -> list[str]:
+        joined = "\n".join(runs).encode()
+        return codecs.charmap_decode(joined, "strict", table)[0].split("\n") if runs else []
 
-    def __missing__(self, character: int) -> str:
-        found = self._cutting.pre_tokenize_str(chr(character))
-        self[character] = "".join(text for text, _ in found)
-        return self[character]
+    return written
