@@ -177,3 +177,45 @@ def test_stage_moves_texts_against_the_rows_that_leave_only(spark, tmp_path):
     plan = N.stage_near_dedup(spark, spark.read.parquet(path), "")._jdf.queryExecution().executedPlan()
     assert "Window" not in plan.toString()
     assert plan.toString().count("BroadcastHashJoin") == 1 and "SortMergeJoin" not in plan.toString()
+
+
+def test_bitmap_rules_out_only_what_is_not_there(spark, monkeypatch):
+    monkeypatch.setattr(N, "PLACES", 1 << 16)
+    keys = [n.to_bytes(16, "big") for n in range(2_000)]
+    rows = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "key binary, n int")
+    some = spark.createDataFrame([(k,) for k in keys[:400]], "key binary")
+    got = {r.n: r.perhaps for r in N._perhaps_in(rows, "key", some).collect()}
+    assert len(got) == 2_000 and all(got[n] for n in range(400))
+    assert sum(got.values()) < 450
+    none = N._perhaps_in(rows, "key", some.limit(0))
+    assert none.where("perhaps").count() == 0 and none.count() == 2_000
+
+
+def test_only_nodes_with_a_partner_are_written(spark, monkeypatch):
+    """Sketches of the others are not landed, nor are their texts."""
+    landed = {}
+
+    def counted(df, path):
+        out = N_written(df, path)
+        landed.setdefault(path.rsplit("/", 1)[1].split("-")[0], out.count())
+        return out
+
+    N_written = N.written
+    monkeypatch.setattr(N, "written", counted)
+    rng = np.random.default_rng(9)
+    rows = [(n, " ".join(f"w{k}" for k in rng.integers(0, 9_000, 80)), "en", "s", 1) for n in range(30)]
+    rows.append((30, rows[7][1] + " more", "en", "s", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = N.stage_near_dedup(spark, docs, "")
+    assert sorted(r.doc_id for r in kept.collect()) == list(range(30))
+    assert landed["texts"] == 2
+    assert all(n <= N.BANDS for label, n in landed.items()), landed
+
+
+def test_stage_keeps_the_same_rows_without_broadcast(spark, monkeypatch):
+    rows = [(n, t, "en", "s", 1) for n, t in docs_with_groups()] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    want = Counter(N.stage_near_dedup(spark, docs, "").collect())
+    monkeypatch.setattr(N, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(N, "PLACES", 1 << 15)
+    assert Counter(N.stage_near_dedup(spark, docs, "").collect()) == want

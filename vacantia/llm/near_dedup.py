@@ -30,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vacantia.llm.common import new_work_dir, slices, table, words, written
@@ -41,6 +41,10 @@ BANDS = 40
 ROWS = 10
 #: Nodes on either side of a task that compares those of different components.
 BLOCK = 256
+#: Places of a bitmap of hashed keys, whatever the corpus; 2**15 of them are one row of 4 KB.
+PLACES = 1 << 26
+#: Rows (a hash each) that leave are broadcast up to so many.
+MOST_BROADCAST = 250_000
 
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _SALT = np.uint64(0xD1B54A32D192ED03)
@@ -130,7 +134,13 @@ def _key(normal: Column) -> Column:
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     band_no = np.arange(BANDS, dtype=np.uint64)
+    seen: set[bytes] = set()
     for part in slices(batches, "normal"):
+        # Equal texts of a task are one node already here.
+        new = [k not in seen and not seen.add(k) for k in part.column("key").to_pylist()]
+        part = part.filter(pa.array(new, pa.bool_()))
+        if not part.num_rows:
+            continue
         found = [
             shingles(t.encode("utf-8", "replace")) for t in part.column("normal").to_pylist()
         ]
@@ -145,8 +155,33 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _perhaps_in(rows: DataFrame, key: str, some: DataFrame) -> DataFrame:
+    """``rows`` with ``perhaps``: false only where ``key`` is in no row of ``some``.
+
+    A bitmap of the hashed keys of ``some`` is broadcast, at most PLACES / 8 bytes. What it rules out
+    need not be moved by a join; an exact join decides on the rest.
+    """
+    place = F.pmod(F.xxhash64(key), F.lit(PLACES))
+    block, bit = F.shiftright(place, 15), place.bitwiseAND(F.lit((1 << 15) - 1))
+    bitmaps = (
+        some.select(block.alias("block"), bit.alias("bit"))
+        .repartition("block")
+        .groupBy("block")
+        .agg(F.bitmap_construct_agg("bit").alias("bits"))
+    )
+    byte = F.substring("bits", (F.shiftright(bit, 3) + 1).cast("int"), F.lit(1))
+    is_set = F.getbit(F.conv(F.hex(byte), 16, 10).cast("int"), bit.bitwiseAND(F.lit(7)).cast("int"))
+    return (
+        rows.withColumn("block", block)
+        .join(F.broadcast(bitmaps), "block", "left")
+        .withColumn("perhaps", F.coalesce(is_set == 1, F.lit(False)))
+        .drop("block", "bits")
+    )
+
+
 def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b of the pairs whose texts are similar enough, compared exactly on whole texts."""
+    texts = texts.hint("merge")
     with_texts = pairs.join(
         texts.select(F.col("key").alias("a"), F.col("normal").alias("text_a")), "a"
     ).join(texts.select(F.col("key").alias("b"), F.col("normal").alias("text_b")), "b")
@@ -247,7 +282,7 @@ def _links_apart(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> Data
     left = side(placed, 0, own("row_blocks"), each("minor_blocks"))
     right = side(placed.where("minor"), 1, each("row_blocks"), own("minor_blocks"))
     group = ["bucket", "row_block", "minor_block"]
-    dealt = left.unionByName(right).join(texts, "key").repartition(*group)
+    dealt = left.unionByName(right).join(texts.hint("merge"), "key").repartition(*group)
     return dealt.sortWithinPartitions(*group, "side").mapInArrow(_compare, "a binary, b binary")
 
 
@@ -296,33 +331,31 @@ def _roots(spark: SparkSession, normal: DataFrame) -> DataFrame:
         has_words.select("key", "normal")
         .mapInArrow(_bands, "key binary, buckets array<long>")
         .select("key", F.explode("buckets").alias("bucket"))
-        .groupBy("bucket", "key")
-        .agg(F.lit(1).alias("one"))
-        .select("bucket", "key")
     )
-    every = written(sketched, new_work_dir(spark, "buckets"))
-    first = (
-        every.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.min("key").alias("leader"))
-        .where("n > 1")
-        .select("bucket", "leader")
+    # One shuffle by bucket: its smallest key leads, and a bucket of one node leaves no row.
+    by_key = Window.partitionBy("bucket").orderBy("key")
+    leader = F.first("key").over(by_key.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    led = written(
+        sketched.withColumn("leader", leader).where("key <> leader").distinct(),
+        new_work_dir(spark, "led"),
     )
-    shared = written(every.join(first, "bucket"), new_work_dir(spark, "shared"))
-    met = shared.select("key").distinct()
+    leaders = led.select("bucket", F.col("leader").alias("key")).distinct()
+    shared = led.select("bucket", "key").unionByName(leaders)
+    met = written(shared.select("key").distinct(), new_work_dir(spark, "met"))
+    # Texts that met no other stay where they are.
     texts = written(
-        has_words.select("key", "normal")
-        .join(met, "key", "left_semi")
+        _perhaps_in(has_words.select("key", "normal"), "key", met)
+        .where("perhaps")
+        .join(met.hint("merge"), "key", "left_semi")
         .groupBy("key")
         .agg(F.first("normal").alias("normal")),
         new_work_dir(spark, "texts"),
     )
-    to_leader = (
-        shared.where("key <> leader").select(F.col("leader").alias("a"), F.col("key").alias("b"))
-    ).distinct()
+    to_leader = led.select(F.col("leader").alias("a"), F.col("key").alias("b")).distinct()
     links = written(_verified(to_leader, texts), new_work_dir(spark, "near"))
     roots = components(spark, links)
     more = written(
-        _links_apart(shared.select("bucket", "key"), roots, texts).distinct(),
+        _links_apart(shared, roots, texts).distinct(),
         new_work_dir(spark, "near"),
     )
     if not more.isEmpty():
@@ -359,8 +392,8 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """One row of each class stays: the one with the smallest id, then by hashes of text and row. Different
     texts with one id are in classes of their own; rows without an id cannot be named and stay.
 
-    Who stays is decided on hashes. Texts move in one join at most, against the rows that leave, and in
-    none where these are few enough to be broadcast.
+    Who stays is decided on hashes. Texts move in one join at most, against the rows that leave: in none
+    where these are few enough to be broadcast, else only those that a bitmap of them does not rule out.
     """
     rows = docs.select("doc_id", "text", "lang", "source", "n_chars")
     row = F.unhex(F.md5(F.to_json(F.struct(*rows.columns))))
@@ -394,8 +427,15 @@ def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
         classed.join(firsts, "row", "left_anti").select("row").unionByName(repeated),
         new_work_dir(spark, "away"),
     )
-    kept = with_id.join(away, "row", "left_anti")
+    if away.count() <= MOST_BROADCAST:
+        kept = with_id.join(F.broadcast(away), "row", "left_anti")
+    else:
+        asked = _perhaps_in(with_id, "row", away)
+        kept = asked.where(~F.col("perhaps")).unionByName(
+            asked.where("perhaps").join(away.hint("merge"), "row", "left_anti")
+        )
     if not repeated.isEmpty():
-        once = with_id.join(repeated, "row", "left_semi").dropDuplicates(["row"])
-        kept = kept.unionByName(once)
+        once = _perhaps_in(with_id, "row", repeated).where("perhaps")
+        once = once.join(repeated.hint("merge"), "row", "left_semi").dropDuplicates(["row"])
+        kept = kept.select(*rows.columns).unionByName(once.select(*rows.columns))
     return kept.select(*rows.columns).unionByName(rows.where("doc_id is null"))
